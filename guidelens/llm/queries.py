@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media_ts, secrets, toxicity
+from . import bpe, chat, iblt, langid, media_ts, mixing, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -15,6 +15,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_media_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digests(table(spark, sf_dir, "documents"))
 
@@ -31,9 +39,30 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op9_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.versions(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_transport_streams, op4_language_id, op5_toxicity, op7_bpe, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_perspectives,
+        op2_source_mixing,
+        op3_media_transport_streams,
+        op4_language_id,
+        op5_toxicity,
+        op7_bpe,
+        op8_url_filter,
+        op9_paragraph_fingerprints,
+        op10_secret_scan,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op8_url_filter": urlfilter.judged_sql()}
