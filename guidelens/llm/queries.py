@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, iblt, langid, media_ts, mixing, secrets, toxicity, urlfilter
+from . import bpe, chat, iblt, langid, media_ts, mixing, neardup, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"), k=3, per_cent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,6 +63,7 @@ QUERIES = {
         op3_media_transport_streams,
         op4_language_id,
         op5_toxicity,
+        op6_chosen_path_neardup,
         op7_bpe,
         op8_url_filter,
         op9_paragraph_fingerprints,
