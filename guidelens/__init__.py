@@ -1,0 +1 @@
+"""Amplicon editing analytics on Spark."""
