@@ -61,7 +61,7 @@ def alleles(hits: DataFrame, config: AnalysisConfig, config_key: str | None = No
     aligner runs once for each distinct observation; then observations whose
     alleles agree are one. Class and tokens are those of the first read seen.
     """
-    keys = [*SCOPE, "window", "read_window", "left_x", "right_x"] + ([config_key] if config_key else [])
+    keys = [*SCOPE, "window", "read_window", "left_x", "right_x"] + ([config_key] if config_key and config_key not in SCOPE else [])
     groups = hits.where("reason = 'ok'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("read_index").alias("first"))
     first = F.struct("category", "has_sub", "net_indel", "tokens")
     out = called(groups, config, config_key).groupBy(*SCOPE, F.col("allele").alias("read_inner")).agg(F.sum("n").alias("read_count"), F.min("first").alias("first_seen"), F.min_by(first, "first").alias("f"))

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, read_index bigint, read_id string, seq string, qual string"
 BATCH = 10_000
@@ -84,7 +84,7 @@ class FastqSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FastqReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return FastqStream(dict(self.options))
 
 
@@ -105,8 +105,8 @@ class FastqReader(DataSourceReader):
             yield from batches(os.path.basename(partition.path), records(f, **self.flags))
 
 
-class FastqStream(SimpleDataSourceStreamReader):
-    """New files of a folder, a file at a time; the offset is the last name taken, so names must ascend."""
+class FastqStream(DataSourceStreamReader):
+    """New files of a folder, one partition each; the offset is the last name known, so names must ascend."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.flags = options["path"], _flags(options)
@@ -114,18 +114,18 @@ class FastqStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"last": ""}
 
-    def _rows(self, names: list[str]) -> Iterator[tuple]:
-        for path in names:
-            with opened(path) as f:
-                for i, r in enumerate(records(f, **self.flags)):
-                    yield (os.path.basename(path), i, *r)
+    def latestOffset(self) -> dict:
+        return {"last": max(files(self.path), default="")}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [f for f in files(self.path) if f > start["last"]][:1]
-        return self._rows(new), {"last": new[-1] if new else start["last"]}
+    def partitions(self, start: dict, end: dict) -> list[FilePartition]:
+        return [FilePartition(f) for f in files(self.path) if start["last"] < f <= end["last"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows([f for f in files(self.path) if start["last"] < f <= end["last"]])
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as f:
+            yield from batches(os.path.basename(partition.path), records(f, **self.flags))
+
+    def commit(self, end: dict) -> None:
+        """Files stay where they are."""
 
 
 def register(spark: SparkSession) -> None:
