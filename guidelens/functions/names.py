@@ -81,10 +81,17 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def safe_name(value: Column, most: int = 31) -> Column:
-    """Without characters that sheets and files can't have in their names."""
-    clean = F.trim(F.regexp_replace(value, r"[\\/*?:\[\]<>|\"]", "_"))
-    return F.substring(F.when(clean == "", "Sheet").otherwise(clean), 1, most)
+def sheet_name(value: Column, most: int = 31) -> Column:
+    """A sheet's name: without characters that sheets can't have, single spaces, cut."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(value, r"[\\/?*:\[\]]", " "), r"\s+", " "))
+    return F.substring(F.when(clean == "", "Barcode").otherwise(clean), 1, most)
+
+
+def download_name(value: Column, fallback: str, most: int = 120) -> Column:
+    """A file's name without its suffix and without characters that files can't have."""
+    stemmed = F.regexp_replace(F.trim(value), r"(?i)\.xlsx?$", "")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(stemmed, r"[\\/:*?\"<>|]+", " "), r"\s+", " "))
+    return F.substring(F.when(clean == "", fallback).otherwise(clean), 1, most)
 
 
 def failure_label(reason: Column) -> Column:

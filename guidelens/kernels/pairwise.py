@@ -67,6 +67,13 @@ def homoeolog_similarity(a: str, b: str) -> float:
     return 100.0 if a == b else half_up(matcher(a, b).ratio() * 100, 1)
 
 
+def difference_bp(a: str, b: str) -> int:
+    """Columns in which two windows differ, by matching blocks; 0 without two windows."""
+    if not a or not b:
+        return 0
+    return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in opcodes(a, b) if tag != "equal")
+
+
 def project_position(reference: str, anchor: str, position: int) -> int | None:
     """A coordinate of a reference on a similar one, by linear interpolation inside differing stretches."""
     ref, base = clean(reference), clean(anchor)

@@ -37,8 +37,11 @@ class Assigner:
     of all genes for other reads, with the reason where it isn't usable.
     """
 
-    def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig):
+    def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig, by_target: bool = False):
         self.windows, self.genes, self.config = windows_of(genes), len(genes), config
+        # what competes for a read: genes by their best window, or single windows
+        self.rival = {w.number: w.number if by_target else w.gene_ix for w in self.windows}
+        self.lone = by_target and len(self.windows) > 1  # a single usable window still has to lead nothing by the margin
         self.located = lru_cache(CACHE)(self._located)
         self.called = lru_cache(CACHE)(self._called)
 
@@ -55,16 +58,17 @@ class Assigner:
         best: dict[int, float] = {}
         for w in self.windows:
             if w.number in scores:
-                best[w.gene_ix] = max(best.get(w.gene_ix, -1.0), scores[w.number])
+                best[self.rival[w.number]] = max(best.get(self.rival[w.number], -1.0), scores[w.number])
         ranked = sorted(best, key=lambda g: -best[g])
         top1 = best[ranked[0]] if ranked else None
-        top2 = best[ranked[1]] if len(ranked) > 1 else None
+        top2 = best[ranked[1]] if len(ranked) > 1 else 0.0 if ranked and self.lone else None
         gap = top1 - top2 if top2 is not None else None
         outcome = "filtered" if not ranked else "assigned" if gap is None or gap >= c.margin else "ambiguous"
-        gene = ranked[0] if outcome == "assigned" else None
+        winner = ranked[0] if outcome == "assigned" else None
+        gene = next((w.gene_ix for w in self.windows if self.rival[w.number] == winner), None)
         hits = []
         for w in self.windows:
-            if gene is not None and w.gene_ix != gene:
+            if winner is not None and self.rival[w.number] != winner:
                 continue
             # outside the gene that a read was assigned to, only its own observations count
             e = usable.get(w.number) if gene is not None else plain[w.number]
@@ -90,9 +94,11 @@ class Assigner:
         return self.called(seq, tuple(tuple(bool(good(x)) for x in cands) for cands, _ in found))
 
 
-def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
+def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None, by_target: bool = False) -> DataFrame:
     """reads (seq, qual and any other columns) with the columns of CALL.
 
+    by_target: single targets compete, not genes; hits then hold the one that won.
+
     config_key: a column that names the input, for reference sets of its own
     (config.by_input; others use config.genes). Null sequences are filtered reads,
     null qualities pass.
@@ -114,7 +120,7 @@ def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None =
                 for seq, qual, key in zip(seqs, quals, keys, strict=True):
                     key = key if key in config.by_input else None
                     if key not in by_key:
-                        by_key[key] = Assigner(config.by_input.get(key, config.genes), config)
+                        by_key[key] = Assigner(config.by_input.get(key, config.genes), config, by_target)
                     rows.append(by_key[key](seq, qual))
                 cols = {n: pa.array([r[i] for r in rows], arrow.field(n).type) for i, n in enumerate(names)}
                 yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else part.column(f.name) for f in arrow], schema=arrow)

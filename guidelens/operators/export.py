@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.sequence import wrapped
 
 CHUNK = 30_000  # characters of a stored piece of JSON
@@ -41,6 +43,14 @@ def genbank_record(name: Column, description: Column, accession: Column, seq: Co
     )
 
 
+def unique_sheets(table: DataFrame, name: str, order: str) -> DataFrame:
+    """table with sheet: names that repeat, whatever their case, get a number from 2 on. Sheets are those of one workbook, so they are few."""
+    base = names.sheet_name(F.col(name))
+    nth = F.row_number().over(W.partitionBy(F.lower(base)).orderBy(order))
+    tail = F.concat(F.lit(" "), nth.cast("string"))
+    return table.withColumn("sheet", F.when(nth == 1, base).otherwise(F.concat(F.substring(base, F.lit(1), F.lit(31) - F.length(tail)), tail)))
+
+
 def reads_of_alleles(reads: DataFrame, keys: tuple[str, ...], alleles: DataFrame) -> DataFrame:
     """Reads whose stored allele is in a list; nothing is aligned again."""
     return reads.join(alleles.select(*keys).distinct(), list(keys), "left_semi")
@@ -48,8 +58,8 @@ def reads_of_alleles(reads: DataFrame, keys: tuple[str, ...], alleles: DataFrame
 
 def nested(summary: DataFrame, alleles: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Each scope's summary with its alleles as an array by rank."""
-    names = [c for c in alleles.columns if c not in scope]
-    order = ["group_rank", *(c for c in names if c != "group_rank")]
+    own = [c for c in alleles.columns if c not in scope]
+    order = ["group_rank", *(c for c in own if c != "group_rank")]
     lists = alleles.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("alleles"))
     return summary.join(lists, list(scope), "left")
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.cutsite import find_homoeolog_site
-from ..kernels.pairwise import compare_references, homoeolog_similarity
+from ..kernels.pairwise import compare_references, difference_bp, homoeolog_similarity
 
+LANE_IDENTITY = 45.0  # per cent at which windows share a lane of the overview
 RATES = {"all": "modified_pct", "oof": "out_of_frame_pct", "inframe": "in_frame_pct", "sub": "substitution_pct"}
 
 
@@ -49,16 +50,17 @@ def window_pairs(windows: DataFrame) -> DataFrame:
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
-    """pairs with identity (least edits) and ratio (matching blocks), in per cent at one decimal."""
+    """pairs with identity (least edits) and ratio (matching blocks) in per cent at one decimal, difference_bp, and aligned: alike enough for one lane."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = list(zip(batch.column("a_seq").to_pylist(), batch.column("b_seq").to_pylist(), strict=True))
-            yield batch.append_column("identity", pa.array([compare_references(x, y)[0] for x, y in both], pa.float64())).append_column("ratio", pa.array([homoeolog_similarity(x, y) for x, y in both], pa.float64()))
+            yield batch.append_column("identity", pa.array([compare_references(x, y)[0] for x, y in both], pa.float64())).append_column("ratio", pa.array([homoeolog_similarity(x, y) for x, y in both], pa.float64())).append_column("difference_bp", pa.array([difference_bp(x, y) for x, y in both], pa.int32()))
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("identity", DoubleType()), StructField("ratio", DoubleType())]))
+    found = pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("identity", DoubleType()), StructField("ratio", DoubleType()), StructField("difference_bp", IntegerType())]))
+    return found.withColumn("aligned", F.col("identity") >= LANE_IDENTITY)
 
 
 SITE = "matched boolean, exact boolean, mismatches int, identity double, strand string, start int, end int, cut int, pam string, pam_found boolean, spacer string, guide string"

@@ -200,7 +200,7 @@ def similarity_pairs(spark, sf_dir):
 
 @query()
 def reference_identity(spark, sf_dir):
-    return homoeolog.similarity(_window_pairs(spark, sf_dir)).select("a", "b", "identity", "ratio")
+    return homoeolog.similarity(_window_pairs(spark, sf_dir)).select("a", "b", "identity", "ratio", "difference_bp", "aligned")
 
 
 def _window_pairs(spark, sf_dir):

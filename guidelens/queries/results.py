@@ -42,6 +42,12 @@ def gene_assignment(spark, sf_dir):
     return c.select("read_index", "outcome", F.when(F.col("gene_ix").isNotNull(), gene_name()).alias("gene"))
 
 
+@query(f"{READS} SELECT read_index, CASE WHEN q >= 20 THEN 'assigned' ELSE 'filtered' END AS outcome, CASE WHEN q >= 20 THEN true_gene END AS gene FROM reads")
+def target_assignment(spark, sf_dir):
+    c = assigned(reads(spark, sf_dir), TWO_GENES, by_target=True)
+    return c.select("read_index", "outcome", F.when(F.col("gene_ix").isNotNull(), gene_name()).alias("gene"))
+
+
 _ONE = AnalysisConfig((GENE_A90,), phred=20.0)
 
 

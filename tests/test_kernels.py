@@ -181,3 +181,19 @@ def test_configuration_is_checked():
         AnalysisConfig((Gene("A", "", (Target("t", "ACGT"),)),))
     with pytest.raises(ValueError):
         AnalysisConfig((Gene("A", "ACGT", ()),))
+
+
+def test_single_targets_compete():
+    a = Assigner(TWO_GENES.genes, TWO_GENES, by_target=True)
+    outcome, gene, *_, hits = a(REF_B, None)
+    assert (outcome, gene, len(hits)) == ("assigned", 1, 1)
+    twins = (Gene("A", REF_A, (Target("t", GUIDE_A), Target("u", GUIDE_A))),)
+    assert Assigner(twins, AnalysisConfig(twins), by_target=True)(REF_A, None)[0] == "ambiguous"
+    assert Assigner(twins, AnalysisConfig(twins))(REF_A, None)[0] == "assigned"
+
+
+def test_window_grid():
+    cells = mutate.window_grid([("equal", "AC"), ("insert", "GG"), ("delete", "--"), ("substitute", "T")], 7)
+    assert cells == [("A", "equal", ""), ("C", "equal", "GG"), ("-", "delete", ""), ("-", "delete", ""), ("T", "substitute", ""), ("X", "unobserved", ""), ("X", "unobserved", "")]
+    assert mutate.window_grid([("insert", "G"), ("equal", "AC")], 3) == [("X", "unobserved", "G"), ("A", "equal", ""), ("C", "equal", "")]
+    assert pairwise.difference_bp(REF_A, REF_B) == 6

@@ -150,7 +150,9 @@ def test_names(spark):
     assert one(names.mate(lit("sample10.fastq"))) is None and one(names.sample_name(lit("sample10.fastq"))) == "Sample 10"
     assert one(names.pair_name(lit("a_R1.fq"), lit("b_R2.fq"))) == "A + B" and one(names.pair_name(lit(None), lit("b_R2.fq"))) == "B"
     assert one(names.merged_aliases(lit("a/b"), lit("b/c"))) == "a/b/c" and one(names.file_name(lit("x/y/z.gz"))) == "z.gz"
-    assert one(names.normalized_barcode(lit("BC 01_a.b-c"))) == "bc01abc" and one(names.safe_name(lit("a/b:c"))) == "a_b_c"
+    assert one(names.normalized_barcode(lit("BC 01_a.b-c"))) == "bc01abc" and one(names.sheet_name(lit("a/b: c"))) == "a b c" and one(names.download_name(lit(" a|b.xlsx"), "x")) == "a b"
+    sheets = spark.createDataFrame([(0, "x" * 40), (1, "X" * 31), (2, "/")], "n int, v string")
+    assert [r.sheet for r in export.unique_sheets(sheets, "v", "n").orderBy("n").collect()] == ["x" * 31, "X" * 29 + " 2", "Barcode"]
     assert one(names.primary_failure(F.array(lit("no_coverage"), lit("no_anchor")))) == "no_anchor"
 
 
