@@ -5,7 +5,7 @@ with zeros); each byte has a vector, filters of WIDTHS bytes slide over them, ea
 filter keeps its largest response (ReLU, max pooling), and a softmax layer gives
 the languages. A text's score is the mean of its windows' log-probabilities,
 weighted by their bytes, put through softmax again. All windows of the whole text
-count. Training takes at most PER_LANG texts of each language, by smallest hash of
+count. Training takes at most PER_LANG texts of each language (TEXTS in all), by smallest hash of
 the id, and at most WINDOWS_EACH windows spread over each text; it runs on the
 driver and is deterministic.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, map_slices
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 8, 8
-PER_LANG, WINDOWS_EACH, LANGS = 400, 4, 256
+PER_LANG, WINDOWS_EACH, LANGS, TEXTS = 400, 4, 256, 8000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLOCK = 64  # windows that are computed at once
 
@@ -116,7 +116,7 @@ def has_letter(text: str) -> bool:
 
 
 def sample(docs: DataFrame, keep: F.Column) -> tuple[list[str], list[str]]:
-    """At most PER_LANG texts of each of the LANGS most frequent languages, by smallest hash of the id.
+    """At most PER_LANG texts (TEXTS in all) of each of the LANGS most frequent languages, by smallest hash of the id.
 
     The hash is first held under a share that its language's count gives, so the
     sort that follows has a bounded number of rows, whatever the languages' sizes.
@@ -125,12 +125,13 @@ def sample(docs: DataFrame, keep: F.Column) -> tuple[list[str], list[str]]:
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not counts:
         return [], []
+    most = max(1, min(PER_LANG, TEXTS // len(counts)))
     unit = (F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("unit")
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * PER_LANG / r["count"])))))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * most / r["count"])))))
     few = rows.select("doc_id", "lang", "text", unit).where(F.col("unit") < share[F.col("lang")])
     got = sorted(few.collect(), key=lambda r: (r.unit, str(r.doc_id), r.text))
     seen: dict[str, int] = {}
-    out = [r for r in got if seen.setdefault(r.lang, 0) < PER_LANG and not seen.update({r.lang: seen[r.lang] + 1})]
+    out = [r for r in got if seen.setdefault(r.lang, 0) < most and not seen.update({r.lang: seen[r.lang] + 1})]
     return [r.text for r in out], [r.lang for r in out]
 
 

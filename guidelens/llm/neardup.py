@@ -9,16 +9,18 @@ any depth, and others part. Nodes of at most SMALL classes are compared
 exhaustively (by sketch, then on full sets); TREES independent trees bring recall
 to the target: a pair in small nodes is missed by all with (1 - similarity)^TREES.
 
-Larger nodes branch on. Each of their classes is also compared with the node's
-leader, and nodes whose classes are all in one component already are done: they
-have no link left that would change a component. Nodes still large after DEPTH
-levels are finished exactly, classes outside their largest component against all.
-Links are confirmed on full sets: per_cent of the union in common at least.
+Classes of a larger node are first compared with the node's leader. A node whose
+classes are then all in one component is done: it has no link left that would change
+a component. If at most SMALL classes are outside its largest component, those are
+compared with all its classes, in slices of SLICE. Others branch on, STEPS levels
+at a time. Nodes still large after ROUNDS rounds are finished in the exact way too,
+however many classes are outside. Links are confirmed on full sets: per_cent of
+the union in common at least.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; shingles have k
 words (fewer words: all of them as one). Null, empty and blank texts have no set
-and link with nothing. Rows that share an id are one document with several sets; a
-null id is a document alone. Repeated rows get equal results; ties don't matter,
+and link with nothing. Rows that share an id are looked at one by one, each by its
+own text; a null id is a document alone. Repeated rows get equal results; ties don't matter,
 since components take their smallest id. An empty table gives no rows. Texts of any
 length are taken whole.
 """
@@ -36,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, map_slices, written
 
-COORDINATES, TREES, SMALL, DEPTH = 64, 12, 48, 14
-SLACK = 0.25  # how far a sketch's estimate may lie below the similarity: over five standard deviations
+COORDINATES, TREES, SMALL = 128, 12, 48
+ROUNDS, STEPS, SLICE = 7, 3, 256
+SLACK = 0.16  # how far a sketch's estimate may lie below the similarity: four and a half standard deviations or more
 WORDS = 500_000  # word hashes that a task remembers before it starts anew
 FEW_IDS = 200_000  # ids that are broadcast to pick texts; more are joined by shuffle
 SALTS = 16
@@ -119,16 +122,20 @@ def child(path: F.Column, which: F.Column) -> F.Column:
     return F.xxhash64(path, which, F.substring(F.col("sketch"), which * 4 + 1, F.lit(4)))
 
 
-def branches(path: F.Column, similarity: float) -> F.Column:
-    """Children of a node that a class goes to: one, or two with what 1 / similarity leaves over."""
+def branches(members: DataFrame, similarity: float) -> DataFrame:
+    """members (path, id, sketch) in the children of their nodes: one, or two with what 1 / similarity leaves over."""
+    path = F.col("path")
     pick = lambda j: F.pmod(F.xxhash64(path, F.lit(f"coordinate {j}")), F.lit(COORDINATES)).cast("int")
     second = F.pmod(F.xxhash64(path, F.lit("branch")), F.lit(1_000_000)) < int(1_000_000 * (1 / similarity - 1))
     both = F.array(child(path, pick(0)), child(path, pick(1)))
-    return F.explode(F.array_distinct(F.when(second, both).otherwise(F.slice(both, 1, 1))))
+    children = F.array_distinct(F.when(second, both).otherwise(F.slice(both, 1, 1)))
+    return members.select("id", "sketch", F.explode(children).alias("path"))
 
 
 def compared(groups: DataFrame, least: float, ratio: float) -> DataFrame:
-    """a, b, tier: pairs of each group (members: id, n, sketch, label) that may be links, between different labels.
+    """a, b, tier: pairs of each group (members: id, n, sketch, label, outside) that may be links, between different labels.
+
+    Of pairs of two classes inside a node's largest component none is needed.
 
     tier 1 is a spanning forest of a group's pairs, the most alike first; 2 the rest.
     """
@@ -138,10 +145,10 @@ def compared(groups: DataFrame, least: float, ratio: float) -> DataFrame:
             a_out, b_out, tiers = [], [], []
             for members in batch.column(0):
                 cols = members.values
-                ids, n, label = (cols.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label"))
+                ids, n, label, outside = (cols.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "outside"))
                 marks = np.frombuffer(b"".join(cols.field("sketch").to_pylist()), "<u4").reshape(len(ids), -1)
-                alike = (marks[:, None] == marks[None]).mean(2)
-                may = (alike >= least) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n)) & (label[:, None] != label) & (ids[:, None] < ids)
+                alike = np.stack([(marks == row).mean(1) for row in marks])
+                may = (alike >= least) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n)) & (label[:, None] != label) & (ids[:, None] < ids) & (outside[:, None] | outside)
                 i, j = np.nonzero(may)
                 root = list(range(len(ids)))
                 for at in np.argsort(-alike[i, j], kind="stable"):
@@ -227,16 +234,28 @@ class Search:
         self.docs, self.classes, self.k, self.per_cent = docs, classes, k, per_cent
         self.similarity = per_cent / 100
         self.least, self.ratio = self.similarity - SLACK, self.similarity * (1 - 1e-9)
-        self.sets = self.edges = self.labels = None
-        self.later: list[DataFrame] = []
+        self.sets = self.labels = None
 
     def link(self, pairs: DataFrame) -> None:
-        """Confirm pairs on full sets and bring the labels up to date; pairs is a written table."""
+        """Confirm pairs on full sets and bring the labels up to date; pairs is a written table.
+
+        New links join components, so only the graph of the old labels is solved again.
+        """
         new = written(confirmed(pairs, self.sets, self.per_cent), "links")
         if new.isEmpty():
             return
-        self.edges = new if self.edges is None else self.edges.union(new)
-        self.labels = components(self.edges)
+        if self.labels is None:
+            self.labels = components(new)
+            return
+        one = labelled(new.withColumnRenamed("a", "id"), self.labels).select(F.col("label").alias("a"), F.col("b").alias("id"))
+        joined = written(labelled(one, self.labels).select("a", F.col("label").alias("b")).where("a <> b").distinct(), "joined")
+        if joined.isEmpty():
+            return
+        change = components(joined).select(F.col("id").alias("_from"), F.col("label").alias("_to"))
+        # classes that are new to the labels stand for themselves
+        known = self.labels.select("id", "label")
+        fresh = joined.select(F.col("a").alias("id")).union(joined.select("b")).distinct().join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
+        self.labels = written(known.union(fresh).join(change, F.col("label") == F.col("_from"), "left").select("id", F.coalesce("_to", "label").alias("label")), "labels")
 
     def candidates(self, members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Pairs of small nodes and of large nodes' leaders; members of large nodes (written, with sketches)."""
@@ -245,7 +264,7 @@ class Search:
         # trees find the same nodes again and again; each set of classes is compared once
         groups = small.select("ids").where(F.size("ids") > 1).distinct().select(F.explode("ids").alias("id"), F.xxhash64("ids").alias("node"))
         full = labelled(groups.join(self.classes, "id"), self.labels)
-        full = full.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label")).alias("members"))
+        full = full.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label", F.lit(True).alias("outside"))).alias("members"))
         pairs = compared(full, self.least, self.ratio)
         large = by_node(members, sizes.where(F.col("size") > SMALL)).join(self.classes, "id").select("path", "id", "n", "sketch")
         large = written(labelled(large, self.labels), "large")
@@ -265,21 +284,28 @@ class Search:
         pairs, large = self.candidates(self.classes.select("id", roots), 0)
         ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "involved")
         self.sets = written(full_sets(self.docs, ids, self.k), "sets")
-        for level in range(1, DEPTH + 1):
+        later = [pairs]
+        for turn in range(1, ROUNDS + 1):
             self.link(pairs.where("tier = 1"))
-            self.later.append(pairs)
-            large = self.open_nodes(large)
-            if large.isEmpty():
+            open_ = self.open_nodes(large)
+            few, many = open_.where(F.col("outside") <= SMALL), open_.where(F.col("outside") > SMALL)
+            if open_.isEmpty():
+                break
+            later.append(written(self.finished(few), "finished"))
+            if many.isEmpty():
                 break
-            if level == DEPTH:
-                self.later.append(self.rest(large))
+            if turn == ROUNDS:
+                later.append(self.rest(many))
                 break
-            members = large.select("id", "sketch", branches(F.col("path"), self.similarity).alias("path")).select("id", "path")
-            pairs, large = self.candidates(members, level)
-        rest = self.later[0].select("a", "b")
-        for more in self.later[1:]:
-            rest = rest.union(more.select("a", "b"))
-        self.link(written(self.between(rest.distinct()), "rest"))
+            for _ in range(STEPS):
+                many = branches(many, self.similarity)
+            pairs, large = self.candidates(many.select("id", "path"), turn)
+            later.append(pairs)
+        for tier in ("tier = 1", "tier = 2"):  # most of what the first tier leaves is in one component by then
+            rest = later[0].where(tier).select("a", "b")
+            for more in later[1:]:
+                rest = rest.union(more.where(tier).select("a", "b"))
+            self.link(written(self.between(rest.distinct()), "rest"))
         return self.labels
 
     def between(self, pairs: DataFrame) -> DataFrame:
@@ -288,18 +314,27 @@ class Search:
         return labelled(left.withColumnRenamed("b", "id"), self.labels).where("one <> label").select("a", F.col("id").alias("b"))
 
     def open_nodes(self, large: DataFrame) -> DataFrame:
-        """Members, with labels as they are now, of the nodes that hold more than one component."""
+        """Members, with labels as they are now, of nodes with more than one component; with the node's size, its largest component, and the number of members outside it."""
         now = labelled(large.drop("label"), self.labels)
-        mixed = now.groupBy("path").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("path")
-        return written(by_node(now, mixed), "open")
+        counts = now.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("path")
+        nodes = counts.agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"))
+        return written(by_node(now, nodes.where("outside > 0")), "open")
+
+    def finished(self, few: DataFrame) -> DataFrame:
+        """Pairs of the few classes outside a node's largest component and all its classes: the few go to every slice of the node."""
+        slices = F.ceil(F.col("size") / SLICE).cast("int")
+        outside = F.col("label") != F.col("largest")
+        own = F.pmod(F.xxhash64("id"), slices).cast("int")
+        where = F.when(outside, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(own))
+        dealt = few.select("path", F.explode(where).alias("slice"), "id", "n", "sketch", "label", outside.alias("outside"))
+        return compared(dealt.groupBy("path", "slice").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio)
 
     def rest(self, large: DataFrame) -> DataFrame:
-        """The exact way for what is left: classes outside a node's largest component against all its classes."""
-        counts = large.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-        few = by_node(large, counts).where("label <> largest").select("path", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+        """finished() without a bound on the classes outside: pairs from a join on the node, and none inside the largest component."""
+        few = large.where("label <> largest").select("path", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         near = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(self.ratio)) & (F.col("label") != F.col("other"))
         met = large.join(few, "path").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        return written(met.distinct(), "exact")
+        return written(met.distinct().withColumn("tier", F.lit(2)), "exact")
 
 
 def grouped(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -321,5 +356,7 @@ def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     kept = grouped(docs, k, per_cent).where("kept and doc_id is not null")
     ids = written(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
     out = docs.join(ids, F.col("doc_id") == F.col("_id"))
-    single, several = out.where("_rows = 1").select(*docs.columns), out.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return single.union(several).union(docs.where("doc_id is null"))
+    single = out.where("_rows = 1").select(*docs.columns)
+    if not ids.where("_rows > 1").isEmpty():
+        single = single.union(out.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return single.union(docs.where("doc_id is null"))
