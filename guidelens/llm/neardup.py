@@ -11,7 +11,7 @@ to the target: a pair in small nodes is missed by all with (1 - similarity)^TREE
 
 Classes of a larger node are first compared with the node's leader. A node whose
 classes are then all in one component is done: it has no link left that would change
-a component. If at most SMALL classes are outside its largest component, those are
+a component. If at most OUTSIDE classes are outside its largest component, those are
 compared with all its classes, in slices of SLICE. Others branch on, STEPS levels
 at a time. Nodes still large after ROUNDS rounds are finished in the exact way too,
 however many classes are outside. Links are confirmed on full sets: per_cent of
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import dropped, map_slices, written
 
 COORDINATES, TREES, SMALL = 128, 12, 48
-ROUNDS, STEPS, SLICE = 7, 3, 256
+ROUNDS, STEPS, SLICE, OUTSIDE = 7, 3, 256, 512
 SLACK = 0.16  # how far a sketch's estimate may lie below the similarity: four and a half standard deviations or more
 WORDS = 500_000  # word hashes that a task remembers before it starts anew
 FEW_IDS = 200_000  # ids that are broadcast to pick texts; more are joined by shuffle
@@ -132,17 +132,16 @@ def branches(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("id", "sketch", F.explode(children).alias("path"))
 
 
-def compared(groups: DataFrame, least: float, ratio: float) -> DataFrame:
-    """a, b, tier: pairs of each group (members: id, n, sketch, label, outside) that may be links, between different labels.
+def compared(groups: DataFrame, least: float, ratio: float, forest: bool) -> DataFrame:
+    """a, b: pairs of each group (members: id, n, sketch, label, outside) that may be links, between different labels.
 
     Of pairs of two classes inside a node's largest component none is needed.
-
-    tier 1 is a spanning forest of a group's pairs, the most alike first; 2 the rest.
+    forest: only a spanning forest of the labels' pairs, the most alike first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_out, b_out, tiers = [], [], []
+            a_out, b_out = [], []
             for members in batch.column(0):
                 cols = members.values
                 ids, n, label, outside = (cols.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "outside"))
@@ -150,24 +149,30 @@ def compared(groups: DataFrame, least: float, ratio: float) -> DataFrame:
                 alike = np.stack([(marks == row).mean(1) for row in marks])
                 may = (alike >= least) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n)) & (label[:, None] != label) & (ids[:, None] < ids) & (outside[:, None] | outside)
                 i, j = np.nonzero(may)
-                root = list(range(len(ids)))
+                if not forest:
+                    a_out += ids[i].tolist()
+                    b_out += ids[j].tolist()
+                    continue
+                first: dict[int, int] = {}
+                root = [first.setdefault(int(x), k) for k, x in enumerate(label)]
                 for at in np.argsort(-alike[i, j], kind="stable"):
                     x, y = int(i[at]), int(j[at])
-                    a_out.append(int(ids[x]))
-                    b_out.append(int(ids[y]))
+                    pair = int(ids[x]), int(ids[y])
                     while root[x] != x:
                         x = root[x]
                     while root[y] != y:
                         y = root[y]
-                    tiers.append(1 if x != y else 2)
-                    root[y] = x
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(tiers, pa.int32())], names=["a", "b", "tier"])
+                    if x != y:
+                        a_out.append(pair[0])
+                        b_out.append(pair[1])
+                        root[y] = x
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a bigint, b bigint, tier int").groupBy("a", "b").agg(F.min("tier").alias("tier"))
+    return groups.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def like_leader(stars: DataFrame, least: float, ratio: float) -> DataFrame:
-    """a, b, tier 1: rows (leader, leader_n, leader_sketch, id, n, sketch) whose sketches are alike enough."""
+    """a, b: rows (leader, leader_n, leader_sketch, id, n, sketch) whose sketches are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +182,9 @@ def like_leader(stars: DataFrame, least: float, ratio: float) -> DataFrame:
             m, n = batch.column("leader_n").to_numpy(), batch.column("n").to_numpy()
             keep = pa.array(((one == two).mean(1) >= least) & (np.minimum(m, n) >= ratio * np.maximum(m, n)))
             a, b = batch.column("leader").filter(keep), batch.column("id").filter(keep)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array([1] * len(a), pa.int32())], names=["a", "b", "tier"])
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
-    return stars.select("leader", "leader_n", "leader_sketch", "id", "n", "sketch").mapInArrow(run, "a bigint, b bigint, tier int").groupBy("a", "b").agg(F.min("tier").alias("tier"))
+    return stars.select("leader", "leader_n", "leader_sketch", "id", "n", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -235,13 +240,16 @@ class Search:
         self.similarity = per_cent / 100
         self.least, self.ratio = self.similarity - SLACK, self.similarity * (1 - 1e-9)
         self.sets = self.labels = None
+        self.again: list = []  # what gives all pairs of the nodes compared so far, for labels as they are then
 
     def link(self, pairs: DataFrame) -> None:
         """Confirm pairs on full sets and bring the labels up to date; pairs is a written table.
 
         New links join components, so only the graph of the old labels is solved again.
         """
-        new = written(confirmed(pairs, self.sets, self.per_cent), "links")
+        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+        few = F.broadcast(ids) if pairs.count() <= FEW_IDS else ids  # at most twice as many ids as pairs
+        new = written(confirmed(pairs, self.sets.join(few, F.col("id") == F.col("_id"), "left_semi"), self.per_cent), "links")
         if new.isEmpty():
             return
         if self.labels is None:
@@ -263,12 +271,20 @@ class Search:
         small = by_node(members, sizes.where(F.col("size") <= SMALL)).groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         # trees find the same nodes again and again; each set of classes is compared once
         groups = small.select("ids").where(F.size("ids") > 1).distinct().select(F.explode("ids").alias("id"), F.xxhash64("ids").alias("node"))
-        full = labelled(groups.join(self.classes, "id"), self.labels)
-        full = full.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label", F.lit(True).alias("outside"))).alias("members"))
-        pairs = compared(full, self.least, self.ratio)
+        groups = written(groups, "groups")
+        pairs = self.of_groups(groups, True)
         large = by_node(members, sizes.where(F.col("size") > SMALL)).join(self.classes, "id").select("path", "id", "n", "sketch")
         large = written(labelled(large, self.labels), "large")
-        return written(pairs.union(self.stars(large, level)).groupBy("a", "b").agg(F.min("tier").alias("tier")), "pairs"), large
+        self.again.append(lambda: self.of_groups(groups, False))
+        return written(pairs.union(self.stars(large, level)).distinct(), "pairs"), large
+
+    def of_groups(self, groups: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of small nodes that join components as they are now."""
+        own = labelled(groups, self.labels)
+        mixed = own.groupBy("node").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("node")
+        full = own.join(mixed, "node").join(self.classes, "id")
+        full = full.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label", F.lit(True).alias("outside"))).alias("members"))
+        return compared(full, self.least, self.ratio, forest)
 
     def stars(self, large: DataFrame, level: int) -> DataFrame:
         """Pairs of a large node's leader and its other classes; one order of classes a level, so nodes share leaders."""
@@ -276,7 +292,7 @@ class Search:
         leaders = large.groupBy("path").agg(F.min(order).getField("id").alias("leader"))
         own = self.classes.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("sketch").alias("leader_sketch"))
         met = by_node(large, leaders.join(own, "leader"))
-        return like_leader(met.where("id <> leader"), self.least, self.ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier")
+        return like_leader(met.where("id <> leader"), self.least, self.ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def run(self) -> DataFrame | None:
         """id, label of the classes that have links; None if there are none."""
@@ -284,28 +300,26 @@ class Search:
         pairs, large = self.candidates(self.classes.select("id", roots), 0)
         ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "involved")
         self.sets = written(full_sets(self.docs, ids, self.k), "sets")
-        later = [pairs]
         for turn in range(1, ROUNDS + 1):
-            self.link(pairs.where("tier = 1"))
+            self.link(pairs)
             open_ = self.open_nodes(large)
-            few, many = open_.where(F.col("outside") <= SMALL), open_.where(F.col("outside") > SMALL)
             if open_.isEmpty():
                 break
-            later.append(written(self.finished(few), "finished"))
+            few, many = open_.where(F.col("outside") <= OUTSIDE), open_.where(F.col("outside") > OUTSIDE)
+            if not few.isEmpty():
+                self.link(written(self.finished(few, True), "finished"))
+                self.again.append(lambda few=few: self.finished(few, False))
             if many.isEmpty():
                 break
             if turn == ROUNDS:
-                later.append(self.rest(many))
+                self.again.append(lambda many=many: self.rest(many))
                 break
             for _ in range(STEPS):
                 many = branches(many, self.similarity)
             pairs, large = self.candidates(many.select("id", "path"), turn)
-            later.append(pairs)
-        for tier in ("tier = 1", "tier = 2"):  # most of what the first tier leaves is in one component by then
-            rest = later[0].where(tier).select("a", "b")
-            for more in later[1:]:
-                rest = rest.union(more.where(tier).select("a", "b"))
-            self.link(written(self.between(rest.distinct()), "rest"))
+        # the forests have joined what is dense; of all other pairs only those between components are left to try
+        for every in self.again:
+            self.link(written(self.between(every()), "rest"))
         return self.labels
 
     def between(self, pairs: DataFrame) -> DataFrame:
@@ -320,21 +334,22 @@ class Search:
         nodes = counts.agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"))
         return written(by_node(now, nodes.where("outside > 0")), "open")
 
-    def finished(self, few: DataFrame) -> DataFrame:
-        """Pairs of the few classes outside a node's largest component and all its classes: the few go to every slice of the node."""
+    def finished(self, few: DataFrame, forest: bool) -> DataFrame:
+        """Pairs, between components as they are now, of the few classes outside a node's largest component and all its classes: the few go to every slice of the node."""
+        few = labelled(few.withColumnRenamed("label", "was"), self.labels)
         slices = F.ceil(F.col("size") / SLICE).cast("int")
-        outside = F.col("label") != F.col("largest")
+        outside = F.col("was") != F.col("largest")
         own = F.pmod(F.xxhash64("id"), slices).cast("int")
         where = F.when(outside, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(own))
         dealt = few.select("path", F.explode(where).alias("slice"), "id", "n", "sketch", "label", outside.alias("outside"))
-        return compared(dealt.groupBy("path", "slice").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio)
+        return compared(dealt.groupBy("path", "slice").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio, forest)
 
     def rest(self, large: DataFrame) -> DataFrame:
         """finished() without a bound on the classes outside: pairs from a join on the node, and none inside the largest component."""
         few = large.where("label <> largest").select("path", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         near = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(self.ratio)) & (F.col("label") != F.col("other"))
         met = large.join(few, "path").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        return written(met.distinct().withColumn("tier", F.lit(2)), "exact")
+        return written(met.distinct(), "exact")
 
 
 def grouped(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
