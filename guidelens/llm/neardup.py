@@ -4,17 +4,20 @@ Documents are sets of word shingles, each with a sketch of COORDINATES minwise
 values. Exact copies (equal sets) are one class from the start. A node of a tree
 holds classes; it picks coordinates by its own hash, 1 / similarity of them on
 average, and each class goes to the child for its own minwise value there. So pairs
-at or above the similarity stay together on some path with constant probability at
-any depth, and others part. Nodes of at most SMALL classes are compared
-exhaustively (by sketch, then on full sets); TREES independent trees bring recall
-to the target: a pair in small nodes is missed by all with (1 - similarity)^TREES.
+at or above the similarity keep one path in common on average, and others part.
+Nodes of at most SMALL classes are compared exhaustively (by sketch, then on full
+sets), after every level. With 1 / similarity children the branching is critical: the
+chance that a pair is still together falls about as 1 / depth. So depth is bounded,
+and there are as many independent trees, TREES at least, as a pair exactly at the
+similarity needs to be missed by all of them with 1 - RECALL at most if its nodes stay
+open down to the deepest level; recall() has the chance, over what sketches may give.
 
 Classes of a larger node are first compared with the node's leader. A node whose
 classes are then all in one component is done: it has no link left that would change
 a component. If at most OUTSIDE classes are outside its largest component, those are
 compared with all its classes, in slices of SLICE. Others branch on, STEPS levels
-at a time. Nodes still large after ROUNDS rounds are finished in the exact way too,
-however many classes are outside. Links are confirmed on full sets: per_cent of
+at a time. Nodes still open in the last of ROUNDS rounds are finished in the exact way
+too, however many classes are outside, in blocks of OUTSIDE. Links are confirmed on full sets: per_cent of
 the union in common at least.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; shingles have k
@@ -28,6 +31,7 @@ length are taken whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import dropped, map_slices, written
 
 COORDINATES, TREES, SMALL = 128, 12, 48
-ROUNDS, STEPS, SLICE, OUTSIDE = 7, 3, 256, 512
+ROUNDS, STEPS, SLICE, OUTSIDE = 3, 3, 256, 512
+RECALL = 0.99  # of pairs exactly at the similarity whose nodes are open down to the deepest level
 SLACK = 0.16  # how far a sketch's estimate may lie below the similarity: four and a half standard deviations or more
 WORDS = 500_000  # word hashes that a task remembers before it starts anew
 FEW_IDS = 200_000  # ids that are broadcast to pick texts; more are joined by shuffle
@@ -117,18 +122,43 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return map_slices(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id"), "left_semi"), make, "id bigint, items array<bigint>")
 
 
+def recall(similarity: float, trees: int, levels: int) -> float:
+    """Chance that a pair exactly at the similarity shares a node after so many levels in one tree at least.
+
+    Its coordinates in common are binomial, and the same in all trees; more of them may be picked twice on a path, which only helps.
+    """
+    whole, part = divmod(1 / similarity, 1)
+    missed = 0.0
+    for m in range(COORDINATES + 1):
+        stays = 1.0
+        for _ in range(levels):
+            parts = 1 - m / COORDINATES * stays
+            stays = 1 - parts**whole * (1 - part + part * parts)
+        missed += math.comb(COORDINATES, m) * similarity**m * (1 - similarity) ** (COORDINATES - m) * (1 - m / COORDINATES * stays) ** trees
+    return 1 - missed
+
+
+def trees(similarity: float) -> int:
+    """The trees that bring recall at the deepest level to RECALL, TREES at least."""
+    out = TREES
+    while recall(similarity, out, (ROUNDS - 1) * STEPS) < RECALL:
+        out += 1
+    return out
+
+
 def child(path: F.Column, which: F.Column) -> F.Column:
     """The child of a node for the class's minwise value at a coordinate."""
     return F.xxhash64(path, which, F.substring(F.col("sketch"), which * 4 + 1, F.lit(4)))
 
 
 def branches(members: DataFrame, similarity: float) -> DataFrame:
-    """members (path, id, sketch) in the children of their nodes: one, or two with what 1 / similarity leaves over."""
+    """members (path, id, sketch) in the children of their nodes: as many as 1 / similarity is whole, and one more with what it leaves over."""
     path = F.col("path")
     pick = lambda j: F.pmod(F.xxhash64(path, F.lit(f"coordinate {j}")), F.lit(COORDINATES)).cast("int")
-    second = F.pmod(F.xxhash64(path, F.lit("branch")), F.lit(1_000_000)) < int(1_000_000 * (1 / similarity - 1))
-    both = F.array(child(path, pick(0)), child(path, pick(1)))
-    children = F.array_distinct(F.when(second, both).otherwise(F.slice(both, 1, 1)))
+    whole, part = divmod(1 / similarity, 1)
+    more = F.pmod(F.xxhash64(path, F.lit("branch")), F.lit(1_000_000)) < int(1_000_000 * part)
+    every = F.array(*(child(path, pick(j)) for j in range(int(whole) + 1)))
+    children = F.array_distinct(F.when(more, every).otherwise(F.slice(every, 1, int(whole))))
     return members.select("id", "sketch", F.explode(children).alias("path"))
 
 
@@ -265,19 +295,35 @@ class Search:
         fresh = joined.select(F.col("a").alias("id")).union(joined.select("b")).distinct().join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
         self.labels = written(known.union(fresh).join(change, F.col("label") == F.col("_from"), "left").select("id", F.coalesce("_to", "label").alias("label")), "labels")
 
-    def candidates(self, members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small nodes and of large nodes' leaders; members of large nodes (written, with sketches)."""
+    def split(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of small nodes; members (path, id) of large ones."""
         sizes = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
         small = by_node(members, sizes.where(F.col("size") <= SMALL)).groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         # trees find the same nodes again and again; each set of classes is compared once
         groups = small.select("ids").where(F.size("ids") > 1).distinct().select(F.explode("ids").alias("id"), F.xxhash64("ids").alias("node"))
         groups = written(groups, "groups")
-        pairs = self.of_groups(groups, True)
-        large = by_node(members, sizes.where(F.col("size") > SMALL)).join(self.classes, "id").select("path", "id", "n", "sketch")
-        large = written(labelled(large, self.labels), "large")
         self.again.append(lambda: self.of_groups(groups, False))
+        return self.of_groups(groups, True), by_node(members, sizes.where(F.col("size") > SMALL)).select("path", "id")
+
+    def candidates(self, members: DataFrame, level: int, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Pairs of small nodes, those found before and those of large nodes' leaders; members of large nodes (written, with sketches)."""
+        pairs, left = self.split(members)
+        large = written(labelled(left.join(self.classes, "id").select("path", "id", "n", "sketch"), self.labels), "large")
+        for more in found:
+            pairs = pairs.union(more)
         return written(pairs.union(self.stars(large, level)).distinct(), "pairs"), large
 
+    def branched(self, many: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """candidates() of the nodes' descendants STEPS levels down; what gets small on the way is compared there."""
+        found = []
+        for step in range(STEPS):
+            members = written(branches(many, self.similarity).select("id", "path"), "members")
+            if step < STEPS - 1:
+                pairs, left = self.split(members)
+                found.append(pairs)
+                many = left.join(self.classes.select("id", "sketch"), "id")
+        return self.candidates(members, level, found)
+
     def of_groups(self, groups: DataFrame, forest: bool) -> DataFrame:
         """Pairs of small nodes that join components as they are now."""
         own = labelled(groups, self.labels)
@@ -296,8 +342,8 @@ class Search:
 
     def run(self) -> DataFrame | None:
         """id, label of the classes that have links; None if there are none."""
-        roots = F.explode(F.array(*(child(F.lit(t), F.pmod(F.xxhash64(F.lit(f"root {t}")), F.lit(COORDINATES)).cast("int")) for t in range(TREES)))).alias("path")
-        pairs, large = self.candidates(self.classes.select("id", roots), 0)
+        roots = F.explode(F.array(*(child(F.lit(t), F.pmod(F.xxhash64(F.lit(f"root {t}")), F.lit(COORDINATES)).cast("int")) for t in range(trees(self.similarity))))).alias("path")
+        pairs, large = self.candidates(self.classes.select("id", roots), 0, [])
         ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "involved")
         self.sets = written(full_sets(self.docs, ids, self.k), "sets")
         for turn in range(1, ROUNDS + 1):
@@ -305,18 +351,14 @@ class Search:
             open_ = self.open_nodes(large)
             if open_.isEmpty():
                 break
-            few, many = open_.where(F.col("outside") <= OUTSIDE), open_.where(F.col("outside") > OUTSIDE)
+            small = F.lit(True) if turn == ROUNDS else F.col("outside") <= OUTSIDE
+            few, many = open_.where(small), open_.where(~small)
             if not few.isEmpty():
                 self.link(written(self.finished(few, True), "finished"))
                 self.again.append(lambda few=few: self.finished(few, False))
             if many.isEmpty():
                 break
-            if turn == ROUNDS:
-                self.again.append(lambda many=many: self.rest(many))
-                break
-            for _ in range(STEPS):
-                many = branches(many, self.similarity)
-            pairs, large = self.candidates(many.select("id", "path"), turn)
+            pairs, large = self.branched(many, turn)
         # the forests have joined what is dense; of all other pairs only those between components are left to try
         for every in self.again:
             self.link(written(self.between(every()), "rest"))
@@ -335,21 +377,17 @@ class Search:
         return written(by_node(now, nodes.where("outside > 0")), "open")
 
     def finished(self, few: DataFrame, forest: bool) -> DataFrame:
-        """Pairs, between components as they are now, of the few classes outside a node's largest component and all its classes: the few go to every slice of the node."""
+        """Pairs, between components as they are now, of the classes outside a node's largest component and all its classes: every block of those outside meets every slice of the node."""
         few = labelled(few.withColumnRenamed("label", "was"), self.labels)
-        slices = F.ceil(F.col("size") / SLICE).cast("int")
+        slices, blocks = F.ceil(F.col("size") / SLICE).cast("int"), F.ceil(F.col("outside") / OUTSIDE).cast("int")
         outside = F.col("was") != F.col("largest")
-        own = F.pmod(F.xxhash64("id"), slices).cast("int")
-        where = F.when(outside, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(own))
-        dealt = few.select("path", F.explode(where).alias("slice"), "id", "n", "sketch", "label", outside.alias("outside"))
-        return compared(dealt.groupBy("path", "slice").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio, forest)
-
-    def rest(self, large: DataFrame) -> DataFrame:
-        """finished() without a bound on the classes outside: pairs from a join on the node, and none inside the largest component."""
-        few = large.where("label <> largest").select("path", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        near = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(self.ratio)) & (F.col("label") != F.col("other"))
-        met = large.join(few, "path").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        return written(met.distinct(), "exact")
+        own, block = F.pmod(F.xxhash64("id"), slices).cast("int"), F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
+        cell = lambda b, s: F.struct(b.alias("block"), s.alias("slice"))
+        column = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: cell(b, own))
+        row = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: cell(block, s))
+        where = F.when(outside, F.array_union(column, row)).otherwise(column)
+        dealt = few.select("path", F.explode(where).alias("cell"), "id", "n", "sketch", "label", outside.alias("outside"))
+        return compared(dealt.groupBy("path", "cell").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio, forest)
 
 
 def grouped(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:

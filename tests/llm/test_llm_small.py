@@ -250,6 +250,42 @@ def test_hub_of_near_copies(spark):
     assert {r.component_id for r in got if r.doc_id < 500} == {0} and sum(r.kept for r in got) == 11
 
 
+def hot_rows(pairs):
+    """Texts that share a long passage, in pairs just at 50 per cent: nodes stay large over many levels."""
+    passage, rng, rows = " ".join(f"hot{i}" for i in range(46)), np.random.default_rng(6), []
+    for g in range(pairs):
+        own = [f"o{g}x{i}" for i in range(54)]
+        other = list(own)
+        other[-32:] = [f"p{g}x{i}" for i in range(32)]
+        rows += [(int(rng.integers(1, 1000)) + 1000 * len(rows), f"{passage} {' '.join(w)}") for w in (own, other)]
+    return rows
+
+
+def linked(rows, k, per_cent):
+    """Pairs that brute force links."""
+    sets = [(i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}) for i, w in ((i, t.split()) for i, t in rows)]
+    return [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1 :] if 100 * len(x & y) >= per_cent * len(x | y)]
+
+
+def test_links_of_large_nodes(spark, monkeypatch):
+    rows, ran = hot_rows(80), set()
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "OUTSIDE", 16)
+    branches, exact = neardup.branches, neardup.Search.finished
+    monkeypatch.setattr(neardup, "branches", lambda *a: ran.add("branches") or branches(*a))
+    monkeypatch.setattr(neardup.Search, "finished", lambda *a: ran.add("exact") or exact(*a))
+    want = linked(rows, 3, 50)
+    label = {r.doc_id: r.component_id for r in neardup.grouped(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS), 3, 50).collect()}
+    assert len(want) == 80 and sum(label[a] == label[b] for a, b in want) >= neardup.RECALL * len(want)
+    assert ran == {"branches", "exact"} and len(set(label.values())) >= 80
+
+
+def test_trees_meet_the_recall():
+    levels = (neardup.ROUNDS - 1) * neardup.STEPS
+    for similarity in (0.3, 0.5, 0.8, 0.95):
+        assert neardup.recall(similarity, neardup.trees(similarity), levels) >= neardup.RECALL
+
+
 def test_deduplicated_keeps_one_of_each(spark, odd):
     out = neardup.deduplicated(odd)
     ids = sorted(str(r.doc_id) for r in out.collect())
