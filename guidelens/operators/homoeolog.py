@@ -26,12 +26,13 @@ def editing_spread(rows: DataFrame, group: str, rate_column: str = "rate") -> Da
 
 
 def coedit_independence(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Chances in per cent that all, none, one or more, and exactly one copy is edited, if copies are edited independently; parity and bias of the rates."""
+    """Chances in per cent that all, none, one or more, and some but not all copies are edited, if copies are edited independently; parity and bias of the rates. A copy alone is never edited in part."""
     e = F.transform(F.transform(F.array_sort(F.collect_list(F.struct(order, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("rate"))).alias("r")))), lambda s: s["r"]), lambda r: r / 100.0)
     product = lambda xs: F.aggregate(xs, F.lit(1.0), lambda a, x: a * x)
     per = rows.groupBy(group).agg(e.alias("e"), F.max("rate").alias("hi"), F.min("rate").alias("lo"))
     none = product(F.transform("e", lambda x: 1.0 - x))
-    single = F.aggregate(F.transform("e", lambda x, i: x * product(F.transform(F.filter("e", lambda y, j: j != i), lambda y: 1.0 - y))), F.lit(0.0), lambda a, x: a + x)
+    one, two = F.get("e", F.lit(0)), F.get("e", F.lit(1))
+    single = F.when(F.size("e") == 2, one * (1.0 - two) + two * (1.0 - one)).otherwise(F.greatest(F.lit(0.0), 1.0 - none - product(F.col("e"))))
     return per.select(group, (product(F.col("e")) * 100.0).alias("p_both"), (none * 100.0).alias("p_none"), ((1.0 - none) * 100.0).alias("p_at_least_one"), (single * 100.0).alias("p_single"), F.when(F.col("hi") > 0, F.col("lo") / F.col("hi") * 100.0).otherwise(100.0).alias("parity"), F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).when(F.col("hi") > 0, 999.0).otherwise(1.0).alias("bias"))
 
 

@@ -179,6 +179,18 @@ def coedit_independence(spark, sf_dir):
     return out.select("grp", *(F.round(c, 9).alias(c) for c in out.columns if c != "grp"))
 
 
+@query(
+    f"""WITH r AS ({_RATES}), p AS (SELECT grp, list(rate / 100 ORDER BY copy) AS e, max(rate) AS hi, min(rate) AS lo FROM r GROUP BY grp),
+    m AS (SELECT *, list_product(e) AS every, list_product(list_transform(e, lambda x: 1 - x)) AS none FROM p)
+    SELECT grp, round(every * 100, 9) AS p_both, round(none * 100, 9) AS p_none, round((1 - none) * 100, 9) AS p_at_least_one,
+    round(CASE WHEN len(e) = 2 THEN e[1] * (1 - e[2]) + e[2] * (1 - e[1]) ELSE greatest(0, 1 - none - every) END * 100, 9) AS p_single,
+    round(CASE WHEN hi > 0 THEN lo / hi * 100 ELSE 100 END, 9) AS parity, round(CASE WHEN lo > 0 THEN hi / lo WHEN hi > 0 THEN 999 ELSE 1 END, 9) AS bias FROM m"""
+)
+def coedit_independence_all_copies(spark, sf_dir):
+    out = homoeolog.coedit_independence(_rates(spark, sf_dir), "grp", "copy")
+    return out.select("grp", *(F.round(c, 9).alias(c) for c in out.columns if c != "grp"))
+
+
 @query(
     """WITH r AS (SELECT concat('g', CAST(l_suppkey % 4 AS VARCHAR)) AS gene, CASE l_linenumber % 3 WHEN 0 THEN 'In-frame' WHEN 1 THEN 'Out-of-frame' ELSE 'No indel' END AS classification, CAST(l_partkey % 31 - 15 AS INT) AS net_indel, l_quantity * 1.0e0 AS read_pct FROM lineitem),
     p AS (SELECT concat(classification, ' [', CASE WHEN net_indel >= 0 THEN '+' ELSE '' END, CAST(net_indel AS VARCHAR), 'bp]') AS allele_key, gene, max(read_pct) AS pct FROM r GROUP BY ALL)

@@ -36,6 +36,15 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_coedit_of_any_number_of_copies(spark):
+    from guidelens.operators import homoeolog
+
+    rows = [("one", 1, 30.0), ("two", 1, 50.0), ("two", 2, 20.0), ("three", 1, 50.0), ("three", 2, 50.0), ("three", 3, 20.0)]
+    out = homoeolog.coedit_independence(spark.createDataFrame(rows, "grp string, copy int, rate double"), "grp", "copy").collect()
+    got = {r.grp: (r.p_both, r.p_none, r.p_single) for r in out}
+    assert got["one"] == pytest.approx((30, 70, 0)) and got["two"] == pytest.approx((10, 40, 50)) and got["three"] == pytest.approx((5, 20, 75))
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.count() > 0 and "read_inner" in out.columns
