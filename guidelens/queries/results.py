@@ -57,6 +57,12 @@ def read_usability(spark, sf_dir):
     return hits.select("read_index", (F.col("reason") == "ok").alias("usable"), "reason", "read_window", "is_rc")
 
 
+@query()
+def read_usability_all_reads(spark, sf_dir):
+    hits = target_hits(assigned(reads(spark, sf_dir), _ONE))
+    return hits.select("read_index", (F.col("reason") == "ok").alias("usable"), "reason", "read_window", "is_rc")
+
+
 @query(f"{TRUTH} SELECT read_index, allele, category, false AS has_sub, CAST(true_net AS INT) AS net_indel FROM truth")
 def mutation_calls(spark, sf_dir):
     hits = target_hits(calls(spark, sf_dir).where("outcome = 'assigned'")).where("reason = 'ok'")
@@ -79,6 +85,11 @@ def failure_reasons(spark, sf_dir):
     return summary.failure_counts(hits).select("file", "reason", "n")
 
 
+@query()
+def failure_reasons_all_reads(spark, sf_dir):
+    return summary.failure_counts(target_hits(assigned(reads(spark, sf_dir), _ONE))).select("file", "reason", "n")
+
+
 @query(f"{ALLELES} SELECT file, gene, read_inner, read_count, first_seen, category, false AS has_sub, net_indel FROM alleles")
 def alleles_by_target(spark, sf_dir):
     return allele_table(spark, sf_dir).drop("kind", "target_id")
@@ -271,6 +282,12 @@ def rescue_clusters(spark, sf_dir):
     return summary.rescued(c, TWINS).select("file", "key", "cluster", "rescued").distinct()
 
 
+@query()
+def rescue_clusters_all_reads(spark, sf_dir):
+    c = assigned(reads(spark, sf_dir), TWINS)
+    return summary.rescued(c, TWINS).select("file", "key", "cluster", "rescued").distinct()
+
+
 @query(f"{_CLUSTERS}, k AS (SELECT CASE WHEN n >= 20 THEN 'rescued' ELSE 'ambiguous' END AS kind, n FROM c), g AS (SELECT 'A' AS gene, * FROM k UNION ALL SELECT 'A2', * FROM k WHERE kind = 'ambiguous') SELECT gene, kind, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY ALL")
 def ambiguous_union(spark, sf_dir):
     c = assigned(reads(spark, sf_dir).where("true_gene = 'A'"), TWINS)
@@ -278,6 +295,12 @@ def ambiguous_union(spark, sf_dir):
     return hits.groupBy(F.when(F.col("gene_ix") == 0, "A").otherwise("A2").alias("gene"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def ambiguous_union_all_reads(spark, sf_dir):
+    hits = hits_by_kind(assigned(reads(spark, sf_dir), TWINS), TWINS).where("reason = 'ok'")
+    return hits.groupBy(F.when(F.col("gene_ix") == 0, "A").otherwise("A2").alias("gene"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"{READS} SELECT read_index, concat('@', read_id, chr(10), seq, chr(10), '+', chr(10), qual) AS record FROM reads")
 def fastq_serialize(spark, sf_dir):
     r = reads(spark, sf_dir)

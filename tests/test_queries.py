@@ -36,6 +36,39 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_all_reads_against_one_read_at_a_time(spark):
+    from collections import Counter
+
+    from guidelens.operators.assign import Assigner
+    from guidelens.queries.fixtures import TWINS, reads
+    from guidelens.queries.results import _ONE
+
+    rows = reads(spark, SF).select("read_index", "file", "true_gene", "seq", "qual").collect()
+    one, twins = Assigner(_ONE.genes, _ONE), Assigner(TWINS.genes, TWINS)
+    reasons, keys, want = Counter(), Counter(), {}
+    for r in rows:
+        hit = one(r.seq, r.qual)[5][0]
+        want[r.read_index] = hit["reason"], hit["read_window"]
+        if hit["reason"] != "ok":
+            reasons[r.file, hit["reason"]] += 1
+        outcome, *_, hits = twins(r.seq, r.qual)
+        ok = [h for h in hits if h["reason"] == "ok"]
+        if outcome == "ambiguous" and ok:
+            best = min(ok, key=lambda h: (-h["whole_score"], h["window"]))
+            keys[r.file, best["gene_ix"], best["read_window"].upper()] += 1
+    got = QUERIES["read_usability_all_reads"](spark, SF).collect()
+    assert {r.read_index: (r.reason, r.read_window) for r in got} == want and len(got) == len(rows)
+    assert {(r.file, r.reason): r.n for r in QUERIES["failure_reasons_all_reads"](spark, SF).collect()} == reasons
+    clusters = {(r.file, r.key, r.cluster, r.rescued) for r in QUERIES["rescue_clusters_all_reads"](spark, SF).collect()}
+    assert clusters == {(f, k, n, n >= TWINS.rescue_reads) for (f, _, k), n in keys.items()}
+    union = Counter({(r.gene, r.kind): r.n for r in QUERIES["ambiguous_union_all_reads"](spark, SF).collect()})
+    saved = Counter()
+    for (_, g, _), n in keys.items():
+        if n >= TWINS.rescue_reads:
+            saved["A" if g == 0 else "A2"] += n
+    assert sum(n for (_, kind), n in union.items() if kind == "rescued") == sum(saved.values())
+
+
 def test_coedit_of_any_number_of_copies(spark):
     from guidelens.operators import homoeolog
 
