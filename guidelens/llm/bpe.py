@@ -28,7 +28,7 @@ SPACE = r"[\p{White_Space}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 #: Fixed value: the word pattern of byte-level pre-tokenizers.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
-CACHE = 400_000  # pieces, or pairs, that a task remembers before it starts anew
+CACHE = 120_000  # pieces, or pairs, that a task remembers before it starts anew
 NEVER = 1 << 60
 
 
@@ -76,16 +76,7 @@ class ByteBpe:
         for a, b, r in parts.values():
             if max(parts.get(a, (0, 0, -1))[2], parts.get(b, (0, 0, -1))[2]) >= r:
                 raise ValueError("a merge comes before one of its parts")
-        self.right, self.left = {}, {}
-        for i in self.bytes_of:
-            for spines, side in ((self.right, 1), (self.left, 0)):
-                spine, token, until = [], i, NEVER
-                while True:
-                    spine.append((token, until))
-                    if token not in parts:
-                        break
-                    until, token = parts[token][2], parts[token][side]
-                spines[i] = spine
+        self.parts = parts
         self.automaton = ahocorasick.Automaton()
         built = {*parts, *(i for i, b in self.bytes_of.items() if len(b) == 1)}
         for i in built:
@@ -102,6 +93,14 @@ class ByteBpe:
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache = PieceCache(self.encode_piece)
 
+    def border(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at one end (0: left, 1: right) of a token as its merges are undone, each with the rank of the merge that takes it up."""
+        out, until = [], NEVER
+        while token in self.parts:
+            out.append((token, until))
+            until, token = self.parts[token][2], self.parts[token][side]
+        return [*out, (token, until)]
+
     def compatible(self, a: int, b: int) -> bool:
         """No merge over the border of a and b comes before what consumes its two sides."""
         known = self.fits.get((a, b))
@@ -109,8 +108,9 @@ class ByteBpe:
             if len(self.fits) >= CACHE:
                 self.fits.clear()
             known = True
-            for x, x_until in self.right[a]:
-                for y, y_until in self.left[b]:
+            theirs = self.border(b, 0)
+            for x, x_until in self.border(a, 1):
+                for y, y_until in theirs:
                     r = self.rank.get((x, y))
                     if r is not None and x_until > r and y_until >= r:
                         known = False

@@ -5,23 +5,32 @@ rendering shows its own turns as the assistant's, other participants' as turns o
 named users, and narrators' as they are. The mask lists the stretches (code points,
 end exclusive) that are trained on: the text and end mark of the assistant's turns.
 
-Turns are ordered by turn, role and text. A conversation is rendered in segments of
-SEGMENT turn numbers, so that no task holds an unbounded dialogue; almost all have
-one, number 0. Null turns come last, in segments of their own by hash. Null roles
-are the speaker `unknown`; null texts are empty; repeated rows are repeated turns.
-`<|` in a text is written `< |`, so that no text can open a turn. Conversations of
-narrators only, and empty tables, give no rows.
+Turns are ordered by turn (null ones last), role and text. A conversation of up to
+SEGMENT turns is one row a speaker, segment 0; a longer one is cut after every SEGMENT
+turns, so that no row or task holds an unbounded dialogue: its texts in order of
+segment are the whole rendering, and each row's mask is about the row's own text. Only
+conversations that long have their turns numbered, bucket by bucket of turn numbers.
+
+Null roles are the speaker `unknown`; null texts are empty; a null conv_id is one
+conversation; repeated rows are repeated turns, and ties are equal turns. `<|` in a
+text is written `< |`, so that no text can open a turn. Texts of any length are taken
+whole. Conversations of narrators only, and empty tables, give no rows. Columns other
+than conv_id, turn, role and text, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEGMENT = 256
+from .common import checked, written
+
+SEGMENT = 4096  # turns of a row, at most
 NARRATORS = ("system",)
 END = "<|end|>\n"
-NULL_TURNS = 1 << 40  # segments from here on hold null turns
+LAST = (1 << 63) - 1  # where null turns stand
+FEW = 200_000  # long conversations that are broadcast; more are joined by shuffle
 
 
 def piece(role: Column, speaker: Column, text: Column) -> tuple[Column, Column]:
@@ -30,17 +39,40 @@ def piece(role: Column, speaker: Column, text: Column) -> tuple[Column, Column]:
     return opening, F.concat(text, F.lit(END))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns with the segment of each: its place in the conversation over SEGMENT.
+
+    Places come from the counts of buckets of turn numbers and the place within a
+    bucket, so a conversation with very many turns is dealt over tasks.
+    """
+    place = turns.withColumn("bucket", F.floor(F.col("place") / SEGMENT))
+    counts = place.groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("conv_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.col("conv_id").alias("of"), F.col("bucket").alias("in"), F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("conv_id", "bucket").orderBy("place", "role", "text")) - 1
+    met = place.withColumn("own", own).join(counts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    return met.withColumn("segment", F.floor((F.col("before") + F.col("own")) / SEGMENT))
+
+
 def perspectives(conversations: DataFrame) -> DataFrame:
     """conv_id, segment, speaker, n_turns, n_assistant, text, mask (start:end, comma-joined)."""
-    role = F.coalesce("role", F.lit("unknown"))
-    turns = conversations.select(
-        "conv_id", F.col("turn").cast("bigint").alias("turn"), role.alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-    ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(NULL_TURNS) + F.pmod(F.xxhash64("role", "text"), F.lit(1024))))
-    # sorted by its first field, a null turn's being the largest number
-    line = F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "role", "text")
-    segments = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(line)).alias("turns"))
-    speakers = turns.where(~F.col("role").isin(*NARRATORS)).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    both = segments.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    place = F.coalesce(F.col("turn").cast("bigint"), F.lit(LAST)).alias("place")
+    turns = conversations.select("conv_id", place, F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
+    line, is_speaker = F.struct("place", "role", "text"), ~F.col("role").isin(*NARRATORS)
+    long = written(turns.groupBy(F.col("conv_id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SEGMENT).select("of"), "long-conversations")
+    same, segment = F.col("conv_id").eqNullSafe(F.col("of")), F.col("segment")
+    if long.isEmpty():
+        short, both = turns, None
+    else:
+        few = checked(long, FEW)
+        short, cut = turns.join(few, same, "left_anti"), turns.join(few, same, "left_semi")
+        segments = numbered(cut).groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(line)).alias("turns"))
+        speakers = cut.where(is_speaker).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
+        both = segments.join(speakers, same).select("conv_id", segment, "speaker", "turns")
+    whole = short.groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("turns"))
+    names = F.array_distinct(F.transform(F.filter("turns", lambda t: ~t.role.isin(*NARRATORS)), lambda t: t.role))
+    whole = whole.select("conv_id", F.lit(0).cast("bigint").alias("segment"), F.explode(names).alias("speaker"), "turns")
+    both = whole if both is None else whole.union(both)
 
     def one(t: Column) -> Column:
         opening, rest = piece(t.role, F.col("speaker"), t.text)
@@ -60,14 +92,15 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     )
 
 
-#: DuckDB SQL for the same rows (tables without null turns).
+#: DuckDB SQL for the same rows.
 PERSPECTIVES_SQL = f"""
-WITH t AS (SELECT conv_id, turn // {SEGMENT} AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // {SEGMENT} AS segment FROM r),
+s AS (SELECT DISTINCT conv_id AS of_id, role AS speaker FROM t WHERE role <> 'system'),
 x AS (SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS opening,
-    text || '<|end|>' || chr(10) AS rest FROM t JOIN s USING (conv_id)),
-y AS (SELECT *, sum(length(opening) + length(rest)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM x)
+    text || '<|end|>' || chr(10) AS rest FROM t JOIN s ON conv_id IS NOT DISTINCT FROM of_id),
+y AS (SELECT *, sum(length(opening) + length(rest)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM x)
 SELECT conv_id, segment, speaker, count(*) AS n_turns, count(*) FILTER (role = speaker) AS n_assistant,
-  string_agg(opening || rest, '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CAST(stop - length(rest) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY turn, role, text) FILTER (role = speaker), '') AS mask
+  string_agg(opening || rest, '' ORDER BY stop) AS text,
+  coalesce(string_agg(CAST(stop - length(rest) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (role = speaker), '') AS mask
 FROM y GROUP BY conv_id, segment, speaker"""

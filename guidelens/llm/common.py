@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a new local one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; a new local one where it is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="guidelens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +44,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """mapInArrow over slices of SLICE_ROWS rows.
 
@@ -54,10 +63,9 @@ def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, function = to_arrow_schema(spark_schema), make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = function(batch.slice(at, SLICE_ROWS).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for part in slices_of(batches):
+            out = function(part.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
 
@@ -65,3 +73,16 @@ def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
 def id_crc(column: str = "doc_id") -> F.Column:
     """crc32 of the id as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def checked(df: DataFrame, most: int) -> DataFrame:
+    """df, a written table, marked for broadcasting if it has no more than so many rows; more of them are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, or name with underscores before it, that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

@@ -12,8 +12,8 @@ Null and empty texts have no keys; two empty sets have likeness 1. Words over
 LONG_WORD bytes are cut into pieces of their own. Equal texts have equal
 fingerprints. Whole slices of texts are sketched and peeled at once in numpy.
 
-successors() gives each document the next one by id without one global sort: ids
-are cut at quantiles, and the first document of each range is also dealt to the
+successors() gives each document the next one by id without one global sort: ids, of
+the whole 64-bit range, are cut at quantiles, and the first document of each range is also dealt to the
 range before it (that of the first range to the last). Null ids come first; rows
 with one id are ordered by text, and each of them has a next document.
 """
@@ -154,23 +154,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def bound_list(bounds: list[int]) -> F.Column:
+    return F.array(*(F.lit(b).cast("bigint") for b in bounds))
+
+
+def last_bound(bounds: list[int]) -> F.Column:
+    """Number of the last bound that isn't above the column at, by binary search."""
+    every, count = bound_list(bounds), len(bounds)
+
+    def step(s: F.Column, _: F.Column) -> F.Column:
+        middle = F.floor((s.lo + s.hi) / 2).cast("int")
+        up = F.get(every, middle) <= F.col("at")
+        return F.when(s.lo + 1 >= s.hi, s).otherwise(F.struct(F.when(up, middle).otherwise(s.lo).alias("lo"), F.when(up, s.hi).otherwise(middle).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, count.bit_length()))), F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi")), step, lambda s: s.lo)
+
+
 def successors(docs: DataFrame, run) -> DataFrame | None:
     """Rows sorted so that run() sees, in each range of ids, the documents in order and at last the next range's first one."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(FIRST_ID)).alias("at"))
     wanted = min(MAX_RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    low = rows.agg(F.min("at")).first()[0]
-    if low is None:
+    # quantiles are doubles, so they only say where about to cut; the least ids above them are exact
+    cuts = rows.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [i / wanted for i in range(1, wanted)], 0.25 / wanted)
+    near = sorted({FIRST_ID, *(min(int(c), -FIRST_ID - 1) for c in cuts)})
+    lows = rows.select(last_bound(near).alias("range"), "at").groupBy("range").agg(F.min("at").alias("low")).collect()
+    if not lows:
         return None
-    exact = rows.select("at").where(F.col("at") >= 0)  # a quantile is a double, exact for ids below 2^53 only
-    cuts = exact.where(F.col("at") < 1 << 53).approxQuantile("at", [i / wanted for i in range(1, wanted)], 0.25 / wanted)
-    bounds = F.array(*(F.lit(b).cast("bigint") for b in sorted({low, *map(int, cuts)})))
-    count = len({low, *map(int, cuts)})
-    # binary search for the last bound that isn't above the id
-    step = lambda s, _: F.when(s.lo + 1 >= s.hi, s).otherwise(F.when(F.get(F.col("bounds"), F.floor((s.lo + s.hi) / 2).cast("int")) <= F.col("at"), F.struct(F.floor((s.lo + s.hi) / 2).cast("int").alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), F.floor((s.lo + s.hi) / 2).cast("int").alias("hi"))))
-    place = F.aggregate(F.sequence(F.lit(0), F.lit(max(1, count.bit_length()))), F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi")), step, lambda s: s.lo)
-    dealt = rows.withColumn("bounds", bounds).withColumn("range", place)
-    first = F.get(F.col("bounds"), F.col("range")) == F.col("at")
+    bounds = sorted(r["low"] for r in lows)
+    count = len(bounds)
+    dealt = rows.withColumn("range", last_bound(bounds))
+    first = F.get(bound_list(bounds), F.col("range")) == F.col("at")
     both = F.array(F.struct(F.col("range"), F.lit(0).alias("ahead")), F.struct(F.pmod(F.col("range") - 1, F.lit(count)).alias("range"), F.lit(1).alias("ahead")))
     dealt = dealt.select("doc_id", "text", "at", F.explode(F.when(first, both).otherwise(F.slice(both, 1, 1))).alias("in")).select("doc_id", "text", "at", "in.range", "in.ahead")
     return dealt.repartition("range").sortWithinPartitions("range", "ahead", "at", "text").select("doc_id", "text", "range", "ahead").mapInArrow(run, OUT)

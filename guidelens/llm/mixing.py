@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, free_name, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SALTS = 64
@@ -164,8 +164,9 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each as often as its copies, with all its columns."""
-    copies = mixed(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies").distinct()
-    keyed = docs.withColumn("_size", words(F.col("text")))
-    out = keyed.join(copies, same("doc_id", "_d") & same("source", "_s") & (F.col("_size") == F.col("_z")))
-    return out.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix: each as often as its copies, with all its columns, whatever their names."""
+    doc_id, source, size, copies, copy = (free_name(x, docs) for x in ("d", "s", "size", "copies", "copy"))
+    taken = mixed(docs).where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).distinct()
+    words_of = free_name("words", docs)
+    out = docs.withColumn(words_of, words(F.col("text"))).join(taken, same("doc_id", doc_id) & same("source", source) & (F.col(words_of) == F.col(size)))
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -1,31 +1,39 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
-Documents are sets of word shingles, each with a sketch of COORDINATES minwise
-values. Exact copies (equal sets) are one class from the start. A node of a tree
-holds classes; it picks coordinates by its own hash, 1 / similarity of them on
-average, and each class goes to the child for its own minwise value there. So pairs
-at or above the similarity keep one path in common on average, and others part.
-Nodes of at most SMALL classes are compared exhaustively (by sketch, then on full
-sets), after every level. With 1 / similarity children the branching is critical: the
-chance that a pair is still together falls about as 1 / depth. So depth is bounded,
-and there are as many independent trees, TREES at least, as a pair exactly at the
-similarity needs to be missed by all of them with 1 - RECALL at most if its nodes stay
-open down to the deepest level; recall() has the chance, over what sketches may give.
-
-Classes of a larger node are first compared with the node's leader. A node whose
-classes are then all in one component is done: it has no link left that would change
-a component. If at most OUTSIDE classes are outside its largest component, those are
-compared with all its classes, in slices of SLICE. Others branch on, STEPS levels
-at a time. Nodes still open in the last of ROUNDS rounds are finished in the exact way
-too, however many classes are outside, in blocks of OUTSIDE. Links are confirmed on full sets: per_cent of
-the union in common at least.
+Documents are sets of word shingles; a set's sketch holds COORDINATES minwise values.
+Exact copies (equal sets) are one class from the start. Tree t has a root node for
+each minwise value at coordinate t, and a class is in the node of its own value. A
+node up to the weight SLICE is compared exhaustively; a larger one is dealt into
+slices of that weight, each compared exhaustively, and what is linked then counts as
+one component. A node with at most OUTSIDE outside its largest component is finished
+exactly: every block of those outside meets every slice. Others branch: a node picks
+coordinates by its own hash, 1 / similarity of them on average, and each class goes
+to the child for its value there, so pairs at or above the similarity keep one path
+in common on average while others part. Nodes still open at level DEPTH are finished
+exactly too, however many are outside. A class weighs 1 and one more for every LONG
+shingles, so that slices are bounded in bytes.
+
+Comparing means: pairs of a cell (node, slice, or block and slice) whose sketches and
+sizes allow the similarity tie classes to a group, and each group is confirmed on
+full sets, per_cent of the union in common at least, in one task. There a walk from
+class to class visits only what isn't reached yet, and gives a spanning forest of the
+true links: fewer links than members. A pair that an earlier tree's exhaustive node
+has held isn't tried again.
+
+With 1 / similarity children the branching is critical: the chance that a pair is
+still together falls about as 1 / depth. So depth is bounded, and there are as many
+trees, TREES at least, as a pair exactly at the similarity needs to be missed by all
+of them with 1 - RECALL at most if its nodes stay open down to the deepest level;
+recall() has the chance, over what sketches may give. A sketch's estimate may lie
+SLACK below the similarity, four standard deviations or more.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; shingles have k
 words (fewer words: all of them as one). Null, empty and blank texts have no set
 and link with nothing. Rows that share an id are looked at one by one, each by its
-own text; a null id is a document alone. Repeated rows get equal results; ties don't matter,
-since components take their smallest id. An empty table gives no rows. Texts of any
-length are taken whole.
+own text, but texts that share their least id share their component; a null id is a
+document alone. Repeated rows get equal results; ties don't matter, since components
+take their smallest id. An empty table gives no rows. Texts of any length are taken
+whole. Columns other than doc_id and text don't matter; deduplicated() keeps them all.
 """
 
 from __future__ import annotations
@@ -40,15 +48,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_slices, written
+from .common import checked, dropped, free_name, map_slices, written
 
-COORDINATES, TREES, SMALL = 128, 12, 48
-ROUNDS, STEPS, SLICE, OUTSIDE = 3, 3, 256, 512
+COORDINATES, TREES, DEPTH = 128, 12, 6
+SLICE, LONG, OUTSIDE = 1024, 2048, 2048
 RECALL = 0.99  # of pairs exactly at the similarity whose nodes are open down to the deepest level
-SLACK = 0.16  # how far a sketch's estimate may lie below the similarity: four and a half standard deviations or more
-WORDS = 500_000  # word hashes that a task remembers before it starts anew
-FEW_IDS = 200_000  # ids that are broadcast to pick texts; more are joined by shuffle
-SALTS = 16
+SLACK = 0.13
+PAIRS = 20_000  # pairs of classes whose sketches are compared at once
+WORDS = 150_000  # word hashes that a task remembers before it starts anew
+FEW = 200_000  # rows of nodes or ids that are broadcast; more are joined by shuffle
+MARKED = 62  # trees whose finished nodes are remembered, in the bits of a long
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -87,39 +96,34 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(x)
 
 
-def sketch(x: np.ndarray) -> bytes:
+def digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
     """COORDINATES minwise values of 32 bits."""
     low = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(x), 2048):
-            low = np.minimum(low, ((x[at : at + 2048, None] * _TIMES + _PLUS) >> np.uint64(32)).min(0))
-    return low.astype("<u4").tobytes()
+        for at in range(0, len(x), 512):
+            low = np.minimum(low, ((x[at : at + 512, None] * _TIMES + _PLUS) >> np.uint64(32)).min(0))
+    return low.astype("<u4")
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch of every document."""
+def sketches(docs: DataFrame, k: int, n_trees: int) -> DataFrame:
+    """doc_id, n_shingles, digest, roots (32-bit values for the trees) and marks (the other coordinates, 16 bits each) of every document; null digest and sketch without shingles."""
 
     def make():
         hashes = WordHashes()
 
         def run(cols):
             sets = [shingles(t, k, hashes) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "n_shingles": [len(x) for x in sets], "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], "sketch": [sketch(x) if len(x) else None for x in sets]}
+            marks = [sketch(x) if len(x) else None for x in sets]
+            out = {"doc_id": cols["doc_id"], "n_shingles": [len(x) for x in sets], "digest": [digest(x) if len(x) else None for x in sets]}
+            return out | {"roots": [m if m is None else m[:n_trees].tobytes() for m in marks], "marks": [m if m is None else m[n_trees:].astype("<u2").tobytes() for m in marks]}
 
         return run
 
-    return map_slices(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
-
-
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, items (shingle hashes as longs) of the documents in ids (a written table with the column id)."""
-
-    def make():
-        hashes = WordHashes()
-        return lambda cols: {"id": cols["doc_id"], "items": [shingles(t, k, hashes).view(np.int64) for t in cols["text"]]}
-
-    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    return map_slices(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id"), "left_semi"), make, "id bigint, items array<bigint>")
+    return map_slices(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, digest binary, roots binary, marks binary")
 
 
 def recall(similarity: float, trees: int, levels: int) -> float:
@@ -139,91 +143,203 @@ def recall(similarity: float, trees: int, levels: int) -> float:
 
 
 def trees(similarity: float) -> int:
-    """The trees that bring recall at the deepest level to RECALL, TREES at least."""
+    """The trees that bring recall at the deepest level to RECALL, TREES at least; at most three quarters of the coordinates."""
     out = TREES
-    while recall(similarity, out, (ROUNDS - 1) * STEPS) < RECALL:
+    while recall(similarity, out, DEPTH) < RECALL:
         out += 1
+    if out > COORDINATES * 3 // 4:
+        raise ValueError("so low a similarity needs more trees than a sketch has room for")
     return out
 
 
-def child(path: F.Column, which: F.Column) -> F.Column:
-    """The child of a node for the class's minwise value at a coordinate."""
-    return F.xxhash64(path, which, F.substring(F.col("sketch"), which * 4 + 1, F.lit(4)))
-
-
-def branches(members: DataFrame, similarity: float) -> DataFrame:
-    """members (path, id, sketch) in the children of their nodes: as many as 1 / similarity is whole, and one more with what it leaves over."""
+def branches(members: DataFrame, similarity: float, n_marks: int) -> DataFrame:
+    """members (path, tree, id, weight, marks) in the children of their nodes: as many as 1 / similarity is whole, and one more with what it leaves over."""
     path = F.col("path")
-    pick = lambda j: F.pmod(F.xxhash64(path, F.lit(f"coordinate {j}")), F.lit(COORDINATES)).cast("int")
+    pick = lambda j: F.pmod(F.xxhash64(path, F.lit(f"coordinate {j}")), F.lit(n_marks)).cast("int")
+    child = lambda at: F.xxhash64(path, at, F.substring(F.col("marks"), at * 2 + 1, F.lit(2)))
     whole, part = divmod(1 / similarity, 1)
     more = F.pmod(F.xxhash64(path, F.lit("branch")), F.lit(1_000_000)) < int(1_000_000 * part)
-    every = F.array(*(child(path, pick(j)) for j in range(int(whole) + 1)))
+    every = F.array(*(child(pick(j)) for j in range(int(whole) + 1)))
     children = F.array_distinct(F.when(more, every).otherwise(F.slice(every, 1, int(whole))))
-    return members.select("id", "sketch", F.explode(children).alias("path"))
+    return members.select(F.explode(children).alias("path"), "tree", "id", "weight")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, pa.Array]]:
+    """Columns of sorted rows, in parts that end where a key ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        first = int(np.searchsorted(keys, keys[-1]))  # where the last key begins
+        whole = held and held[0].column(key)[0].as_py() != keys[0]
+        if first or whole:
+            parts = [*held, *([batch.slice(0, first)] if first else [])]
+            if parts:
+                yield dict(zip(batch.schema.names, pa.Table.from_batches(parts).combine_chunks().itercolumns(), strict=True))
+            held = [batch.slice(first)]
+        else:
+            held.append(batch)
+    if held:
+        yield dict(zip(held[0].schema.names, pa.Table.from_batches(held).combine_chunks().itercolumns(), strict=True))
+
+
+def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def pairs_of(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each cell, about PAIRS at a time."""
+    ones, twos, n = [], [], 0
+    for size in np.unique(sizes):
+        at = starts[sizes == size]
+        i, j = np.triu_indices(int(size), 1)
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(at), step):
+            base = at[k : k + step, None]
+            for c in range(0, len(i), PAIRS):
+                ones.append((base + i[c : c + PAIRS]).ravel())
+                twos.append((base + j[c : c + PAIRS]).ravel())
+                n += len(ones[-1])
+                if n >= PAIRS:
+                    yield np.concatenate(ones), np.concatenate(twos)
+                    ones, twos, n = [], [], 0
+    if n:
+        yield np.concatenate(ones), np.concatenate(twos)
+
+
+def joined_up(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is tied to by the pairs."""
+    out = np.arange(n)
+    while True:
+        least = np.minimum(out[i], out[j])
+        new = out.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
 
 
-def compared(groups: DataFrame, least: float, ratio: float, forest: bool) -> DataFrame:
-    """a, b: pairs of each group (members: id, n, sketch, label, outside) that may be links, between different labels.
+def candidates(rows: DataFrame, least: float, ratio: float) -> DataFrame:
+    """group, id, digest, label: classes of each cell that pairs tie together whose sketches and sizes allow a link, between different labels.
 
-    Of pairs of two classes inside a node's largest component none is needed.
-    forest: only a spanning forest of the labels' pairs, the most alike first.
+    rows: cell, tree, id, digest, n, label, before, after, roots, marks. before and after have bits for the
+    trees whose root node of this class isn't compared exhaustively before and after this round.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a_out, b_out = [], []
-            for members in batch.column(0):
-                cols = members.values
-                ids, n, label, outside = (cols.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "outside"))
-                marks = np.frombuffer(b"".join(cols.field("sketch").to_pylist()), "<u4").reshape(len(ids), -1)
-                alike = np.stack([(marks == row).mean(1) for row in marks])
-                may = (alike >= least) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n)) & (label[:, None] != label) & (ids[:, None] < ids) & (outside[:, None] | outside)
-                i, j = np.nonzero(may)
-                if not forest:
-                    a_out += ids[i].tolist()
-                    b_out += ids[j].tolist()
-                    continue
-                first: dict[int, int] = {}
-                root = [first.setdefault(int(x), k) for k, x in enumerate(label)]
-                for at in np.argsort(-alike[i, j], kind="stable"):
-                    x, y = int(i[at]), int(j[at])
-                    pair = int(ids[x]), int(ids[y])
-                    while root[x] != x:
-                        x = root[x]
-                    while root[y] != y:
-                        y = root[y]
-                    if x != y:
-                        a_out.append(pair[0])
-                        b_out.append(pair[1])
-                        root[y] = x
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        for cols in runs_of(batches, "cell"):
+            cell, tree, ids, n, label, before, after = (cols[c].to_numpy() for c in ("cell", "tree", "id", "n", "label", "before", "after"))
+            roots, marks = matrix(cols["roots"], "<u4"), matrix(cols["marks"], "<u2")
+            marked = min(MARKED, roots.shape[1])
+            bits = np.int64(1) << np.arange(marked, dtype=np.int64)
+            width = roots.shape[1] + marks.shape[1]
+            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            one, two = [], []
+            for i, j in pairs_of(np.diff(np.append(edge, len(cell))), edge):
+                may = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+                i, j = i[may], j[may]
+                same = roots[i] == roots[j]
+                met = same[:, :marked] @ bits
+                earlier = (np.int64(1) << np.minimum(tree[i], MARKED).astype(np.int64)) - 1
+                new = (met & (~before[i] | (before[i] & ~after[i] & earlier))) == 0
+                i, j, same = i[new], j[new], same[new]
+                alike = same.sum(1) + (marks[i] == marks[j]).sum(1)
+                good = alike >= least * width
+                one.append(i[good])
+                two.append(j[good])
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
+            if not len(i):
+                continue
+            tied = joined_up(len(cell), i, j)
+            among = np.unique(np.concatenate((i, j)))
+            among = among[np.lexsort((ids[among], tied[among]))]
+            edges = np.append(np.flatnonzero(np.concatenate(([True], np.diff(tied[among]) != 0))), len(among))
+            names = [xxhash.xxh64_intdigest(ids[among[a:b]].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            group = np.repeat(np.array(names, np.uint64).view(np.int64), np.diff(edges))
+            arrays = [pa.array(group), pa.array(ids[among]), cols["digest"].take(pa.array(among)).combine_chunks(), pa.array(label[among])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["group", "id", "digest", "label"])
 
-    return groups.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "group bigint, id bigint, digest binary, label bigint")
 
 
-def like_leader(stars: DataFrame, least: float, ratio: float) -> DataFrame:
-    """a, b: rows (leader, leader_n, leader_sketch, id, n, sketch) whose sketches are alike enough."""
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """group, id, label, items (shingle hashes, 8 bytes each) of the classes in wanted (a written table: id, digest, label, groups)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("leader_sketch", "sketch"))
-            m, n = batch.column("leader_n").to_numpy(), batch.column("n").to_numpy()
-            keep = pa.array(((one == two).mean(1) >= least) & (np.minimum(m, n) >= ratio * np.maximum(m, n)))
-            a, b = batch.column("leader").filter(keep), batch.column("id").filter(keep)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            for at in range(0, batch.num_rows, 64):
+                out: list[list] = [[], [], [], []]
+                for row in batch.slice(at, 64).to_pylist():
+                    x = shingles(row["text"], k, hashes)
+                    if digest(x) == row["digest"]:  # else another text with the same id
+                        for group in row["groups"]:
+                            for c, v in zip(out, (group, row["id"], row["label"], x.tobytes()), strict=True):
+                                c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["group", "id", "label", "items"])
+
+    texts = docs.select("doc_id", "text").join(checked(wanted, FEW), F.col("doc_id") == F.col("id"))
+    return texts.select("text", "id", "digest", "label", "groups").mapInArrow(run, "group bigint, id bigint, label bigint, items binary")
+
+
+def forest(sets: list[np.ndarray], label: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
+    """Links between the sets that join all components that true links join; rows of one label are joined already.
+
+    A walk from each component: every row reached is compared with all that aren't reached.
+    """
+    n = np.array([len(s) for s in sets])
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate(([0], np.cumsum(n)))
+    own = [tokens[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
+    part = np.unique(label, return_inverse=True)[1]
+    reached, seen, out = np.zeros(len(sets), bool), np.zeros(int(tokens.max()) + 1, bool), []
+    rest: np.ndarray | None = None
+    for first in range(len(sets)):
+        if reached[first]:
+            continue
+        queue = np.flatnonzero(part == part[first]).tolist()
+        reached[queue] = True
+        rest = None
+        while queue:
+            r = queue.pop()
+            if rest is None:  # what isn't reached, side by side
+                rest = np.flatnonzero(~reached)
+                if not len(rest):
+                    return out
+                theirs, edge = np.concatenate([own[x] for x in rest]), np.concatenate(([0], np.cumsum(n[rest])[:-1]))
+            seen[own[r]] = True
+            common = np.add.reduceat(seen[theirs], edge, dtype=np.int64)
+            seen[own[r]] = False
+            for x in rest[common * 100 >= (n[r] + n[rest] - common) * per_cent].tolist():
+                if not reached[x]:
+                    out.append((r, x))
+                    more = np.flatnonzero(part == part[x])
+                    reached[more] = True
+                    queue += more.tolist()
+                    rest = None
+    return out
+
 
-    return stars.select("leader", "leader_n", "leader_sketch", "id", "n", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
+def links(sets: DataFrame, per_cent: int) -> DataFrame:
+    """a, b: a forest of the true links of each group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in runs_of(batches, "group"):
+            group, ids, label = (cols[c].to_numpy() for c in ("group", "id", "label"))
+            edge = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))
+            a_out, b_out = [], []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1:
+                    items = [np.frombuffer(x.as_py(), np.uint64) for x in cols["items"][a:b]]
+                    for i, j in forest(items, label[a:b], per_cent):
+                        a_out.append(ids[a + i])
+                        b_out.append(ids[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """a, b of the pairs whose full sets have per_cent of their union in common."""
-    one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(two, "b").join(one, "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * per_cent).select("a", "b").distinct()
+    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,32 +370,85 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("id") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "id")).drop("_id", "_label")
 
 
-def by_node(members: DataFrame, figures: DataFrame) -> DataFrame:
-    """members with their node's figures; each node's members meet them in SALTS groups."""
-    kept = [c for c in figures.columns if c != "path"]
-    dealt = figures.select(F.col("path").alias("_path"), *kept).withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    salted = members.withColumn("_in", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, (F.col("path") == F.col("_path")) & (F.col("_in") == F.col("_salt"))).drop("_path", "_in", "_salt")
+def hashed(parts, *of) -> F.Column:
+    """Which of so many parts a row goes to."""
+    return F.pmod(F.xxhash64(*of), parts).cast("int")
 
 
 class Search:
-    """The links between classes, level by level."""
+    """The components of the links between classes, level by level. classes: id, digest, n, roots, marks (a written table)."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, per_cent: int):
         self.docs, self.classes, self.k, self.per_cent = docs, classes, k, per_cent
         self.similarity = per_cent / 100
+        self.trees = trees(self.similarity)
         self.least, self.ratio = self.similarity - SLACK, self.similarity * (1 - 1e-9)
-        self.sets = self.labels = None
-        self.again: list = []  # what gives all pairs of the nodes compared so far, for labels as they are then
+        self.labels: DataFrame | None = None
+        self.open: DataFrame | None = None  # id, before, after, as candidates() has them
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm pairs on full sets and bring the labels up to date; pairs is a written table.
+    def run(self) -> DataFrame | None:
+        """id, label of the classes that have links; None if there are none."""
+        weight = (1 + F.floor(F.col("n") / LONG)).cast("bigint").alias("weight")
+        root = lambda t: F.struct(F.xxhash64(F.lit(t), F.substring("roots", 4 * t + 1, 4)).alias("path"), F.lit(t).alias("tree"))
+        members = self.classes.select("id", weight, F.inline(F.array(*map(root, range(self.trees)))))
+        cells, below = None, None
+        for level in range(DEPTH + 1):
+            large, own, nodes = self.dealt(members)
+            if level == 0:
+                bits = F.bit_or(F.expr("shiftleft(1L, tree)")).alias("after")
+                self.open = written(large.where(F.col("tree") < MARKED).groupBy("id").agg(bits).withColumn("before", F.lit(-1).cast("bigint")), "open")
+            own = labelled(own, self.labels)
+            self.compare(own if cells is None else cells.union(own), level == 0)
+            open_ = self.open_nodes(large)
+            for old in (large, nodes, cells, below):
+                if old is not None:
+                    dropped(old)
+            ends = F.col("outside") <= (OUTSIDE if level < DEPTH else (1 << 62))
+            few, many = open_.where(ends), open_.where(~ends)
+            if level == 0:
+                still = many.where(F.col("tree") < MARKED).groupBy("id").agg(bits)
+                new = self.open.select("id", F.col("after").alias("before")).join(still, "id", "left").select("id", "before", F.coalesce("after", F.lit(0)).cast("bigint").alias("after"))
+                new = written(new, "open")
+            else:
+                new = written(self.open.select("id", F.col("after").alias("before"), "after"), "open")
+            dropped(self.open)
+            self.open = new
+            if open_.isEmpty():
+                dropped(open_)
+                break
+            cells = written(self.blocks(few), "blocks")
+            members = below = written(branches(many.join(self.classes.select("id", "marks"), "id"), self.similarity, COORDINATES - self.trees), "members")
+            dropped(open_)
+        dropped(self.open)
+        return self.labels
 
-        New links join components, so only the graph of the old labels is solved again.
-        """
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-        few = F.broadcast(ids) if pairs.count() <= FEW_IDS else ids  # at most twice as many ids as pairs
-        new = written(confirmed(pairs, self.sets.join(few, F.col("id") == F.col("_id"), "left_semi"), self.per_cent), "links")
+    def dealt(self, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members of large nodes (written), the cells (cell, tree, id) of all nodes, and the nodes (written)."""
+        nodes = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("heavy")).where("size > 1"), "nodes")
+        big, few = F.col("heavy") > SLICE, checked(nodes, FEW)
+        small = members.join(few.where(~big).select("path"), "path").select(F.col("path").alias("cell"), "tree", "id")
+        large = written(members.join(few.where(big).select("path", "heavy"), "path"), "large")
+        slices = large.select(F.xxhash64("path", hashed(F.ceil(F.col("heavy") / SLICE), "id", "path")).alias("cell"), "tree", "id")
+        return large, small.union(slices), nodes
+
+    def compare(self, cells: DataFrame, first: bool) -> None:
+        """Find and confirm the links in cells (cell, tree, id, label) between different labels, and bring the labels up to date."""
+        # trees find the same cells again and again; each set of classes is compared once
+        members = F.collect_set(F.struct("id", "label"))
+        sets = cells.groupBy("cell", "tree").agg(F.array_sort(members).alias("ids"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
+        sets = sets.groupBy("ids").agg(F.min("tree").alias("tree"))
+        all_, none = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+        rows = sets.select(F.xxhash64("ids").alias("cell"), "tree", F.inline("ids")).join(self.classes, "id").join(self.open, "id", "left")
+        rows = rows.withColumn("before", F.coalesce("before", all_ if first else none)).withColumn("after", F.coalesce("after", none))
+        found = candidates(rows.select("cell", "tree", "id", "digest", "n", "label", "before", "after", "roots", "marks"), self.least, self.ratio)
+        wanted = written(found.groupBy("id", "digest", "label").agg(F.collect_set("group").alias("groups")), "groups")
+        new = written(links(full_sets(self.docs, wanted, self.k), self.per_cent), "links")
+        dropped(wanted)
+        self.link(new)
+        dropped(new)
+
+    def link(self, new: DataFrame) -> None:
+        """Bring the labels up to date with new links: they join components, so only the graph of the old labels is solved again."""
         if new.isEmpty():
             return
         if self.labels is None:
@@ -287,116 +456,47 @@ class Search:
             return
         one = labelled(new.withColumnRenamed("a", "id"), self.labels).select(F.col("label").alias("a"), F.col("b").alias("id"))
         joined = written(labelled(one, self.labels).select("a", F.col("label").alias("b")).where("a <> b").distinct(), "joined")
-        if joined.isEmpty():
-            return
-        change = components(joined).select(F.col("id").alias("_from"), F.col("label").alias("_to"))
-        # classes that are new to the labels stand for themselves
-        known = self.labels.select("id", "label")
-        fresh = joined.select(F.col("a").alias("id")).union(joined.select("b")).distinct().join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
-        self.labels = written(known.union(fresh).join(change, F.col("label") == F.col("_from"), "left").select("id", F.coalesce("_to", "label").alias("label")), "labels")
-
-    def split(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small nodes; members (path, id) of large ones."""
-        sizes = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-        small = by_node(members, sizes.where(F.col("size") <= SMALL)).groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        # trees find the same nodes again and again; each set of classes is compared once
-        groups = small.select("ids").where(F.size("ids") > 1).distinct().select(F.explode("ids").alias("id"), F.xxhash64("ids").alias("node"))
-        groups = written(groups, "groups")
-        self.again.append(lambda: self.of_groups(groups, False))
-        return self.of_groups(groups, True), by_node(members, sizes.where(F.col("size") > SMALL)).select("path", "id")
-
-    def candidates(self, members: DataFrame, level: int, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small nodes, those found before and those of large nodes' leaders; members of large nodes (written, with sketches)."""
-        pairs, left = self.split(members)
-        large = written(labelled(left.join(self.classes, "id").select("path", "id", "n", "sketch"), self.labels), "large")
-        for more in found:
-            pairs = pairs.union(more)
-        return written(pairs.union(self.stars(large, level)).distinct(), "pairs"), large
-
-    def branched(self, many: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """candidates() of the nodes' descendants STEPS levels down; what gets small on the way is compared there."""
-        found = []
-        for step in range(STEPS):
-            members = written(branches(many, self.similarity).select("id", "path"), "members")
-            if step < STEPS - 1:
-                pairs, left = self.split(members)
-                found.append(pairs)
-                many = left.join(self.classes.select("id", "sketch"), "id")
-        return self.candidates(members, level, found)
-
-    def of_groups(self, groups: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of small nodes that join components as they are now."""
-        own = labelled(groups, self.labels)
-        mixed = own.groupBy("node").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("node")
-        full = own.join(mixed, "node").join(self.classes, "id")
-        full = full.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label", F.lit(True).alias("outside"))).alias("members"))
-        return compared(full, self.least, self.ratio, forest)
-
-    def stars(self, large: DataFrame, level: int) -> DataFrame:
-        """Pairs of a large node's leader and its other classes; one order of classes a level, so nodes share leaders."""
-        order = F.struct(F.xxhash64(F.lit(level), "id") if level else F.lit(0), "id")
-        leaders = large.groupBy("path").agg(F.min(order).getField("id").alias("leader"))
-        own = self.classes.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("sketch").alias("leader_sketch"))
-        met = by_node(large, leaders.join(own, "leader"))
-        return like_leader(met.where("id <> leader"), self.least, self.ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def run(self) -> DataFrame | None:
-        """id, label of the classes that have links; None if there are none."""
-        roots = F.explode(F.array(*(child(F.lit(t), F.pmod(F.xxhash64(F.lit(f"root {t}")), F.lit(COORDINATES)).cast("int")) for t in range(trees(self.similarity))))).alias("path")
-        pairs, large = self.candidates(self.classes.select("id", roots), 0, [])
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "involved")
-        self.sets = written(full_sets(self.docs, ids, self.k), "sets")
-        for turn in range(1, ROUNDS + 1):
-            self.link(pairs)
-            open_ = self.open_nodes(large)
-            if open_.isEmpty():
-                break
-            small = F.lit(True) if turn == ROUNDS else F.col("outside") <= OUTSIDE
-            few, many = open_.where(small), open_.where(~small)
-            if not few.isEmpty():
-                self.link(written(self.finished(few, True), "finished"))
-                self.again.append(lambda few=few: self.finished(few, False))
-            if many.isEmpty():
-                break
-            pairs, large = self.branched(many, turn)
-        # the forests have joined what is dense; of all other pairs only those between components are left to try
-        for every in self.again:
-            self.link(written(self.between(every()), "rest"))
-        return self.labels
-
-    def between(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't in one component yet."""
-        left = labelled(pairs.withColumnRenamed("a", "id"), self.labels).withColumnRenamed("label", "one").withColumnRenamed("id", "a")
-        return labelled(left.withColumnRenamed("b", "id"), self.labels).where("one <> label").select("a", F.col("id").alias("b"))
+        if not joined.isEmpty():
+            solved = components(joined)
+            change = solved.select(F.col("id").alias("_from"), F.col("label").alias("_to"))
+            # classes that are new to the labels stand for themselves
+            fresh = joined.select(F.col("a").alias("id")).union(joined.select("b")).distinct().join(self.labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
+            labels = written(self.labels.union(fresh).join(change, F.col("label") == F.col("_from"), "left").select("id", F.coalesce("_to", "label").alias("label")), "labels")
+            dropped(self.labels)
+            dropped(solved)
+            self.labels = labels
+        dropped(joined)
 
     def open_nodes(self, large: DataFrame) -> DataFrame:
-        """Members, with labels as they are now, of nodes with more than one component; with the node's size, its largest component, and the number of members outside it."""
-        now = labelled(large.drop("label"), self.labels)
-        counts = now.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("path")
-        nodes = counts.agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"))
-        return written(by_node(now, nodes.where("outside > 0")), "open")
-
-    def finished(self, few: DataFrame, forest: bool) -> DataFrame:
-        """Pairs, between components as they are now, of the classes outside a node's largest component and all its classes: every block of those outside meets every slice of the node."""
-        few = labelled(few.withColumnRenamed("label", "was"), self.labels)
-        slices, blocks = F.ceil(F.col("size") / SLICE).cast("int"), F.ceil(F.col("outside") / OUTSIDE).cast("int")
-        outside = F.col("was") != F.col("largest")
-        own, block = F.pmod(F.xxhash64("id"), slices).cast("int"), F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
-        cell = lambda b, s: F.struct(b.alias("block"), s.alias("slice"))
-        column = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: cell(b, own))
-        row = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: cell(block, s))
-        where = F.when(outside, F.array_union(column, row)).otherwise(column)
-        dealt = few.select("path", F.explode(where).alias("cell"), "id", "n", "sketch", "label", outside.alias("outside"))
-        return compared(dealt.groupBy("path", "cell").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "outside")).alias("members")), self.least, self.ratio, forest)
+        """Members, with labels as they are now, of nodes with more than one component; with the weight outside the largest; a written table."""
+        now = labelled(large, self.labels)
+        counts = now.groupBy("path", "label").agg(F.sum("weight").alias("w")).groupBy("path")
+        nodes = counts.agg(F.max_by("label", F.struct("w", "label")).alias("largest"), (F.sum("w") - F.max("w")).alias("outside")).where("outside > 0")
+        return written(now.join(nodes, "path"), "open-nodes")
+
+    def blocks(self, few: DataFrame) -> DataFrame:
+        """Cells (cell, tree, id, label) in which every block of those outside a node's largest component meets every slice of the node."""
+        slices, blocks = (F.ceil(F.col(c) / SLICE) for c in ("heavy", "outside"))
+        own, block = hashed(slices, "id", "path"), hashed(blocks, "id", F.lit("block"))
+        cell = lambda b, s: F.xxhash64("path", F.lit("block"), b, s)
+        column = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda b: cell(b, own))
+        row = F.transform(F.sequence(F.lit(0), (slices - 1).cast("int")), lambda s: cell(block, s))
+        where = F.when(F.col("label") != F.col("largest"), F.array_union(column, row)).otherwise(column)
+        return few.select(F.explode(where).alias("cell"), "tree", "id", "label")
 
 
 def grouped(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    every = written(sketches(docs, k), "sketches")
-    classes = every.where("digest is not null and doc_id is not null").groupBy("digest", F.col("n_shingles").alias("n"), "sketch").agg(F.min("doc_id").alias("id"))
+    sketched = written(sketches(docs, k, trees(per_cent / 100)), "sketches")
+    every = written(sketched.select("doc_id", "n_shingles", "digest"), "documents")
+    classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest", F.col("n_shingles").alias("n"), "roots", "marks").agg(F.min("doc_id").alias("id"))
     classes = written(classes, "classes")
-    labels = Search(docs, classes.select("id", "n", "sketch"), k, per_cent).run()
-    named = labelled(classes.select("id", "digest"), labels).select(F.col("digest").alias("_digest"), "label")
+    dropped(sketched)
+    labels = Search(docs, classes, k, per_cent).run()
+    named = written(labelled(classes.select("id", "digest"), labels).select(F.col("digest").alias("_digest"), "label"), "components")
+    dropped(classes)
+    if labels is not None:
+        dropped(labels)
     # empty sets match nothing; their key differs from any digest
     key = F.coalesce("digest", F.encode(F.col("doc_id").cast("string"), "utf-8"))
     out = every.withColumn("_key", key).join(named, F.col("_key") == F.col("_digest"), "left")
@@ -405,11 +505,14 @@ def grouped(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
-    """One document of each group, with its columns: the one with the smallest id; of rows that share an id, one."""
-    kept = grouped(docs, k, per_cent).where("kept and doc_id is not null")
-    ids = written(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    out = docs.join(ids, F.col("doc_id") == F.col("_id"))
-    single = out.where("_rows = 1").select(*docs.columns)
-    if not ids.where("_rows > 1").isEmpty():
-        single = single.union(out.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return single.union(docs.where("doc_id is null"))
+    """One document of each group, with its columns: the one with the smallest id; of rows that share an id, the one with the least text."""
+    key, stays, rows, one = (free_name(x, docs) for x in ("key", "stays", "rows", "one"))
+    by_id = grouped(docs, k, per_cent).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(rows))
+    # most documents aren't in this table: they are the only ones of their id, and stay
+    special = written(by_id.where(~F.col(stays) | (F.col(rows) > 1)), "not-alone")
+    out = docs.join(checked(special, FEW), F.col("doc_id") == F.col(key), "left")
+    single = out.where(F.col(key).isNull()).select(*docs.columns)
+    if special.where(F.col(stays)).isEmpty():
+        return single
+    least = out.where(F.col(stays)).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(one))
+    return single.union(least.select(f"{one}.*"))

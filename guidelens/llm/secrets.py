@@ -24,9 +24,10 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import map_slices, slices_of
 
 #: Kind, pattern, group whose length counts, least length.
 BASE = (
@@ -42,7 +43,7 @@ _HINT = re.compile("key|token|secret|pass|bearer|auth|credential|private|begin",
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 B, I, O = 0, 1, 2  # noqa: E741
 BUCKETS = 1 << 14
-WORDS = 300_000  # word scores that a task remembers before it starts anew
+WORDS = 100_000  # word scores that a task remembers before it starts anew
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]]:
@@ -333,10 +334,10 @@ def scans(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """Documents with every span replaced by mark, and n_chars set to the new length; null texts stay as they are."""
-    field, kinds = trained(), dict(docs.dtypes)
+    """Documents with every span replaced by mark, and n_chars, if there is one, set to the new length; null texts stay as they are, and so do all other columns, whatever their names and types."""
+    field = trained()
 
-    def make():
+    def run(batches):
         own = Field(field.weights, field.moves)
 
         def one(text):
@@ -350,11 +351,14 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                 at = max(at, b)
             return "".join(out) + text[at:]
 
-        def run(cols):
-            text = [one(t) for t in cols["text"]]
-            sizes = {"n_chars": [old if a == b or b is None else len(b) for a, b, old in zip(cols["text"], text, cols["n_chars"], strict=True)]} if "n_chars" in cols else {}
-            return cols | {"text": text} | sizes
-
-        return run
-
-    return map_slices(docs, make, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+        for part in slices_of(batches):
+            old = part.column("text").to_pylist()
+            new = [one(t) for t in old]
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            columns["text"] = pa.array(new, part.schema.field("text").type)
+            if "n_chars" in columns:
+                sizes = [n if a == b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), old, new, strict=True)]
+                columns["n_chars"] = pa.array(sizes, part.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,10 +10,13 @@ host rule that fits decides; without one, a URL is blocked if a pattern matches.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path:
 from there up to `?`, `#` or the end. Null URLs and URLs without `://` have
-neither, match nothing and are allowed. Repeated rows stay as often as they
-are; an empty table gives no rows. Rules without a whole token are tried on every
-URL. The rule list is the caller's, so its size is known: it's broadcast up to
-MAX_BROADCAST rules and joined by shuffle beyond.
+neither, match nothing and are allowed. What a URL hits depends on the URL alone, so
+the few hits are found by URL and joined to the pages: repeated rows and ids stay as
+often as they are, and URLs of any length are taken whole. Rules without a whole token
+are tried on every URL. Of host rules of equal length (ties) the last one given
+decides. An empty table gives no rows. Columns other than page_id and url, whatever
+their names, don't matter. The rule list is the caller's and is broadcast: at most
+MAX_RULES rules, else a ValueError.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST = 50_000
+MAX_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules of the contract: name (host and path), verdict.
@@ -70,36 +73,36 @@ def path(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """rule (number from 1), is_host, weight (length of the name), regex, tokens."""
-    rows = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(r.is_host).alias("is_host"), F.lit(len(r.name)).alias("weight"), F.lit(r.regex).alias("regex"), F.array(*map(F.lit, r.tokens or ("",))).alias("tokens")) for i, r in enumerate(rules, 1)))
+    """rank (host rules by length of name, then as given), rule, verdict, is_host, regex, tokens."""
+    rows = F.array(*(F.struct(F.lit((len(r.name) << 32) + i).alias("rank"), F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.is_host).alias("is_host"), F.lit(r.regex).alias("regex"), F.array(*map(F.lit, r.tokens or ("",))).alias("tokens")) for i, r in enumerate(rules)))
     return spark.range(1).select(F.inline(rows))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    spark = pages.sparkSession
-    small = F.broadcast if len(rules) <= MAX_BROADCAST else lambda df: df
-    table = rule_table(spark, rules)
-    base = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-    base = base.withColumn("exact", F.concat(F.lit("//"), "host", "path"))
-    # each URL also has the empty token, for rules without one and so that no page is lost
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(lowered(F.col("exact")), F.lit("[a-z0-9]+"), 0)))
-    exploded = base.withColumn("token", F.explode(tokens))
-
-    wanted = table.select("rule", F.explode("tokens").alias("token"))
-    counts = exploded.select("token").join(small(wanted.select("token").distinct()), "token").groupBy("token").count()
-    index = wanted.join(counts, "token", "left").groupBy("rule").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")).join(table.drop("tokens"), "rule")
-
-    met = exploded.join(small(index), "token", "left")
-    target = F.when(F.col("is_host"), F.col("exact")).otherwise(lowered(F.col("exact")))
-    met = met.withColumn("fits", F.when(F.col("rule").isNotNull(), F.regexp_like(target, F.col("regex"))).otherwise(F.lit(False)))
-    best = F.max(F.when(F.col("fits") & F.col("is_host"), F.col("weight").cast("bigint") * (1 << 32) + F.col("rule"))).alias("best")
-    hit = F.max(F.when(F.col("fits") & ~F.col("is_host"), 1)).alias("hit")
-    per = met.groupBy("page_id", "url").agg(best, hit, F.sum(F.when(F.col("token") == "", 1).otherwise(0)).alias("times"))
-    names, verdicts = F.array(*(F.lit(r.name) for r in rules)), F.array(*(F.lit(r.verdict) for r in rules))
-    number = F.pmod(F.col("best"), F.lit(1 << 32)).cast("int")
-    out = per.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.when(number.isNotNull(), F.element_at(names, number)).alias("rule"), F.when(number.isNotNull(), F.element_at(verdicts, number)).when(F.col("hit") == 1, "block").otherwise("allow").alias("verdict"), "times")
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("copy", "times")
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    base = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    if not rules:
+        return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    table = rule_table(pages.sparkSession, rules)
+    exact = F.concat(F.lit("//"), host(F.col("url")), path(F.col("url")))
+    found = F.array_distinct(F.regexp_extract_all(lowered(exact), F.lit("[a-z0-9]+"), 0))
+    if not all(r.tokens for r in rules):  # rules without a token stand under the empty one, which every URL then has
+        found = F.concat(F.array(F.lit("")), found)
+    tokens = pages.where(F.col("url").isNotNull()).select("url", F.explode(found).alias("token"))
+
+    wanted = table.select("rank", F.explode("tokens").alias("token"))
+    counts = tokens.select("token").join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").count()
+    rarest = wanted.join(F.broadcast(counts), "token", "left").groupBy("rank").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    index = rarest.join(table.drop("tokens"), "rank")
+
+    met = tokens.join(F.broadcast(index), "token").withColumn("exact", exact)
+    fits = met.where(F.regexp_like(F.when(F.col("is_host"), F.col("exact")).otherwise(lowered(F.col("exact"))), F.col("regex")))
+    best = F.max(F.when(F.col("is_host"), F.struct("rank", "rule", "verdict"))).alias("best")
+    hits = fits.groupBy(F.col("url").alias("_url")).agg(best, F.max(F.when(~F.col("is_host"), F.col("verdict"))).alias("other"))
+    out = base.join(hits, F.col("url") == F.col("_url"), "left")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "other", F.lit("allow")).alias("verdict"))
 
 
 def _text(s: str) -> str:

@@ -225,9 +225,9 @@ def test_components_equal_brute_force(spark, odd, k, per_cent, monkeypatch):
     rows = [*near_rows(), (200, "one two"), (201, "ONE  two"), (202, None), (203, ""), (204, " \n"), (0, text(0, 80)), (300, text(5, 80))]
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
     want = brute(rows, k, per_cent)
-    for small, rounds in ((48, 7), (2, 2), (2, 1)):  # small limits force branching, leaders and the exact rest
-        monkeypatch.setattr(neardup, "SMALL", small)
-        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    for limits in ((1024, 2048, 6), (2, 2, 2), (2, 0, 1)):  # small limits force slices, branching and the exact rest
+        for name, limit in zip(("SLICE", "OUTSIDE", "DEPTH"), limits, strict=True):
+            monkeypatch.setattr(neardup, name, limit)
         got = neardup.grouped(d, k, per_cent).collect()
         assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -269,11 +269,11 @@ def linked(rows, k, per_cent):
 
 def test_links_of_large_nodes(spark, monkeypatch):
     rows, ran = hot_rows(80), set()
-    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "SLICE", 4)
     monkeypatch.setattr(neardup, "OUTSIDE", 16)
-    branches, exact = neardup.branches, neardup.Search.finished
+    branches, exact = neardup.branches, neardup.Search.blocks
     monkeypatch.setattr(neardup, "branches", lambda *a: ran.add("branches") or branches(*a))
-    monkeypatch.setattr(neardup.Search, "finished", lambda *a: ran.add("exact") or exact(*a))
+    monkeypatch.setattr(neardup.Search, "blocks", lambda *a: ran.add("exact") or exact(*a))
     want = linked(rows, 3, 50)
     label = {r.doc_id: r.component_id for r in neardup.grouped(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS), 3, 50).collect()}
     assert len(want) == 80 and sum(label[a] == label[b] for a, b in want) >= neardup.RECALL * len(want)
@@ -281,9 +281,8 @@ def test_links_of_large_nodes(spark, monkeypatch):
 
 
 def test_trees_meet_the_recall():
-    levels = (neardup.ROUNDS - 1) * neardup.STEPS
-    for similarity in (0.3, 0.5, 0.8, 0.95):
-        assert neardup.recall(similarity, neardup.trees(similarity), levels) >= neardup.RECALL
+    for similarity in (0.5, 0.8, 0.95):
+        assert neardup.recall(similarity, neardup.trees(similarity), neardup.DEPTH) >= neardup.RECALL
 
 
 def test_deduplicated_keeps_one_of_each(spark, odd):
@@ -293,6 +292,26 @@ def test_deduplicated_keeps_one_of_each(spark, odd):
     assert neardup.grouped(odd.limit(0)).count() == 0
 
 
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)]
+    label = rng.integers(0, 50, 60)
+    out = neardup.forest(sets, label, 60)
+
+    def parts(pairs):
+        part = {i: label[i] for i in range(60)}
+        for i, j in list(pairs) * 60:
+            one, two = part[i], part[j]
+            if one != two:
+                part = {k: one if v == two else v for k, v in part.items()}
+        return {frozenset(k for k in part if part[k] == v) for v in part.values()}
+
+    true = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))]
+    assert true and set(out) <= set(true) | {(j, i) for i, j in true} and parts(out) == parts(true)
+    assert len(out) < 60
+
+
+
 # mixing
 
 
@@ -369,10 +388,10 @@ def test_rules_without_a_token(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 2, "ann", "hi <|end|>"), (1, 1, "bob", None), (1, 1, "bob", None), (2, 0, "system", "alone"), (3, None, None, "x"), (4, 300, "a", "late"), (4, 1, "a", "early")]
+    rows = [(1, 0, "system", "be kind"), (1, 2, "ann", "hi <|end|>"), (1, 1, "bob", None), (1, 1, "bob", None), (2, 0, "system", "alone"), (3, None, None, "x"), (4, 3000000, "a", "late"), (4, 1, "a", "early"), (None, 1, "b", "no id")]
     c = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("segment", F.lit("x"))
     got = {(r.conv_id, r.speaker, r.segment): r for r in chat.perspectives(c).collect()}
-    assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (3, "unknown"), (4, "a")} and len(got) == 5
+    assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (3, "unknown"), (4, "a"), (None, "b")} and len(got) == 5
     r = got[1, "bob", 0]
     assert r.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\n<|end|>\n<|assistant|>\n<|end|>\n<|user:ann|>\nhi < |end|><|end|>\n"
     assert (r.n_turns, r.n_assistant) == (4, 2)
@@ -381,3 +400,96 @@ def test_perspectives(spark):
             a, b = map(int, span.split(":"))
             assert r.text[:a].endswith("<|assistant|>\n") and r.text[a:b].endswith("<|end|>\n")
     assert chat.perspectives(c.limit(0)).count() == 0
+
+
+def test_long_dialogues(spark, monkeypatch):
+    """One row a speaker up to SEGMENT turns; beyond, pieces that together are the whole rendering."""
+    import duckdb
+
+    rows = [(1, i, "ab"[i % 2], f"turn {i}") for i in range(600)] + [(2, None, "c", f"x{i}") for i in range(30)] + [(2, 7, "d", "same")] * 30 + [(3, 5, None, "y" * 100_000), (None, 1, "e", "z")]
+    c = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    assert sorted((r.speaker, r.n_turns) for r in chat.perspectives(c.where("conv_id = 1")).collect()) == [("a", 600), ("b", 600)]
+    whole = {(r.conv_id, r.speaker): r.text for r in chat.perspectives(c).collect()}
+    con = duckdb.connect()
+    con.register("conversations", c.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    for segment in (chat.SEGMENT, 25):
+        sql = chat.PERSPECTIVES_SQL.replace(f"// {chat.SEGMENT}", f"// {segment}")
+        monkeypatch.setattr(chat, "SEGMENT", segment)
+        got = chat.perspectives(c).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(sql).fetchall()))
+        pieces = defaultdict(list)
+        for r in sorted(got, key=lambda r: r.segment):
+            pieces[r.conv_id, r.speaker].append(r.text)
+        assert {k: "".join(v) for k, v in pieces.items()} == whole
+        monkeypatch.undo()
+
+
+def test_pages_stay_single_with_several_rules_without_a_token(spark):
+    rules = (urlfilter.pattern_rule("*evil*"), urlfilter.pattern_rule("*bad*"), urlfilter.host_rule("com/", "allow"))
+    pages = spark.createDataFrame([(1, "http://xevilbad.org/"), (1, "http://xevilbad.org/"), (2, "http://b.net/" + "p" * 100_000), (3, "http://evil.com/"), (4, None)], "page_id long, url string").withColumn("_url", F.lit(1)).withColumn("best", F.lit(2))
+    assert rows_of(urlfilter.judged(pages, rules).select("page_id", "rule", "verdict"), "page_id") == [(1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, "com/", "allow"), (4, None, "allow")]
+
+
+def test_any_ids_are_dealt_out(spark):
+    """Hashed 64-bit ids, negative ones too: each document meets its successor, and no range has most of them."""
+    rng = np.random.default_rng(12)
+    ids = sorted(set(rng.integers(-(1 << 63), (1 << 63) - 1, 400).tolist()) | {-(1 << 63), (1 << 63) - 1, (1 << 53) + 1})
+    d = spark.createDataFrame([(i, f"{i} {text(n, 5)}", "en", "a", 0) for n, i in enumerate(ids)], DOCS)
+    follows = {i: f"{j} {text((n + 1) % len(ids), 5)}" for n, (i, j) in enumerate(zip(ids, ids[1:] + ids[:1], strict=True))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = iblt.versions(d).withColumn("part", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = {i: f"{i} {text(n, 5)}" for n, i in enumerate(ids)}
+    assert all(r.edited_sha256 == hashlib.sha256(iblt.edited(own[r.doc_id], follows[r.doc_id]).encode()).hexdigest() for r in got) and len(got) == len(ids)
+    ranges = defaultdict(int)
+    for r in got:
+        ranges[r.part] += 1
+    assert len(ranges) > 1 and max(ranges.values()) < len(ids) * 0.7
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["copies", "_d", "d", "s", "size", "copy", "score", "predicted", "_id", "_rows", "id", "label", "key", "rows", "one", "stays", "words", "order"]
+    d = spark.createDataFrame([(i % 9, text(i % 9, 30), "en", "ab"[i % 2], 3) for i in range(12)], DOCS).select("*", *(F.lit(n).alias(n) for n in names), F.struct(F.lit(1).alias("a b")).alias("st"))
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.clean(d, labels), neardup.deduplicated(d), secrets.redacted(d), mixing.mixture(d)):
+        assert out.schema.names == d.schema.names and all(r["copies"] == "copies" and r["st"]["a b"] == 1 for r in out.collect())
+    assert neardup.deduplicated(d).count() == 9
+
+
+def test_plain_ftrl_gives_the_same_weights():
+    """The formula of FTRL-proximal, coordinate by coordinate, against train()."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 60, 12)).astype(np.int32) for _ in range(300)]
+    labels = [int(3 in x or 7 in x) for x in rows]
+    z, n, bias = defaultdict(float), defaultdict(float), [0.0, 0.0]
+    at = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.PASSES):
+        for x, y in zip(rows, labels, strict=True):
+            w = {int(i): at(int(i)) for i in x}
+            b = -bias[0] / ((toxicity.BETA + math.sqrt(bias[1])) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bias[0] += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / toxicity.ALPHA * b
+            bias[1] += g * g
+    model = toxicity.train(rows, labels)
+    want = {i: at(i) for i in range(60) if at(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want, rel=1e-5) and want
+    assert model.bias == pytest.approx(-bias[0] / ((toxicity.BETA + math.sqrt(bias[1])) / toxicity.ALPHA))
+
+
+def test_convolution_loop_by_loop():
+    """One window's log-probabilities from plain loops over filters and positions."""
+    net = langid.train(["baba dada " * 30, "ziz zuz " * 40] * 20, ["aa", "zz"] * 20)
+    grid = langid.windows("baba ziz é".encode() * 30)[:2]
+    for row, got in zip(grid, langid.log_probabilities(net, grid), strict=True):
+        x, hidden = net.embed[row].astype(float), []
+        for f in range(net.filters.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            taps = net.filters[:, f].reshape(-1, langid.DEPTH)
+            assert not taps[width:].any()
+            peak = max(sum(float(x[p + t] @ taps[t]) for t in range(width)) for p in range(langid.WINDOW - max(langid.WIDTHS) + 1))
+            hidden.append(max(0.0, peak + net.bias[f]))
+        z = np.array(hidden) @ net.out + net.out_bias
+        assert got == pytest.approx(z - np.log(np.exp(z).sum()), abs=1e-3)
