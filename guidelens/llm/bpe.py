@@ -28,7 +28,7 @@ SPACE = r"[\p{White_Space}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 #: Fixed value: the word pattern of byte-level pre-tokenizers.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
-CACHE = 120_000  # pieces, or pairs, that a task remembers before it starts anew
+CACHE = 400_000  # pieces, or pairs, that a task remembers before it starts anew
 NEVER = 1 << 60
 
 
@@ -93,6 +93,11 @@ class ByteBpe:
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache = PieceCache(self.encode_piece)
 
+    def forget(self) -> None:
+        """Empty the memories of pieces and pairs; the worker may run other tasks next."""
+        self.cache.clear()
+        self.fits.clear()
+
     def border(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one end (0: left, 1: right) of a token as its merges are undone, each with the rank of the merge that takes it up."""
         out, until = [], NEVER
@@ -200,6 +205,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
             rows = [one(t) for t in cols["text"]]
             return {"doc_id": cols["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
 
+        run.end = bpe.forget
         return run
 
     return map_slices(df.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

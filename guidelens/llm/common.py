@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 512  # rows of an Arrow batch that Python objects are made of at once
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,17 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of SLICE_ROWS rows at most, so that long texts don't fill a task's memory.
+
+    The limit is a setting of the session; it is lowered there, and stays so.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= SLICE_ROWS:
+        conf.set(BATCH, str(SLICE_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of SLICE_ROWS rows."""
     for batch in batches:
@@ -55,7 +67,8 @@ def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """mapInArrow over slices of SLICE_ROWS rows.
 
     make() runs once a task and returns a function from a dict of column lists to a
-    dict of column lists, so that memory holds one slice whatever the batch size is.
+    dict of column lists, so that memory holds one slice whatever the batch size is. If
+    the function has an attribute end, that is called when the task ends.
     """
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
 
@@ -66,8 +79,9 @@ def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
         for part in slices_of(batches):
             out = function(part.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        getattr(function, "end", lambda: None)()
 
-    return df.mapInArrow(run, spark_schema)
+    return map_batches(df, run, spark_schema)
 
 
 def id_crc(column: str = "doc_id") -> F.Column:

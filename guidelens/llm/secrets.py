@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices, slices_of
+from .common import map_batches, map_slices, slices_of
 
 #: Kind, pattern, group whose length counts, least length.
 BASE = (
@@ -361,4 +361,4 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, part.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, id_crc, map_slices, slices_of, written
+from .common import dropped, id_crc, map_batches, map_slices, slices_of, written
 
 BITS = 22
 SAMPLE = 8000  # labelled texts used for training, at most
@@ -214,4 +214,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for part in slices_of(batches):
             yield part.filter(pa.array([one(t) < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
