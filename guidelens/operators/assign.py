@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..config import AnalysisConfig, Gene
 from ..kernels.cutsite import windows_of
 from ..kernels.locate import Evidence, best_evidence, candidates
-from ..kernels.score import scores_of, window_score, with_recovered
+from ..kernels.score import Panel, window_score
 
 CACHE = 16_384
 SLICE_ROWS = 2048
@@ -39,6 +39,7 @@ class Assigner:
 
     def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig, by_target: bool = False):
         self.windows, self.genes, self.config = windows_of(genes), len(genes), config
+        self.panel = Panel(self.windows, config.distance_weight, config.exclusion_flank)
         # what competes for a read: genes by their best window, or single windows
         self.rival = {w.number: w.number if by_target else w.gene_ix for w in self.windows}
         self.lone = by_target and len(self.windows) > 1  # a single usable window still has to lead nothing by the margin
@@ -53,8 +54,8 @@ class Assigner:
 
     def _called(self, seq: str, passes: tuple[tuple[bool, ...], ...]) -> tuple:
         c, plain = self.config, self.evidence(seq, passes)
-        usable = with_recovered(self.windows, plain)
-        scores = scores_of(self.windows, usable, c.distance_weight, c.exclusion_flank)
+        usable = self.panel.completed(plain)
+        scores = self.panel.scores(usable)
         best: dict[int, float] = {}
         for w in self.windows:
             if w.number in scores:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..functions.sequence import AMINO_ACIDS, complement_iupac, motif_positions
+from ..functions.sequence import AMINO_ACIDS, complement_iupac, iupac_regex, motif_positions
 
 
 @dataclass(frozen=True)
@@ -46,35 +51,57 @@ def _reverse(motif: str) -> str:
     return motif[::-1].translate(str.maketrans(IUPAC, IUPAC_COMPLEMENT))
 
 
-def _site(e: Enzyme, strand: int, top: int, bottom: int, size: Column):
-    """The row of a site at a position."""
-    return lambda p: F.struct(F.lit(e.name).alias("enzyme"), p.alias("start"), ((p + len(e.site)) % size).alias("end"), ((p + top) % size).alias("cut_top"), ((p + bottom) % size).alias("cut_bottom"), F.lit(strand).alias("strand"), F.lit(e.type_iis).alias("type_iis"))
-
-
 def _hit(strand: int, size: int):
     """The row of a motif's hit at a position."""
     return lambda p: F.struct(p.alias("start"), (p + size).alias("end"), F.lit(strand).alias("strand"), F.substring(F.col("seq"), p + 1, F.lit(size)).alias("match"))
 
 
+SITE = "enzyme string, start int, end int, cut_top int, cut_bottom int, strand int, type_iis boolean"
+
+
+def spots(seq: str, motif: str) -> list[int]:
+    """Starts of all matches of an IUPAC motif, overlapping ones too, in one pass over the sequence."""
+    if set(motif) - set("ACGT"):
+        return [m.start() for m in re.finditer(f"(?={iupac_regex(motif)})", seq)]
+    out, at = [], seq.find(motif)
+    while at >= 0:
+        out.append(at)
+        at = seq.find(motif, at + 1)
+    return out
+
+
 def restriction_sites(docs: DataFrame, circular: bool = False, enzymes: tuple[Enzyme, ...] = ENZYMES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, enzyme, start, end, cut_top, cut_bottom, strand, type_iis of every site in column seq; sites over the origin of circular sequences too.
 
-    Each document is read once; its sites are arrays of the row until they are exploded.
+    One pass over the sequences without a shuffle; each distinct motif is searched once, and sites leave document by document.
     """
-    seq = F.translate(F.upper(F.col("seq")), "U", "T")
-    size = F.length(seq)
-    reach = max(len(e.site) for e in enzymes) - 1
-    searched = F.concat(seq, F.substring(seq, 1, reach)) if circular else seq
-    found = []
+    wanted: dict[str, list[tuple]] = {}
     for e in enzymes:
-        for strand, motif in ((1, e.site), (-1, _reverse(e.site))):
-            if strand < 0 and motif == e.site:
-                continue
-            # on the other strand the cuts change places
-            top, bottom = (e.top, e.bottom) if strand > 0 else (e.bottom, e.top)
-            spots = F.filter(motif_positions(searched, motif), lambda p: p < size)
-            found.append(F.transform(spots, _site(e, strand, top, bottom, size)))
-    return docs.select(*keys, F.explode(F.concat(*found)).alias("s")).select(*keys, "s.*")
+        wanted.setdefault(e.site, []).append((e.name, len(e.site), e.top, e.bottom, 1, e.type_iis))
+        if _reverse(e.site) != e.site:  # on the other strand the cuts change places
+            wanted.setdefault(_reverse(e.site), []).append((e.name, len(e.site), e.bottom, e.top, -1, e.type_iis))
+    reach = max(len(e.site) for e in enzymes) - 1 if circular else 0
+    rows = docs.select(*keys, F.translate(F.upper(F.col("seq")), "U", "T").alias("_seq"))
+    schema = StructType([*rows.schema.fields[: len(keys)], *_parse_datatype_string(SITE).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, seq in enumerate(map(pa.StringScalar.as_py, batch.column(len(keys)))):
+                size, found = len(seq or ""), []
+                for motif, sites in wanted.items() if size else ():
+                    at = [p for p in spots(seq + seq[:reach], motif) if p < size]
+                    if at:
+                        found += [(name, at, n, top, bottom, strand, iis) for name, n, top, bottom, strand, iis in sites]
+                if not found:
+                    continue
+                times = [len(f[1]) for f in found]
+                p, n, top, bottom, strand = np.concatenate([f[1] for f in found]), *(np.repeat([f[c] for f in found], times) for c in (2, 3, 4, 5))
+                own = [pa.repeat(batch.column(c)[i], len(p)) for c in range(len(keys))]
+                cols = [np.repeat([f[0] for f in found], times).tolist(), p, (p + n) % size, (p + top) % size, (p + bottom) % size, strand, np.repeat([f[6] for f in found], times)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).cast(f.type) for c, f in zip(cols, list(arrow)[len(keys) :], strict=True))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def motif_search(docs: DataFrame, query: str, both_strands: bool = True, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -106,19 +106,30 @@ class FastqReader(DataSourceReader):
 
 
 class FastqStream(DataSourceStreamReader):
-    """New files of a folder, one partition each; the offset is the last name known, so names must ascend."""
+    """New files of a folder, one partition each, in the order of their arrival.
+
+    The offset is the latest time of change and the names that had it, so a file counts
+    as new by when it came and not by its name. Files must come whole, by a rename.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.flags = options["path"], _flags(options)
 
+    def arrivals(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(f).st_mtime_ns, f) for f in files(self.path))
+
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"time": -1, "names": []}
 
     def latestOffset(self) -> dict:
-        return {"last": max(files(self.path), default="")}
+        found = self.arrivals()
+        last = found[-1][0] if found else -1
+        return {"time": last, "names": [f for t, f in found if t == last]}
 
     def partitions(self, start: dict, end: dict) -> list[FilePartition]:
-        return [FilePartition(f) for f in files(self.path) if start["last"] < f <= end["last"]]
+        after = lambda t, f: t > start["time"] or t == start["time"] and f not in start["names"]
+        until = lambda t, f: t < end["time"] or t == end["time"] and f in end["names"]
+        return [FilePartition(f) for t, f in self.arrivals() if after(t, f) and until(t, f)]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         with opened(partition.path) as f:

@@ -197,3 +197,60 @@ def test_window_grid():
     assert cells == [("A", "equal", ""), ("C", "equal", "GG"), ("-", "delete", ""), ("-", "delete", ""), ("T", "substitute", ""), ("X", "unobserved", ""), ("X", "unobserved", "")]
     assert mutate.window_grid([("insert", "G"), ("equal", "AC")], 3) == [("X", "unobserved", "G"), ("A", "equal", ""), ("C", "equal", "")]
     assert pairwise.difference_bp(REF_A, REF_B) == 6
+
+
+def homologs():
+    """Two genes with one guide; the second has other bases on both sides, three of them missing on the left."""
+    left, guide, right = "".join("ACGT"[(i * i + i // 3) % 4] for i in range(60)), "GATTACAGCTTCGAACCTGA", "AGG" + "".join("CTAG"[(i * 7 + i // 5) % 4] for i in range(57))
+    other = left[:20] + left[23:40] + "T" + left[41:] + guide + right[:30] + "A" + right[31:]
+    return left + guide + right, other, guide
+
+
+def test_borders_follow_what_is_missing():
+    one, other, guide = homologs()
+    place = score.borders(one, other, guide)
+    assert place[:, 0].tolist() == [0, 0] and place[:, len(one)].tolist() == [len(other)] * 2
+    assert all(one[i] == other[place[0, i]] for i in range(60, 80)) and place[0, 60] == 57
+    assert place[0, 21] == -1  # inside what is missing
+    assert score.borders(one, other.replace(guide, guide[::-1]), guide) is None and score.borders(one + guide, other, guide) is None
+
+
+def test_a_read_is_judged_alike_on_both_strands_and_at_any_margin():
+    from guidelens.config import AnalysisConfig, Gene, Target
+    from guidelens.kernels.matching import reverse_complement
+    from guidelens.operators.assign import Assigner
+
+    one, other, guide = homologs()
+    genes = (Gene("one", one, (Target("t", guide),)), Gene("two", other, (Target("t", guide),)))
+    reads = [one, other, one[:76] + one[80:], other[:70] + other[75:], one[:77] + "TT" + one[77:], one[8:132], other[:74] + "C" + other[75:]]
+    for by_target in (False, True):
+        for read in reads:
+            tops, genes_won = set(), set()
+            for margin in (0.0, 0.005, 0.02, 0.1):
+                judge = Assigner(genes, AnalysisConfig(genes, phred=20, margin=margin), by_target)
+                ahead, back = judge(read, None), judge(reverse_complement(read), None)
+                assert ahead[:2] == back[:2] and ahead[2] == back[2]
+                tops.add(ahead[2])
+                genes_won |= {ahead[1]} - {None}
+            assert len(tops) == 1 and len(genes_won) <= 1
+    judge = Assigner(genes, AnalysisConfig(genes, phred=20, margin=0.01))
+    assert judge(one, None)[:2] == ("assigned", 0) and judge(other, None)[1] != 0
+
+
+def test_votes_of_observations():
+    from guidelens.config import Gene, Target
+    from guidelens.kernels.cutsite import windows_of
+    from guidelens.kernels.locate import Evidence
+
+    one, other, guide = homologs()
+    same = one[:50] + ("C" if one[50] == "A" else "A") + one[51:]
+    panel = score.Panel(windows_of((Gene("one", one, (Target("t", guide),)), Gene("two", same, (Target("t", guide),)))), 0.0, 0)
+    a, b = panel.windows.values()
+    seen = lambda text: Evidence(text, text, 0, 0, False)
+    apart = panel.scores({a.number: seen(a.ref), b.number: seen(b.ref)})
+    assert len(set(apart.values())) == 1  # each crop is its own window's: a tie
+    agreed = panel.scores({a.number: seen(a.ref), b.number: seen(a.ref)})
+    assert agreed[a.number] == 1.0 > agreed[b.number]
+    lent = panel.completed({a.number: seen(a.ref), b.number: "no_alignment"})
+    assert lent[b.number].recovered and lent[b.number].scored_window == a.ref
+    assert panel.completed({a.number: "no_anchor", b.number: "no_alignment"}) == {}

@@ -1,6 +1,7 @@
 """Files in and out: FASTQ, FASTA, GenBank, streaming, and operators that queries don't reach."""
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,24 @@ def test_merging(spark):
 def test_suggestion(spark):
     reads = spark.createDataFrame([("f", i, s, None) for i, s in enumerate([REF_B, REF_B, REF_A])], "file string, read_index long, seq string, qual string")
     assert summary.suggestion(assigned(reads, TWO_GENES)).first().window == 1
+
+
+def test_stream_takes_files_by_arrival(tmp_path):
+    """A file that comes later counts as new whatever its name."""
+    from guidelens.sources.fastq import FastqStream
+
+    def put(name, when):
+        (tmp_path / name).write_text("@r\nACGT\n+\nIIII\n")
+        os.utime(tmp_path / name, ns=(when, when))
+
+    stream = FastqStream({"path": str(tmp_path)})
+    empty = stream.latestOffset()
+    assert stream.partitions(stream.initialOffset(), empty) == []
+    put("m.fastq", 1000)
+    one = stream.latestOffset()
+    put("b.fastq", 1000)
+    put("a.fastq", 2000)
+    two = stream.latestOffset()
+    names = lambda a, b: sorted(os.path.basename(p.path) for p in stream.partitions(a, b))
+    assert names(empty, one) == ["m.fastq"] and names(one, two) == ["a.fastq", "b.fastq"] and names(two, two) == []
+    assert names(stream.initialOffset(), two) == ["a.fastq", "b.fastq", "m.fastq"]
