@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Gene, Target
 from ..functions.sequence import normalized_sequence
 
+MAX_TARGETS = 10_000  # rows of a reference table, which travels with the functions
+
 
 def reference_rows(table: DataFrame) -> DataFrame:
     """ordinal, gene, homoeolog_group, sequence, target_id, guide of an imported table; incomplete rows go, columns are found by normalised name."""
@@ -32,8 +34,10 @@ def reference_payload(rows: DataFrame) -> DataFrame:
 
 
 def genes_of(payload: DataFrame, window_size: int = 90) -> tuple[Gene, ...]:
-    """The payload as configuration; reference tables are small by nature, and at most 10,000 rows are read."""
-    rows = payload.orderBy("reference_ix", "target_ix").limit(10_000).collect()
+    """The payload as configuration; reference tables are small by nature, and one of more than MAX_TARGETS rows is a ValueError."""
+    rows = payload.orderBy("reference_ix", "target_ix").limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets in a reference table")
     out: dict[str, Gene] = {}
     for r in rows:
         t = Target(r.target_id or f"target-{r.target_ix}", r.guide, window_size)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
+from ..kernels.cutsite import windows_of
 from .alleles import SCOPE, percent
 
+#: Fixed value: the error of a target without its guide.
+GUIDE_MISSING = "gRNA not found in reference"
 FAILURE_COLUMNS = ("quality", "no_anchor", "no_coverage", "no_alignment")
 
 
@@ -55,6 +60,34 @@ def target_summary(hits: DataFrame, kept_alleles: DataFrame) -> DataFrame:
     return with_breakdown(out)
 
 
+def missing_guides(config: AnalysisConfig) -> list[tuple[int, int]]:
+    """(gene_ix, target_ix) of the targets whose guide isn't in their reference."""
+    return [(w.gene_ix, w.target_ix) for w in windows_of(config.genes) if not w.guide_found]
+
+
+def among(targets: list[tuple[int, int]]) -> Column:
+    """Whether a row's target is one of these."""
+    each = ((F.col("gene_ix") == g) & (F.col("target_ix") == t) for g, t in targets)
+    return reduce(Column.__or__, each, F.lit(False))
+
+
+def every_target(summary: DataFrame, files: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """target_summary() with a row of zeros for each configured target without reads, and error, under which all counts but total_reads are 0.
+
+    files: the column file, once each. For runs with one reference set.
+    """
+    targets = [F.struct(F.lit(g).alias("gene_ix"), F.lit("normal").alias("kind"), F.lit(t).alias("target_ix")) for g, gene in enumerate(config.genes) for t in range(len(gene.targets))]
+    if not targets:
+        return summary.withColumn("error", F.lit(None).cast("string"))
+    every = files.select("file", F.inline(F.array(*targets)))
+    out = every.join(summary, list(SCOPE), "full")
+    gone = among(missing_guides(config))
+    counts = [c for c in summary.columns if c not in SCOPE]
+    zero = lambda c: F.lit(0).cast(summary.schema[c].dataType)
+    filled = [F.when(gone & F.lit(c != "total_reads"), zero(c)).otherwise(F.coalesce(c, zero(c))).alias(c) for c in counts]
+    return out.select(*SCOPE, *filled, F.when(gone, GUIDE_MISSING).alias("error"))
+
+
 def with_breakdown(out: DataFrame) -> DataFrame:
     """modified reads, and per cent of aligned reads at two decimals."""
     out = out.withColumn("modified", F.col("out_of_frame") + F.col("in_frame"))

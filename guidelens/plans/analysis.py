@@ -11,7 +11,7 @@ from ..config import AnalysisConfig
 from ..operators import pairs as mates
 from ..operators.alleles import SCOPE, alleles, kept, ranked, target_hits
 from ..operators.assign import assigned
-from ..operators.summary import demux_counts, gene_counts, rescued, target_summary
+from ..operators.summary import among, demux_counts, every_target, gene_counts, missing_guides, rescued, target_summary
 
 
 @dataclass(frozen=True)
@@ -42,12 +42,21 @@ def hits_by_kind(calls: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 
 def run_analysis(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> Result:
-    """reads: file, read_index, seq, qual. The caller may persist Result.calls: all else derives from it."""
+    """reads: file, read_index, seq, qual. The caller may persist Result.calls: all else derives from it.
+
+    The summary has a row for every configured target of each file; a target whose
+    guide isn't in its reference has an error there, and no alleles. Runs with
+    reference sets by input (config_key) have the rows that reads give.
+    """
     calls = assigned(reads, config, config_key)
     hits = hits_by_kind(calls, config)
-    every = alleles(hits, config, config_key)
+    gone = missing_guides(config) if config_key is None else []
+    every = alleles(hits.where(~among(gone)) if gone else hits, config, config_key)
     good = ranked(kept(every, SCOPE, config.indel_percent), SCOPE)
-    return Result(calls, hits, good, target_summary(hits, good), demux_counts(calls), gene_counts(calls, config))
+    summary = target_summary(hits, good)
+    if config_key is None:
+        summary = every_target(summary, reads.select("file").distinct(), config)
+    return Result(calls, hits, good, summary, demux_counts(calls), gene_counts(calls, config))
 
 
 def paired_reads(r1: DataFrame, r2: DataFrame, config: AnalysisConfig) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,8 @@ GENE_A, GENE_B = (Gene(n, ref, (Target("t1", guide, window_left=64, window_right
 GENE_A90 = Gene("A", REF_A, (Target("t1", GUIDE_A),))
 TWO_GENES = AnalysisConfig((GENE_A, GENE_B), phred=20.0, margin=0.02)
 TWO_TARGETS = AnalysisConfig((Gene("A", REF_A, (*GENE_A.targets, Target("t2", GUIDE_A2, window_left=59, window_right=41))), GENE_B), phred=20.0, margin=0.02)
+#: A target whose guide isn't in its reference, and a gene that no read is of.
+WITH_GAPS = AnalysisConfig((Gene("A", REF_A, (*GENE_A.targets, Target("gone", "AAAAACCCCCGGGGGTTTTT"))), GENE_B, Gene("C", "AT" * 20 + "GGCCAATTGGCCAAGGTTCC" + "AGG" + "TA" * 20, (Target("t1", "GGCCAATTGGCCAAGGTTCC"),))), phred=20.0, margin=0.02)
 TWINS = AnalysisConfig((GENE_A, Gene("A2", REF_A, GENE_A.targets)), phred=20.0, margin=0.02, rescue=True, analyze_ambiguous=True)
 
 _MOLECULE = f"""o_orderkey AS read_index,

@@ -12,7 +12,7 @@ from ..operators import benchmark, export, merge, pairs, references, summary
 from ..operators.alleles import SCOPE, alleles, called, kept, ranked, target_hits
 from ..operators.assign import assigned
 from ..plans.analysis import hits_by_kind, run_analysis
-from .fixtures import GENE_A90, READS, TRUTH, TWINS, TWO_GENES, TWO_TARGETS, reads, table
+from .fixtures import GENE_A90, READS, TRUTH, TWINS, TWO_GENES, TWO_TARGETS, WITH_GAPS, reads, table
 from .registry import query
 
 GENE = "CASE gene_ix WHEN 0 THEN 'A' ELSE 'B' END"
@@ -121,7 +121,24 @@ def rank_alleles(spark, sf_dir):
 def target_summary(spark, sf_dir):
     r = run_analysis(reads(spark, sf_dir), TWO_GENES).summary
     drop = [c for c in r.columns if c.startswith("fail_")]
-    return r.withColumn("gene", gene_name()).drop("gene_ix", "target_ix", "kind", "substitution_pct", *drop)
+    return r.withColumn("gene", gene_name()).drop("gene_ix", "target_ix", "kind", "substitution_pct", "error", *drop)
+
+
+@query(
+    f"""{_KEPT}, m AS (SELECT file, true_gene AS gene, count(*) AS total_reads, count(*) FILTER (NOT is_rc) AS forward_reads, count(*) FILTER (is_rc) AS reverse_reads FROM truth GROUP BY ALL),
+    k AS (SELECT file, gene, CAST(sum(read_count) AS BIGINT) AS aligned_reads, CAST(coalesce(sum(read_count) FILTER (category <> 'no_indel'), 0) AS BIGINT) AS modified FROM good GROUP BY ALL),
+    f AS (SELECT DISTINCT file FROM reads), t(gene, target_id, error) AS (VALUES ('A', 't1', NULL), ('A', 'gone', 'gRNA not found in reference'), ('B', 't1', NULL), ('C', 't1', NULL))
+    SELECT f.file, t.gene, t.target_id, t.error, coalesce(total_reads, 0) AS total_reads, CASE WHEN error IS NULL THEN coalesce(total_reads, 0) ELSE 0 END AS matched_reads,
+      CASE WHEN error IS NULL THEN coalesce(forward_reads, 0) ELSE 0 END AS forward_reads, CASE WHEN error IS NULL THEN coalesce(reverse_reads, 0) ELSE 0 END AS reverse_reads,
+      CASE WHEN error IS NULL THEN coalesce(aligned_reads, 0) ELSE 0 END AS aligned_reads, CASE WHEN error IS NULL THEN coalesce(modified, 0) ELSE 0 END AS modified
+    FROM f CROSS JOIN t LEFT JOIN m ON m.file = f.file AND m.gene = t.gene LEFT JOIN k ON k.file = f.file AND k.gene = t.gene"""
+)
+def target_breakdown(spark, sf_dir):
+    """Every configured target has a row: one without its guide an error, one without reads zeros."""
+    r = run_analysis(reads(spark, sf_dir), WITH_GAPS).summary
+    name = lambda of: F.element_at(F.array(*map(F.lit, of)), F.col("gene_ix") + 1)
+    target = F.when((F.col("gene_ix") == 0) & (F.col("target_ix") == 1), "gone").otherwise("t1").alias("target_id")
+    return r.select("file", name("ABC").alias("gene"), target, "error", "total_reads", "matched_reads", "forward_reads", "reverse_reads", "aligned_reads", "modified")
 
 
 def _edits(spark, sf_dir):
