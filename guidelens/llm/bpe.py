@@ -9,7 +9,8 @@ piece then give the ids, in time linear in the piece.
 
 Null or empty text: no tokens. Special tokens' strings in a text become their
 ids, as the tokenizers library does. Rows are independent: repeated rows, ties
-and empty tables need no rule. Texts of any length are taken whole.
+and empty tables need no rule. Texts of any length are taken whole. Columns other than
+the id and the text, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ fingerprints. Whole slices of texts are sketched and peeled at once in numpy.
 successors() gives each document the next one by id without one global sort: ids, of
 the whole 64-bit range, are cut at quantiles, and the first document of each range is also dealt to the
 range before it (that of the first range to the last). Null ids come first; rows
-with one id are ordered by text, and each of them has a next document.
+with one id are ordered by text, and each of them has a next document. An empty table
+gives no rows. Columns other than doc_id and text, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -5,13 +5,15 @@ with zeros); each byte has a vector, filters of WIDTHS bytes slide over them, ea
 filter keeps its largest response (ReLU, max pooling), and a softmax layer gives
 the languages. A text's score is the mean of its windows' log-probabilities,
 weighted by their bytes, put through softmax again. All windows of the whole text
-count. Training takes at most PER_LANG texts of each language (TEXTS in all), by smallest hash of
-the id, and at most WINDOWS_EACH windows spread over each text; it runs on the
-driver and is deterministic.
+count. Training takes at most PER_LANG texts of each of the LANGS most frequent
+languages (TEXTS in all), by smallest hash of the id, and at most WINDOWS_ALL windows,
+drawn from all windows of these whole texts; it runs on the driver and is
+deterministic. Rarer languages than these are never predicted.
 
 Null text, or text without a letter: `und` with score 0. Without training rows
 every text is `und`. Texts with a null language teach nothing. Equal texts get
-equal predictions; repeated rows stay; an empty table gives no rows.
+equal predictions; repeated rows stay; an empty table gives no rows. Columns other than
+doc_id, text and lang, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, map_slices
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 8, 8
-PER_LANG, WINDOWS_EACH, LANGS, TEXTS = 400, 4, 256, 8000
+PER_LANG, WINDOWS_ALL, LANGS, TEXTS = 400, 8000, 256, 8000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLOCK = 64  # windows that are computed at once
 
@@ -74,12 +76,13 @@ def train(texts: list[str], langs: list[str]) -> Network:
     grids, ys = [], []
     for t, lang in zip(texts, langs, strict=True):
         grid = windows(t.encode("utf-8", "surrogatepass"))
-        pick = np.unique(np.linspace(0, len(grid) - 1, min(WINDOWS_EACH, len(grid))).astype(int))
-        grids.append(grid[pick])
-        ys += [names.index(lang)] * len(pick)
+        grids.append(grid)
+        ys += [names.index(lang)] * len(grid)
     if not grids:
         return net
     x, y = np.concatenate(grids), np.array(ys)
+    drawn = rng.permutation(len(x))[:WINDOWS_ALL]
+    x, y = x[drawn], y[drawn]
     params = ["embed", "filters", "bias", "out", "out_bias"]
     m, v, step = {k: 0.0 for k in params}, {k: 0.0 for k in params}, 0
     for _ in range(EPOCHS):

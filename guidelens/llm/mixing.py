@@ -17,7 +17,9 @@ in code-point order, null last, weigh WEIGHTS in turn, share SHARE of all words
 stop at MOST times their own; the excess is shared again by weight. Rows with equal
 id, source and size are taken alike. Everything is a function of the rows, so
 reruns agree. Sources without words have target 0 and take nothing. An empty table
-gives no rows. A hot source is salted where its rows meet its figures.
+gives no rows. A hot source is salted where its rows meet its figures. mixed() needs
+doc_id, source and text only; mixture() keeps all columns, whatever their names. Texts
+of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -109,8 +111,8 @@ def balanced(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         dropped(state)
         state = new
         if (state.agg(F.max("error")).first()[0] or 0.0) <= NEAR:
-            break
-    return state.select("source", "m")
+            return state.select("source", "m")
+    raise ArithmeticError(f"rates haven't converged after {ROUNDS * STEPS} Newton steps")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ ascent; it needs no corpus and is the same in every run.
 
 Base spans always stay: `assign`, `access` and `hex` as documented at BASE. The
 field's spans have kind `crf` and are left out where they touch a base span. Null
-and empty texts have no spans; texts are scanned whole; rows are independent.
+and empty texts have no spans; texts of any length are scanned whole; rows are
+independent, so repeated rows get equal spans and an empty table gives no rows.
+scans() needs doc_id and text only; redacted() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
