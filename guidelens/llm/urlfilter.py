@@ -51,7 +51,7 @@ def host_rule(name: str, verdict: str) -> Rule:
 
 
 def pattern_rule(pattern: str) -> Rule:
-    body = "".join("(?:^|[^a-z0-9]|$)" if c == "^" else ".*" if c == "*" else c if c.isalnum() else "\\" + c for c in pattern)
+    body = "".join("(?:^|[^a-z0-9]|$)" if c == "^" else ".*" if c == "*" else c if c.isalnum() else "\\" + c for c in pattern.strip("*"))  # anything at an end says nothing
     tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern)
     whole = [t for t in tokens if re.search(rf"[^a-z0-9*]{t}[^a-z0-9*]", pattern)]
     return Rule(pattern, "block", body, tuple(whole), False)
