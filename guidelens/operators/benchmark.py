@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import gc_of_read, iupac_regex, phred_sum, phred_values
+from ..functions.sequence import gc_of_read, iupac_regex, phred_sum
 from .alleles import percent
 
 
@@ -30,9 +30,11 @@ def length_histogram(reads: DataFrame, bucket: int = 10) -> DataFrame:
 
 
 def quality_histogram(reads: DataFrame, bucket: int = 2) -> DataFrame:
-    """Bases by quality; each read is counted up to one row a bucket before its rows meet others."""
-    values = reads.select(F.explode(phred_values(F.col("qual"))).alias("q"))
-    return values.groupBy((F.floor(F.col("q") / bucket) * bucket).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Bases by quality; a read gives one row for each quality it has, with the number of its bases."""
+    qual = F.col("qual")
+    marks = F.array_distinct(F.filter(F.split(qual, ""), lambda c: c != ""))
+    counted = F.transform(marks, lambda c: F.struct((F.ascii(c) - 33).alias("q"), (F.length(qual) - F.length(F.replace(qual, c))).alias("bases")))
+    return reads.select(F.inline(counted)).groupBy((F.floor(F.col("q") / bucket) * bucket).cast("bigint").alias("bucket")).agg(F.sum("bases").alias("n"))
 
 
 def viewer_filter(reads: DataFrame, query: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..kernels.cutsite import find_homoeolog_site
 from ..kernels.pairwise import compare_references, difference_bp, homoeolog_similarity
 
 LANE_IDENTITY = 45.0  # per cent at which windows share a lane of the overview
+MAX_WINDOWS = 1000  # that are compared side by side
 RATES = {"all": "modified_pct", "oof": "out_of_frame_pct", "inframe": "in_frame_pct", "sub": "substitution_pct"}
 
 
@@ -45,7 +46,9 @@ def shared_alleles(rows: DataFrame, genes: int, most: int = 15) -> DataFrame:
 
 
 def window_pairs(windows: DataFrame) -> DataFrame:
-    """Every pair (ix, seq) of a list of windows, each once; window lists are configuration, a few dozen rows."""
+    """Every pair (ix, seq) of a list of windows, each once; window lists are configuration, and one of more than MAX_WINDOWS is a ValueError."""
+    if windows.limit(MAX_WINDOWS + 1).count() > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} windows side by side")
     a, b = windows.select(F.col("ix").alias("a"), F.col("seq").alias("a_seq")), windows.select(F.col("ix").alias("b"), F.col("seq").alias("b_seq"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b"))
 

@@ -47,8 +47,11 @@ def genes_of(payload: DataFrame, window_size: int = 90) -> tuple[Gene, ...]:
 
 
 def with_config(inputs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """inputs (id, name) with config_key: an override for the id, else for the name, else default."""
-    o = lambda n: F.broadcast(overrides.select(F.col("input").alias(n), F.col("config_key").alias(f"{n}_key")))
+    """inputs (id, name) with config_key: an override for the id, else for the name, else default.
+
+    Overrides may grow with the inputs, so how they are joined is left to their size.
+    """
+    o = lambda n: overrides.select(F.col("input").alias(n), F.col("config_key").alias(f"{n}_key"))
     both = inputs.join(o("by_id"), F.col("id") == F.col("by_id"), "left").join(o("by_name"), F.col("name") == F.col("by_name"), "left")
     return both.select(*inputs.columns, F.coalesce("by_id_key", "by_name_key", F.lit("default")).alias("config_key"))
 

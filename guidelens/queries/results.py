@@ -363,10 +363,12 @@ def config_override(spark, sf_dir):
     return references.with_config(inputs, ids.union(by_name)).withColumn("id", F.col("id").cast("bigint"))
 
 
-@query(f"{READS} SELECT read_index, read_id, seq FROM reads WHERE contains(read_id, '77') OR regexp_matches(seq, 'CATG[AG][AT]TT')")
+@query(f"{READS} SELECT 'CATGRWTT' AS query, read_index, read_id, seq FROM reads WHERE regexp_matches(seq, 'CATG[AG][AT]TT') UNION ALL SELECT '77', read_index, read_id, seq FROM reads WHERE contains(read_id, '77')")
 def viewer_filter(spark, sf_dir):
+    """A search by motif and one by name."""
     r = reads(spark, sf_dir).withColumn("category", F.lit(""))
-    return r.where(F.col("read_id").contains("77") | F.col("seq").rlike("x^")).select("read_index", "read_id", "seq").union(benchmark.viewer_filter(r, "CATGRWTT").where(~F.col("read_id").contains("77")).select("read_index", "read_id", "seq"))
+    found = lambda text: benchmark.viewer_filter(r, text).select(F.lit(text).alias("query"), "read_index", "read_id", "seq")
+    return found("CATGRWTT").union(found("77"))
 
 
 @query(f"{READS} SELECT read_index, q >= 20 AS aligned FROM reads ORDER BY q >= 20 DESC, read_index LIMIT 10 OFFSET 20")
