@@ -27,7 +27,7 @@ def target_hits(calls: DataFrame, kind: str = "normal") -> DataFrame:
 
 
 def called(groups: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
-    """groups (window, read_window, left_x, right_x) with the columns of CALLED: one alignment a row."""
+    """groups (window, read_window, left_x, right_x) with the columns of CALLED: one alignment a row, remembered for equal rows of a task. Rows without a read_window have nulls."""
     extra = _parse_datatype_string(CALLED)
     schema = StructType([*groups.schema.fields, *extra.fields])
     arrow = to_arrow_schema(schema)
@@ -39,6 +39,9 @@ def called(groups: DataFrame, config: AnalysisConfig, config_key: str | None = N
             keys = batch.column(config_key).to_pylist() if config_key else [None] * batch.num_rows
             rows = []
             for key, n, text, left, right in zip(keys, *(batch.column(c).to_pylist() for c in ("window", "read_window", "left_x", "right_x")), strict=True):
+                if text is None:
+                    rows.append((None,) * len(extra.fields))
+                    continue
                 ref = refs.get(key, refs[None])[n].ref
                 at = (ref, text, left, right)
                 if at not in known:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..kernels.cutsite import windows_of
-from .alleles import SCOPE, percent
+from .alleles import SCOPE, called, percent
 
 #: Fixed value: the error of a target without its guide.
 GUIDE_MISSING = "gRNA not found in reference"
@@ -94,14 +94,15 @@ def with_breakdown(out: DataFrame) -> DataFrame:
     return out.withColumns({f"{n}_pct": percent(F.col(n), F.col("aligned_reads")) for n in ("modified", "out_of_frame", "in_frame", "substitution", "unmodified")})
 
 
-def edited_targets(hits: DataFrame, observed: DataFrame) -> DataFrame:
-    """file, gene_ix, kind, read_index, target_ix, edited; observed: called() rows with allele and category.
+def edited_targets(hits: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
+    """file, gene_ix, kind, read_index, target_ix, edited: each hit called where it stands, without a shuffle or a second pass over the reads.
 
     A read that fails at a target counts there as not edited.
     """
-    keys = ["file", "gene_ix", "kind", "target_ix", "window", "read_window", "left_x", "right_x"]
-    edits = observed.select(*keys, (F.col("category") != "no_indel").alias("edited")).distinct()
-    return hits.join(edits, keys, "left").select("file", "gene_ix", "kind", "read_index", "target_ix", F.coalesce("edited", F.lit(False)).alias("edited"))
+    seen = F.when(F.col("reason") == "ok", F.col("read_window")).alias("read_window")
+    own = ["file", "gene_ix", "kind", "read_index", "target_ix", "window", "left_x", "right_x"] + ([config_key] if config_key and config_key != "file" else [])
+    edited = F.coalesce(F.col("category") != "no_indel", F.lit(False)).alias("edited")
+    return called(hits.select(*own, seen), config, config_key).select("file", "gene_ix", "kind", "read_index", "target_ix", edited)
 
 
 def multi_target(edits: DataFrame) -> DataFrame:

@@ -142,9 +142,7 @@ def target_breakdown(spark, sf_dir):
 
 
 def _edits(spark, sf_dir):
-    hits = target_hits(calls(spark, sf_dir, TWO_TARGETS).where("outcome = 'assigned'"))
-    keys = [*SCOPE, "window", "read_window", "left_x", "right_x"]
-    return summary.edited_targets(hits, called(hits.where("reason = 'ok'").select(*keys).distinct(), TWO_TARGETS))
+    return summary.edited_targets(target_hits(calls(spark, sf_dir, TWO_TARGETS).where("outcome = 'assigned'")), TWO_TARGETS)
 
 
 @query(f"{TRUTH} SELECT file, count(*) AS evaluated_reads, count(*) FILTER (true_net = 0) AS none, 0::BIGINT AS one, count(*) FILTER (true_net <> 0) AS two, 0::BIGINT AS three_or_more FROM truth WHERE true_gene = 'A' GROUP BY file")
