@@ -158,6 +158,15 @@ def observed_segments(seq: Column) -> Column:
     return F.regexp_extract_all(F.upper(seq), F.lit("([^X]+)"), 1)
 
 
+def segments(seq: Column, qual: Column | None = None) -> Column:
+    """The stretches without X as an array of (start, end, seq, qual): offsets from 0, end exclusive, each with its part of the qualities (null without any). A null sequence gives null; runs are taken to be few, since each one's start is the sum of the lengths before it."""
+    runs = F.regexp_extract_all(F.upper(seq), F.lit("([^X]+|X+)"), 1)
+    start = lambda i: F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda a, r: a + F.length(r))
+    part = lambda r, i: F.substring(qual, start(i) + 1, F.length(r)) if qual is not None else F.lit(None).cast("string")
+    each = F.transform(runs, lambda r, i: F.struct(start(i).alias("start"), (start(i) + F.length(r)).alias("end"), r.alias("seq"), part(r, i).alias("qual")))
+    return F.filter(each, lambda x: ~x["seq"].startswith("X"))
+
+
 def leading_x(seq: Column) -> Column:
     return F.length(F.regexp_extract(seq, "^X+", 0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.cutsite import find_homoeolog_site
-from ..kernels.pairwise import compare_references, difference_bp, homoeolog_similarity
+from ..kernels.pairwise import compare_references, difference_bp, homoeolog_similarity, project_position
 
 LANE_IDENTITY = 45.0  # per cent at which windows share a lane of the overview
 MAX_WINDOWS = 1000  # that are compared side by side
@@ -67,6 +67,63 @@ def similarity(pairs: DataFrame) -> DataFrame:
     return found.withColumn("aligned", F.col("identity") >= LANE_IDENTITY)
 
 
+LANE = "similarity double, guide_from int, guide_to int, window_from int, window_to int, window_difference_bp int"
+
+
+def with_anchor(refs: DataFrame, group: str = "homoeolog_group") -> DataFrame:
+    """refs (group, gene_ix, sequence) with anchor_ix and anchor_seq: the longest reference of the group, the first of equal ones. A group is the copies of one gene, which is configuration."""
+    order = F.struct((-F.length("sequence")).alias("size"), F.col("gene_ix").alias("ix"))
+    best = refs.where(F.length("sequence") > 0).groupBy(group).agg(F.min_by(F.struct("gene_ix", "sequence"), order).alias("_a"))
+    return refs.join(best, group).select(*refs.columns, F.col("_a.gene_ix").alias("anchor_ix"), F.col("_a.sequence").alias("anchor_seq"))
+
+
+def markers(refs: DataFrame, windows: DataFrame, group: str = "homoeolog_group") -> DataFrame:
+    """Every reference of a group with every target that any of its copies has: where its guide and window lie on the group's anchor.
+
+    refs: group, gene_ix, sequence. windows: gene_ix, target_id, cut (below 0: none),
+    guide_from, guide_to, window_from, window_to, window_seq, error; one row a gene and
+    target. Result: group, gene_ix, is_anchor, target_id, similarity, aligned, the four
+    places on the anchor (null where there are none), left_pct (the guide's middle in
+    per cent of the anchor), window_difference_bp against the anchor's window, error.
+    A gene without a group is one of its own, one without a sequence has no markers, and
+    one without a window for a target has a row with an error.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    named = F.coalesce(F.nullif(F.trim(F.col(group)), F.lit("")), F.concat(F.lit("Homoeolog "), (F.col("gene_ix") + 1).cast("string")))
+    clean = refs.select(named.alias(group), "gene_ix", F.upper(F.regexp_replace("sequence", r"\s+", "")).alias("sequence"))
+    lanes = with_anchor(clean.where(F.length("sequence") > 0), group)
+    targets = lanes.select(group, "gene_ix").join(windows.select("gene_ix", "target_id"), "gene_ix").select(group, "target_id").distinct()
+    own = windows.select("gene_ix", "target_id", "cut", "guide_from", "guide_to", "window_from", "window_to", "window_seq", F.col("error").alias("cause"))
+    theirs = windows.select(F.col("gene_ix").alias("anchor_ix"), "target_id", F.col("window_seq").alias("anchor_window"))
+    rows = lanes.join(targets, group).join(own, ["gene_ix", "target_id"], "left").join(theirs, ["anchor_ix", "target_id"], "left")
+    spots = ("guide_from", "guide_to", "window_from", "window_to")
+    rows = rows.withColumnsRenamed({c: f"own_{c}" for c in spots})
+    used = ("sequence", "anchor_seq", *(f"own_{c}" for c in spots), "window_seq", "anchor_window")
+    extra = _parse_datatype_string(LANE)
+    schema = StructType([*rows.schema.fields, *extra.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ref, anchor, *at, window, other in zip(*(batch.column(c).to_pylist() for c in used), strict=True):
+                places = [None if p is None else project_position(ref, anchor, p) for p in at]
+                found.append((homoeolog_similarity(ref, anchor), *places, None if window is None or other is None else difference_bp(window, other)))
+            cols = [pa.array([r[i] for r in found], arrow.field(f.name).type) for i, f in enumerate(extra.fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
+
+    out = rows.mapInArrow(run, schema)
+    is_anchor = F.col("gene_ix") == F.col("anchor_ix")
+    aligned = is_anchor | (F.col("similarity") >= LANE_IDENTITY)
+    shows = aligned & (F.coalesce("cut", F.lit(-1)) >= 0)
+    middle = (F.col("guide_from") + F.col("guide_to")) / 2.0
+    placed = lambda c: F.when(shows, F.col(c)).alias(c)
+    error = F.when(~aligned, F.format_string("Reference alignment %.1f%%", F.col("similarity"))).when(~shows, F.coalesce("cause", F.lit("Guide not matched"))).when(middle.isNull(), "Alignment position unavailable")
+    return out.select(group, "gene_ix", is_anchor.alias("is_anchor"), "target_id", "similarity", aligned.alias("aligned"), *map(placed, spots), F.when(shows, F.least(F.lit(100.0), middle / F.length("anchor_seq") * 100.0)).alias("left_pct"), placed("window_difference_bp"), error.alias("error"))
+
+
 SITE = "matched boolean, exact boolean, mismatches int, identity double, strand string, start int, end int, cut int, pam string, pam_found boolean, spacer string, guide string"
 
 

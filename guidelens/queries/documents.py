@@ -113,6 +113,23 @@ def latest_version(spark, sf_dir):
     return workspace.latest(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("saved_at")))
 
 
+@query(
+    """WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    d AS (SELECT *, least(id % 4, n - 1, 20) AS undone, CASE WHEN id % 4 > 1 THEN least(id % 4, n - 1, 20) > 0 ELSE false END AS again FROM o),
+    e AS (SELECT *, undone - CASE WHEN again THEN 1 ELSE 0 END AS back FROM d)
+    SELECT id, version, CAST(least(n - 1, 20) - back AS INT) AS undo_steps, CAST(back AS INT) AS redo_steps FROM e WHERE i = n - back AND id % 7 <> 0"""
+)
+def undo_redo(spark, sf_dir):
+    """Each customer's orders are saved in turn, some undone, one of these done again, and some items deleted."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"))
+    later = lambda k, action, when: orders.select("id").distinct().where(when).select("id", F.lit((1 << 60) + k).alias("at"), F.lit(action).alias("action"), F.lit(None).cast("bigint").alias("version"))
+    parts = [later(k, "undo", F.col("id") % 4 > k) for k in range(3)] + [later(3, "redo", F.col("id") % 4 > 1), later(4, "delete", F.col("id") % 7 == 0)]
+    actions = orders.select("id", F.col("version").alias("at"), F.lit("save").alias("action"), "version")
+    for part in parts:
+        actions = actions.unionByName(part)
+    return workspace.after_actions(actions)
+
+
 _CUT = f"""WITH r AS (SELECT p_partkey, '{REF_A}' AS ref, substring('{REF_A}', CAST(p_partkey % 75 + 1 AS INT), 20) AS guide, p_partkey % 75 AS start, p_partkey % 2 = 0 AS reverse FROM part),
  m AS (SELECT *, regexp_matches(substring(ref, CAST(start + 21 AS INT), 3), '^[ACGT]GG$') AS rp, start >= 3 AND regexp_matches(substring(ref, CAST(greatest(start - 2, 1) AS INT), 3), '^CC[ACGT]$') AS lp FROM r),
  c AS (SELECT *, CASE WHEN rp THEN start + 17 WHEN regexp_matches(guide, '[ACGT]GG$') THEN start + 14 END AS f, CASE WHEN lp THEN start + 3 WHEN regexp_matches(guide, '^CC[ACGT]') THEN start + 6 END AS v FROM m)
@@ -219,3 +236,27 @@ def _window_pairs(spark, sf_dir):
     k = F.col("n_nationkey")
     seq = F.concat(F.substring(F.lit(REF_A), F.lit(1), (k + 30).cast("int")), F.substring(F.lit(REF_B), (k * 2 + 20).cast("int"), F.lit(40)))
     return homoeolog.window_pairs(table(spark, sf_dir, "nation").select(k.alias("ix"), seq.alias("seq")))
+
+
+_COPIES = f"""WITH r AS (SELECT concat('G', CAST(n_regionkey AS VARCHAR)) AS homoeolog_group, n_nationkey AS gene_ix, (n_nationkey * 7) % 5 * 2 AS k, n_nationkey % 2 AS odd FROM nation),
+ a AS (SELECT *, first_value(gene_ix) OVER w AS anchor_ix, first_value(k) OVER w AS ka, first_value(odd) OVER w AS odd_a FROM r WINDOW w AS (PARTITION BY homoeolog_group ORDER BY k, gene_ix)),
+ s AS (SELECT *, floor((2.0e0 * (100 - k) / (200 - k - ka)) * 1000.0e0 + 0.5e0) / 10.0e0 AS similarity FROM a)
+SELECT homoeolog_group, gene_ix, gene_ix = anchor_ix AS is_anchor, 't1' AS target_id, similarity, true AS aligned, CAST(60 - ka AS INT) AS guide_from, CAST(80 - ka AS INT) AS guide_to, CAST(20 - ka AS INT) AS window_from, CAST(95 - ka AS INT) AS window_to,
+  (70 - ka) / (100.0e0 - ka) * 100.0e0 AS left_pct, CAST(CASE WHEN odd = odd_a THEN 0 ELSE 1 END AS INT) AS window_difference_bp, NULL AS error FROM s
+UNION ALL SELECT homoeolog_group, gene_ix, gene_ix = anchor_ix, 't2', similarity, true, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN gene_ix % 4 = 0 THEN 'no guide' ELSE 'Guide not matched' END
+  FROM s WHERE homoeolog_group IN (SELECT homoeolog_group FROM r WHERE gene_ix % 4 = 0)"""
+
+
+@query(_COPIES)
+def homoeolog_markers(spark, sf_dir):
+    """Copies that lack some bases at their start, every second with a base changed in its window; a second target that few have, without a cut."""
+    n, ref = F.col("n_nationkey"), F.lit(REF_A)
+    k = ((n * 7) % 5 * 2).cast("int")
+    nations = table(spark, sf_dir, "nation").withColumn("k", k)
+    refs = nations.select(F.concat(F.lit("G"), F.col("n_regionkey").cast("string")).alias("homoeolog_group"), n.alias("gene_ix"), F.substring(ref, F.col("k") + 1, F.lit(100)).alias("sequence"))
+    window = F.when(n % 2 == 1, F.concat(F.lit("N"), F.substring(ref, F.lit(22), F.lit(74)))).otherwise(F.substring(ref, F.lit(21), F.lit(75)))
+    spot = lambda at, name: (F.lit(at) - F.col("k")).alias(name)
+    one = nations.select(n.alias("gene_ix"), F.lit("t1").alias("target_id"), spot(77, "cut"), spot(60, "guide_from"), spot(80, "guide_to"), spot(20, "window_from"), spot(95, "window_to"), window.alias("window_seq"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("int")
+    two = nations.where(n % 4 == 0).select(n.alias("gene_ix"), F.lit("t2").alias("target_id"), F.lit(-1).alias("cut"), *(none.alias(c) for c in ("guide_from", "guide_to", "window_from", "window_to")), F.lit("").alias("window_seq"), F.lit("no guide").alias("error"))
+    return homoeolog.markers(refs, one.unionByName(two))

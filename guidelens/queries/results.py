@@ -164,6 +164,22 @@ def benchmark_confusion(spark, sf_dir):
     return benchmark.confusion(calls(spark, sf_dir).withColumn("predicted", gene_name()))
 
 
+_ACCURACY = replace(TWO_TARGETS, genes=(*TWO_TARGETS.genes, WITH_GAPS.genes[2]))
+
+
+@query(
+    f"""{READS}, t AS (SELECT true_gene AS gene, CASE WHEN true_gene = 'A' AND read_index % 2 = 0 THEN 't2' ELSE 't1' END AS target, 1 AS n, q FROM reads UNION ALL VALUES ('C', 't1', 0, 35)),
+    g AS (SELECT gene, target, n, q FROM t UNION ALL SELECT 'All', 'All', n, q FROM t),
+    c AS (SELECT gene, target, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (q >= 20), 0) AS BIGINT) AS correct, CAST(coalesce(sum(n) FILTER (q < 20), 0) AS BIGINT) AS filtered FROM g GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN total = 0 THEN 0.0e0 ELSE floor(correct * 1.0e0 / total * 1000.0e0 + 0.5e0) / 10.0e0 END AS share FROM c)
+    SELECT gene, target, total, correct AS usable, correct, 0::BIGINT AS wrong, 0::BIGINT AS ambiguous, filtered, share AS usable_rate, CASE WHEN correct = 0 THEN 0.0e0 ELSE 100.0e0 END AS correct_rate, 0.0e0 AS wrong_rate, 0.0e0 AS ambiguous_rate,
+      share AS correct_rate_total, 0.0e0 AS wrong_rate_total, 0.0e0 AS ambiguous_rate_total, 0::BIGINT AS fail_no_anchor, filtered AS fail_quality, 0::BIGINT AS fail_similarity, 0::BIGINT AS fail_no_coverage, 0::BIGINT AS fail_no_alignment FROM r"""
+)
+def benchmark_by_target(spark, sf_dir):
+    true_target = F.when((F.col("true_gene") == "A") & (F.col("read_index") % 2 == 0), "t2").otherwise("t1")
+    return benchmark.accuracy(calls(spark, sf_dir, _ACCURACY).withColumn("true_target", true_target), _ACCURACY)
+
+
 _PAIRED = replace(TWO_GENES, paired_window=90)
 
 

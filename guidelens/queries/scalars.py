@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import sequence as S
+from ..functions.sql import register
 from ..kernels.cutsite import windows_of
-from .fixtures import DNA, GUIDE_A, READS, REF_A, REF_B, TWO_GENES, dna, reads, table
+from .fixtures import DNA, GUIDE_A, GUIDE_B, READS, REF_A, REF_B, TWO_GENES, dna, reads, table
 from .registry import query
 
 WINDOW = windows_of(TWO_GENES.genes)[0].ref
@@ -117,6 +118,32 @@ def observed_segments(spark, sf_dir):
     return s.select("read_index", F.array_join(S.observed_segments(F.col("s")), ",").alias("segments"), S.leading_x(F.col("s")).alias("lead"), S.trailing_x(F.col("s")).alias("trail"))
 
 
+@query(
+    f"""{READS}, s AS (SELECT read_index, seq, concat('!!', substring(qual, 1, 30), '!!!!', substring(qual, 40, 100), '!') AS q FROM reads)
+    SELECT read_index, 2 AS "start", 32 AS "end", substring(seq, 1, 30) AS seq, substring(q, 3, 30) AS qual FROM s
+    UNION ALL SELECT read_index, 36, CAST(36 + length(seq) - 39 AS INT), substring(seq, 40, 100), substring(q, 37, CAST(length(seq) - 39 AS INT)) FROM s"""
+)
+def segment_offsets(spark, sf_dir):
+    pad = lambda c, x: F.concat(F.lit(x * 2), F.substring(c, 1, 30), F.lit(x * 4), F.substring(c, 40, 100), F.lit(x))
+    return rows(spark, sf_dir).select("read_index", F.inline(S.segments(pad("seq", "X"), pad("qual", "!"))))
+
+
+@query(
+    f"""{READS} SELECT read_index, CASE WHEN q >= 20 THEN 'ok' ELSE 'quality' END AS reason, CASE WHEN q >= 20 THEN is_rc END AS is_rc,
+    CAST(least(levenshtein(fwd, ref), 5) AS INT) AS distance, CAST(CASE true_gene WHEN 'A' THEN position('{GUIDE_A}' IN ref) ELSE position('{GUIDE_B}' IN ref) END - 1 AS INT) AS guide_start
+    FROM (SELECT *, CASE true_gene WHEN 'A' THEN '{REF_A}' ELSE '{REF_B}' END AS ref FROM reads)"""
+)
+def sql_functions(spark, sf_dir):
+    """Kernels called from SQL text."""
+    register(spark)
+    one = rows(spark, sf_dir).withColumns({"ref": F.when(F.col("true_gene") == "A", REF_A).otherwise(REF_B), "guide": F.when(F.col("true_gene") == "A", GUIDE_A).otherwise(GUIDE_B)})
+    return spark.sql(
+        """SELECT read_index, l.reason, l.is_rc, distance, c.guide_start FROM (SELECT read_index, locate_target(seq, qual, ref, guide, 20.0D) AS l,
+        edit_distance_within(fwd, ref, 4) AS distance, guide_cut_site(ref, guide) AS c FROM {reads})""",
+        reads=one,
+    )
+
+
 @query(
     """WITH n AS (SELECT o_orderkey, concat('@r', CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 3 WHEN 0 THEN '/1' WHEN 1 THEN '/2 1:N:0' ELSE ' 2:N:0' END) AS name FROM orders)
     SELECT o_orderkey, regexp_replace(regexp_extract(regexp_replace(name, '^@', ''), '^\\s*(\\S*)', 1), '/[12]$', '') AS id FROM n"""
