@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, iblt, langid, media_ts, mixing, neardup, secrets, toxicity, urlfilter
+from . import bpe, chat, iblt, langid, media_ts, merkle, mixing, neardup, secrets, spelling, toxicity, urlfilter, vamana
 from .common import table
 
 
@@ -55,6 +55,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scans(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES = {
         op8_url_filter,
         op9_paragraph_fingerprints,
         op10_secret_scan,
+        op11_merkle_manifest,
+        op12_spelling_variants,
+        op13_graph_neighbours,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op8_url_filter": urlfilter.judged_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op8_url_filter": urlfilter.judged_sql(), "op11_merkle_manifest": merkle.manifest_sql(), "op12_spelling_variants": spelling.variants_sql()}
