@@ -195,6 +195,8 @@ class Graph:
         """Edges back from the neighbours of nodes; what exceeds DEGREE is pruned."""
         source, target = np.repeat(nodes, DEGREE), self.edges[nodes].ravel()
         source, target = source[target >= 0], target[target >= 0]
+        if not len(target):
+            return
         order = np.lexsort((source, target))
         source, target = source[order], target[order]
         ends, first, count = np.unique(target, return_index=True, return_counts=True)
