@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-_COMPLEMENT = {ord(a): b for a, b in zip("ACGTNX", "TGCANX", strict=True)}
+_COMPLEMENT = bytes.maketrans(bytes(range(256)), bytes(dict(zip(b"ACGTNX", b"TGCANX", strict=True)).get(c, ord("N")) for c in range(256)))
 
 
 def reverse_complement(seq: str) -> str:
     """Of upper-cased bases; anything but A, C, G, T, N and X counts as N."""
-    return "".join(_COMPLEMENT.get(ord(c), "N") for c in reversed(seq.upper()))
+    return seq.upper().encode("latin-1", "replace").translate(_COMPLEMENT)[::-1].decode("latin-1")
 
 
 def matcher(a: str, b: str) -> SequenceMatcher:

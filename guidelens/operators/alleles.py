@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -14,6 +13,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..config import AnalysisConfig
 from ..kernels.cutsite import windows_of
 from ..kernels.mutate import call, materialized
+from .running import with_running
 
 SCOPE = ("file", "gene_ix", "kind", "target_ix")
 CALLED = "allele string, category string, has_sub boolean, net_indel int, tokens array<struct<type:string,val:string>>"
@@ -71,22 +71,27 @@ def alleles(hits: DataFrame, config: AnalysisConfig, config_key: str | None = No
     return out.select(*SCOPE, "read_inner", "read_count", "first_seen", "f.*")
 
 
-def kept(table: DataFrame, scope: tuple[str, ...], percent: float, count: str = "read_count", order: str = "first_seen") -> DataFrame:
-    """Alleles by falling count, while each is at least `percent` of the reads kept so far and itself.
+def kept_and_ranked(table: DataFrame, scope: tuple[str, ...], percent: float, count: str = "read_count", order: str = "first_seen") -> DataFrame:
+    """Alleles by falling count (ties by first seen), with group_rank from 1, while each is at least `percent` of the reads kept so far and itself.
 
     Counts fall and running sums rise, so the share falls and the rows that pass are a
-    prefix: a filter on a running sum says the same as stopping at the first failure.
+    prefix: a filter on a running sum says the same as stopping at the first failure,
+    and their ranks are the ranks among all.
     """
-    if percent <= 0:
-        return table
-    by = W.partitionBy(*scope).orderBy(F.desc(count), order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = F.sum(count).over(by)
-    return table.withColumn("_share", F.col(count) * F.lit(1.0) / running * F.lit(100.0)).where(F.col("_share") >= percent).drop("_share")
+    rows = with_running(table, scope, count, order)
+    if percent > 0:
+        rows = rows.where(F.col(count) * F.lit(1.0) / F.col("_running") * F.lit(100.0) >= percent)
+    return rows.select(*table.columns, F.col("_rank").alias("group_rank"))
+
+
+def kept(table: DataFrame, scope: tuple[str, ...], percent: float, count: str = "read_count", order: str = "first_seen") -> DataFrame:
+    """The alleles of kept_and_ranked() without their ranks."""
+    return kept_and_ranked(table, scope, percent, count, order).drop("group_rank") if percent > 0 else table
 
 
 def ranked(table: DataFrame, scope: tuple[str, ...], count: str = "read_count", order: str = "first_seen") -> DataFrame:
     """group_rank 1.. by falling count, ties by first seen."""
-    return table.withColumn("group_rank", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc(count), order)))
+    return kept_and_ranked(table, scope, 0, count, order)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -1,7 +1,8 @@
 """Reads to genes: one Arrow pass over the reads, no shuffle.
 
 The kernel sees one read and all windows of its reference set, since the choice
-among genes compares windows within a read. Locating depends on the bases alone,
+among genes compares windows within a read; an index of seeds names those that the
+read can observe, so a large panel costs a read no more than a small one. Locating depends on the bases alone,
 and scores on the bases and on which observations pass the quality gate; both are
 remembered for CACHE sequences a task, so repeated reads cost a lookup and reads
 aren't shuffled to find their repeats.
@@ -20,8 +21,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..config import AnalysisConfig, Gene
 from ..kernels.cutsite import windows_of
-from ..kernels.locate import Evidence, best_evidence, candidates
+from ..kernels.locate import Evidence, best_evidence, candidates, segments
 from ..kernels.score import Panel, window_score
+from ..kernels.seeds import SeedIndex
 
 CACHE = 16_384
 SLICE_ROWS = 2048
@@ -39,27 +41,30 @@ class Assigner:
 
     def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig, by_target: bool = False):
         self.windows, self.genes, self.config = windows_of(genes), len(genes), config
-        self.panel = Panel(self.windows, config.distance_weight, config.exclusion_flank)
+        self.panel, self.seeds = Panel(self.windows, config.distance_weight, config.exclusion_flank), SeedIndex(self.windows)
         # what competes for a read: genes by their best window, or single windows
         self.rival = {w.number: w.number if by_target else w.gene_ix for w in self.windows}
+        self.of_rival: dict[int, list] = {}
+        for w in self.windows:
+            self.of_rival.setdefault(self.rival[w.number], []).append(w)
         self.lone = by_target and len(self.windows) > 1  # a single usable window still has to lead nothing by the margin
         self.located = lru_cache(CACHE)(self._located)
         self.called = lru_cache(CACHE)(self._called)
 
-    def _located(self, seq: str):
-        return [candidates(seq, w) for w in self.windows]
+    def _located(self, seq: str) -> dict[int, tuple]:
+        """Candidates and reasons by window, of the windows that have a seed in the read; the others have no alignment."""
+        return {n: candidates(seq, self.windows[n]) for n in self.seeds([text for _, text in segments(seq)])}
 
     def evidence(self, seq: str, passes: tuple[tuple[bool, ...], ...]) -> dict[int, Evidence | str]:
-        return {w.number: best_evidence(seq, found, list(ok), reasons) for w, (found, reasons), ok in zip(self.windows, self.located(seq), passes, strict=True)}
+        return {n: best_evidence(seq, found, list(ok), reasons) for (n, (found, reasons)), ok in zip(self.located(seq).items(), passes, strict=True)}
 
     def _called(self, seq: str, passes: tuple[tuple[bool, ...], ...]) -> tuple:
         c, plain = self.config, self.evidence(seq, passes)
         usable = self.panel.completed(plain)
         scores = self.panel.scores(usable)
         best: dict[int, float] = {}
-        for w in self.windows:
-            if w.number in scores:
-                best[self.rival[w.number]] = max(best.get(self.rival[w.number], -1.0), scores[w.number])
+        for n in sorted(scores):
+            best[self.rival[n]] = max(best.get(self.rival[n], -1.0), scores[n])
         ranked = sorted(best, key=lambda g: -best[g])
         top1 = best[ranked[0]] if ranked else None
         top2 = best[ranked[1]] if len(ranked) > 1 else 0.0 if ranked and self.lone else None
@@ -68,12 +73,10 @@ class Assigner:
         winner = ranked[0] if outcome == "assigned" else None
         gene = next((w.gene_ix for w in self.windows if self.rival[w.number] == winner), None)
         hits = []
-        for w in self.windows:
-            if winner is not None and self.rival[w.number] != winner:
-                continue
+        for w in self.windows if winner is None else self.of_rival[winner]:
             # outside the gene that a read was assigned to, only its own observations count
-            e = usable.get(w.number) if gene is not None else plain[w.number]
-            e = plain[w.number] if e is None else e
+            e = usable.get(w.number) if gene is not None else None
+            e = plain.get(w.number, "no_alignment") if e is None else e
             row = {"window": w.number, "gene_ix": w.gene_ix, "target_ix": w.target_ix, "reason": "ok", "read_window": None, "left_x": None, "right_x": None, "is_rc": None, "recovered": None, "score": scores.get(w.number), "whole_score": None}
             if isinstance(e, Evidence):
                 row |= {"read_window": e.read_window, "left_x": e.left_x, "right_x": e.right_x, "is_rc": e.is_rc, "recovered": e.recovered}
@@ -92,7 +95,7 @@ class Assigner:
             good = lambda x: (n := min(x.qual_end, len(qual)) - min(x.qual_start, len(qual))) <= 0 or (sums[min(x.qual_end, len(qual))] - sums[min(x.qual_start, len(qual))]) / n >= self.config.phred
         else:
             good = lambda x: True
-        return self.called(seq, tuple(tuple(bool(good(x)) for x in cands) for cands, _ in found))
+        return self.called(seq, tuple(tuple(bool(good(x)) for x in cands) for cands, _ in found.values()))
 
 
 def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None, by_target: bool = False) -> DataFrame:

@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import AnalysisConfig
+from ..config import FAILURES, AnalysisConfig
 from ..functions import names
 from ..functions.sequence import pair_quality_passes
 from ..kernels.cutsite import windows_of
-from ..kernels.locate import Evidence, best_evidence, candidates
+from ..kernels.locate import Evidence, best_evidence, candidates, segments
 from ..kernels.matching import reverse_complement
-from ..kernels.overlap import merge_pair
+from ..kernels.overlap import merged_pairs
+from ..kernels.seeds import SeedIndex
+from .assign import CACHE, SLICE_ROWS
 
 MERGED = "seq string, qual string, merged boolean, overlap int, overlap_identity double"
 
 
+def scores(qual: str | None) -> np.ndarray:
+    """Phred scores of a quality line."""
+    return np.frombuffer((qual or "").encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33
+
+
 def file_pairs(files: DataFrame) -> DataFrame:
     """files (ordinal, name) -> pair, r1, r2, pair_name: mates with one sample key, in order; a second file for a slot starts another pair."""
     f = files.withColumn("mate", names.mate(F.col("name"))).withColumn("key", names.sample_key(F.col("name")))
@@ -66,10 +75,11 @@ def merged(pairs: DataFrame, config: AnalysisConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for s1, q1, s2, q2 in zip(*(batch.column(c).to_pylist() for c in ("r1_seq", "r1_qual", "r2_seq", "r2_qual")), strict=True):
-                values = lambda q: [ord(c) - 33 for c in q or ""]
-                m = merge_pair(s1 or "", values(q1), reverse_complement(s2 or ""), values(q2)[::-1], config.paired_window, config.overlap_bases, config.overlap_identity)
-                rows.append((m.seq, "".join(chr(min(93, max(0, x)) + 33) for x in m.qual), m.merged, m.overlap, m.identity))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                mates = [(s1 or "", scores(q1), reverse_complement(s2 or ""), scores(q2)[::-1]) for s1, q1, s2, q2 in zip(*(part.column(c).to_pylist() for c in ("r1_seq", "r1_qual", "r2_seq", "r2_qual")), strict=True)]
+                for seq, qual, *rest in merged_pairs(mates, config.paired_window, config.overlap_bases, config.overlap_identity):
+                    rows.append((seq, (np.clip(qual, 0, 93) + 33).astype(np.uint8).tobytes().decode("latin-1"), *rest))
             cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type) for i, f in enumerate(extra.fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
 
@@ -87,17 +97,19 @@ def judged(molecules: DataFrame, config: AnalysisConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = [w for w in windows_of(config.genes) if w.guide_found]
+        by_number, seeds = {w.number: w for w in windows}, SeedIndex(windows)
+        # what a sequence shows is remembered; only the quality gate differs between its reads
+        located = lru_cache(CACHE)(lambda seq: {n: candidates(seq, by_number[n]) for n in seeds([text for _, text in segments(seq)])})
 
         def judge(seq: str, qual: str) -> tuple[bool, str]:
-            reasons, passes = [], False
-            values = [ord(c) - 33 for c in qual]
-            for w in windows:
-                found, why = candidates(seq.upper(), w)
-                ok = [not (q := values[c.qual_start : c.qual_end]) or sum(q) / len(q) >= config.phred for c in found]
-                e = best_evidence(seq.upper(), found, ok, why)
+            found, sums = located(seq.upper()), np.concatenate(([0], np.cumsum(scores(qual))))
+            end, reasons, passes = len(sums) - 1, {"no_alignment"} if len(windows) > len(located(seq.upper())) else set(), False
+            for cands, why in found.values():
+                good = lambda c: (n := min(c.qual_end, end) - min(c.qual_start, end)) <= 0 or (sums[min(c.qual_end, end)] - sums[min(c.qual_start, end)]) / n >= config.phred
+                e = best_evidence(seq.upper(), cands, [bool(good(c)) for c in cands], why)
                 passes |= isinstance(e, Evidence)
-                reasons += [] if isinstance(e, Evidence) else [e]
-            return passes, next((r for r in ("quality", "no_anchor", "no_coverage", "no_alignment") if r in reasons), "no_target_window")
+                reasons |= set() if isinstance(e, Evidence) else {e}
+            return passes, next((r for r in FAILURES if r in reasons), "no_target_window")
 
         for batch in batches:
             rows = []

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..functions.sequence import AMINO_ACIDS, complement_iupac, iupac_regex, motif_positions
+from ..functions.sequence import complement_iupac, iupac_regex, motif_positions
+from ..kernels.codons import orfs
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,7 @@ def _hit(strand: int, size: int):
     return lambda p: F.struct(p.alias("start"), (p + size).alias("end"), F.lit(strand).alias("strand"), F.substring(F.col("seq"), p + 1, F.lit(size)).alias("match"))
 
 
+ORF = "start int, end int, frame int, strand int, protein string"
 SITE = "enzyme string, start int, end int, cut_top int, cut_bottom int, strand int, type_iis boolean"
 
 
@@ -113,34 +115,11 @@ def motif_search(docs: DataFrame, query: str, both_strands: bool = True, keys: t
     return docs.select(*keys, "seq", F.explode(F.concat(*parts)).alias("m")).select(*keys, "m.*")
 
 
-def orfs(seq: str, least: int = 30) -> Iterator[tuple[int, int, int, int, str]]:
-    """(start, end, frame, strand, protein) from the first ATG to a stop, in six frames; length with the stop of at least 3 * least."""
-    from ..functions.sequence import IUPAC, IUPAC_COMPLEMENT
-
-    top = seq.upper().replace("U", "T")
-    index = {c: i for i, c in enumerate("TCAG")}
-    amino = lambda codon: AMINO_ACIDS[16 * index[codon[0]] + 4 * index[codon[1]] + index[codon[2]]] if set(codon) <= set(index) else None
-    for strand, dna in ((1, top), (-1, top[::-1].translate(str.maketrans(IUPAC, IUPAC_COMPLEMENT)))):
-        for frame in range(3):
-            begin = None
-            for i in range(frame, len(dna) - 2, 3):
-                a = amino(dna[i : i + 3])
-                if begin is None and dna[i : i + 3] == "ATG":
-                    begin = i
-                elif begin is not None and a == "*":
-                    if i + 3 - begin >= 3 * least:
-                        clean = "".join(c for c in dna[begin : i + 3] if c in index)
-                        protein = "".join(amino(clean[j : j + 3]) for j in range(0, len(clean) - 2, 3))
-                        span = (begin, i + 3) if strand > 0 else (len(dna) - i - 3, len(dna) - begin)
-                        yield (*span, strand * (frame + 1), strand, protein)
-                    begin = None
-
-
 def register_functions(spark: SparkSession) -> None:
     """find_orfs(seq, least) as a table function for SQL."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="start int, end int, frame int, strand int, protein string")
+    @udtf(returnType=ORF)
     class FindOrfs:
         def eval(self, seq: str, least: int):
             yield from orfs(seq or "", least)
@@ -150,12 +129,8 @@ def register_functions(spark: SparkSession) -> None:
 
 def find_orfs(docs: DataFrame, least: int = 30, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, start, end, frame, strand, protein of every open reading frame."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
     kept = docs.select(*keys, "seq")
-    extra = _parse_datatype_string("start int, end int, frame int, strand int, protein string")
+    extra = _parse_datatype_string(ORF)
     schema = StructType([*(kept.schema[k] for k in keys), *extra.fields])
     arrow = to_arrow_schema(schema)
 
@@ -197,10 +172,10 @@ def without(features: DataFrame, removed: DataFrame, key: str = "feature_id") ->
 
 def row_strips(docs: DataFrame, width: int = 60, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, row, start, end, bases, complement: a sequence in strips of `width`."""
-    spots = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width))
-    rows = docs.where(F.length("seq") > 0).select(*keys, "seq", F.posexplode(spots).alias("row", "start"))
-    bases = F.substring(F.col("seq"), F.col("start") + 1, F.lit(width))
-    return rows.select(*keys, "row", "start", (F.col("start") + F.length(bases)).alias("end"), bases.alias("bases"), complement_iupac(bases).alias("complement"))
+    strips = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{width}}})"), 1)  # one pass, however long the sequence is
+    rows = docs.select(*keys, F.posexplode(strips).alias("row", "bases"))
+    start = F.col("row") * width
+    return rows.select(*keys, "row", start.alias("start"), (start + F.length("bases")).alias("end"), "bases", complement_iupac(F.col("bases")).alias("complement"))
 
 
 def features_in_rows(features: DataFrame, width: int, key: str = "doc_id") -> DataFrame:

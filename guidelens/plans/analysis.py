@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..operators import pairs as mates
-from ..operators.alleles import SCOPE, alleles, kept, ranked, target_hits
+from ..operators.alleles import SCOPE, alleles, kept_and_ranked, target_hits
 from ..operators.assign import assigned
 from ..operators.summary import among, demux_counts, every_target, gene_counts, missing_guides, rescued, target_summary
 
@@ -52,7 +52,7 @@ def run_analysis(reads: DataFrame, config: AnalysisConfig, config_key: str | Non
     hits = hits_by_kind(calls, config)
     gone = missing_guides(config) if config_key is None else []
     every = alleles(hits.where(~among(gone)) if gone else hits, config, config_key)
-    good = ranked(kept(every, SCOPE, config.indel_percent), SCOPE)
+    good = kept_and_ranked(every, SCOPE, config.indel_percent)
     summary = target_summary(hits, good)
     if config_key is None:
         summary = every_target(summary, reads.select("file").distinct(), config)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig
 
 from ..operators import benchmark, export, merge, pairs, references, summary
-from ..operators.alleles import SCOPE, alleles, called, kept, ranked, target_hits
+from ..operators.alleles import SCOPE, alleles, called, kept, kept_and_ranked, target_hits
 from ..operators.assign import assigned
 from ..plans.analysis import hits_by_kind, run_analysis
 from .fixtures import GENE_A90, READS, TRUTH, TWINS, TWO_GENES, TWO_TARGETS, WITH_GAPS, reads, table
@@ -106,8 +106,7 @@ def allele_threshold(spark, sf_dir):
 
 @query(f"{_KEPT} SELECT file, gene, read_inner, row_number() OVER (PARTITION BY file, gene ORDER BY read_count DESC, first_seen) AS group_rank FROM good")
 def rank_alleles(spark, sf_dir):
-    rows = kept(allele_table(spark, sf_dir), ("file", "gene"), 1.0)
-    return ranked(rows, ("file", "gene")).select("file", "gene", "read_inner", F.col("group_rank").cast("bigint").alias("group_rank"))
+    return kept_and_ranked(allele_table(spark, sf_dir), ("file", "gene"), 1.0).select("file", "gene", "read_inner", F.col("group_rank").cast("bigint").alias("group_rank"))
 
 
 @query(

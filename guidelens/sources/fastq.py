@@ -1,8 +1,9 @@
 """FASTQ files as a data source: one partition a file, records numbered in file order.
 
-Reads go through Hadoop's file systems only to list files; the readers open paths
-with fsspec-free Python, so files must be on storage that executors mount. For files
-in an object store, read_binary() uses Spark's own reader.
+The driver lists files and executors open them as local paths, so they must be on
+storage that all of them mount. splits.read() gives the same rows from any file system
+that Spark reads, and large files in many tasks; read_binary() takes whole files, and
+stream() those that arrive in a folder.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, read_index bigint, read_id string, seq string, qual string"
 BATCH = 10_000
@@ -58,11 +59,11 @@ class FilePartition(InputPartition):
         self.path = path
 
 
-def batches(name: str, found: Iterator[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
+def batches(name: str, found: Iterator[tuple[str, str, str]], first: int = 0) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     names = ["file", "read_index", "read_id", "seq", "qual"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    for i, r in enumerate(found):
+    for i, r in enumerate(found, first):
         rows.append((name, i, *r))
         if len(rows) == BATCH:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -84,9 +85,6 @@ class FastqSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FastqReader(dict(self.options))
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return FastqStream(dict(self.options))
-
 
 def _flags(options: dict[str, str]) -> dict[str, bool]:
     low = {k.lower(): v for k, v in options.items()}
@@ -105,51 +103,39 @@ class FastqReader(DataSourceReader):
             yield from batches(os.path.basename(partition.path), records(f, **self.flags))
 
 
-class FastqStream(DataSourceStreamReader):
-    """New files of a folder, one partition each, in the order of their arrival.
-
-    The offset is the latest time of change and the names that had it, so a file counts
-    as new by when it came and not by its name. Files must come whole, by a rename.
-    """
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(FastqSource)
 
-    def __init__(self, options: dict[str, str]):
-        self.path, self.flags = options["path"], _flags(options)
 
-    def arrivals(self) -> list[tuple[int, str]]:
-        return sorted((os.stat(f).st_mtime_ns, f) for f in files(self.path))
+def parsed(files: DataFrame, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:
+    """The records of files (path, content)."""
 
-    def initialOffset(self) -> dict:
-        return {"time": -1, "names": []}
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for p, content in zip(part.column("path"), part.column("content"), strict=True):
+                path, content = p.as_py(), content.as_py()
+                raw = gzip.decompress(content) if path.endswith(".gz") else content
+                yield from batches(path.rsplit("/", 1)[-1], records(io.StringIO(raw.decode("latin-1")), keep_empty, token_ids))
 
-    def latestOffset(self) -> dict:
-        found = self.arrivals()
-        last = found[-1][0] if found else -1
-        return {"time": last, "names": [f for t, f in found if t == last]}
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
-    def partitions(self, start: dict, end: dict) -> list[FilePartition]:
-        after = lambda t, f: t > start["time"] or t == start["time"] and f not in start["names"]
-        until = lambda t, f: t < end["time"] or t == end["time"] and f in end["names"]
-        return [FilePartition(f) for t, f in self.arrivals() if after(t, f) and until(t, f)]
-
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        with opened(partition.path) as f:
-            yield from batches(os.path.basename(partition.path), records(f, **self.flags))
-
-    def commit(self, end: dict) -> None:
-        """Files stay where they are."""
 
+def read_binary(spark: SparkSession, path: str, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:
+    """The same rows through Spark's binaryFile reader: any file system that Spark reads, one file a row in memory."""
+    return parsed(spark.read.format("binaryFile").load(path), keep_empty, token_ids)
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FastqSource)
 
+def arrivals(spark: SparkSession, folder: str, files_a_batch: int) -> DataFrame:
+    """The files of a folder as a stream of (path, modificationTime, length, content), each exactly once.
 
-def read_binary(spark: SparkSession, path: str, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:
-    """The same rows through Spark's binaryFile reader: any file system that Spark reads, one file a row in memory."""
+    A query's checkpoint holds the log of files seen, which Spark compacts: a file is new
+    if it isn't in the log, whatever its name or time, so one that is renamed in late
+    with an old time is read; a batch that is run again has the same files.
+    """
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return source.option("maxFilesPerTrigger", files_a_batch).option("maxFileAge", "36500d").option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}").load(folder)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for p, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                raw = gzip.decompress(content) if p.endswith(".gz") else content
-                yield from batches(p.rsplit("/", 1)[-1], records(io.StringIO(raw.decode("latin-1")), keep_empty, token_ids))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+def stream(spark: SparkSession, folder: str, files_a_batch: int = 1000, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:
+    """Streaming records of the files that arrive in a folder; a file must come whole, by a rename, and is one row in memory."""
+    return parsed(arrivals(spark, folder, files_a_batch), keep_empty, token_ids)

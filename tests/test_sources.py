@@ -1,7 +1,10 @@
 """Files in and out: FASTQ, FASTA, GenBank, streaming, and operators that queries don't reach."""
 
 import gzip
+import io
 import os
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +16,9 @@ from guidelens.operators.alleles import kept
 from guidelens.operators.assign import assigned
 from guidelens.plans.analysis import paired_reads, run_analysis
 from guidelens.queries.fixtures import GENE_A, GENE_B, GUIDE_A, REF_A, REF_B, TWO_GENES
-from guidelens.sources import fastq, sequences
+from guidelens.sources import fastq, sequences, splits
 from guidelens.streaming import alleles as stream
+from guidelens.streaming.versions import Versions
 
 FASTQ = "@r1 x\nACGT\n+\nIIII\n\n@r2\nGGCC\n+\n@III\nnoise\n@empty\n\n+\n\n@r3\nTT\n+\n"
 
@@ -92,8 +96,129 @@ def test_streamed_counts_equal_one_pass(spark, tmp_path):
         (folder / f"f{k}.fastq").write_text("".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(reads)))
     q = stream.started(spark, str(folder), TWO_GENES, str(tmp_path / "counts"), str(tmp_path / "ckpt"))
     assert q.awaitTermination(120)
-    got = stream.result(spark.read.parquet(str(tmp_path / "counts")), TWO_GENES).orderBy("gene_ix", "group_rank").collect()
+    versions = Versions(spark, str(tmp_path / "counts"), str(tmp_path / "ckpt"))
+    got = stream.result(versions.latest(), TWO_GENES).orderBy("gene_ix", "group_rank").collect()
     assert [(r.gene_ix, r.read_count, r.net_indel) for r in got] == [(0, 6, 0), (0, 3, -4), (1, 3, 0)]
+    # a file that is renamed in late, with an old time, is read, and once; no file is read again
+    late = tmp_path / "late"
+    late.write_text("@r\n" + REF_B + "\n+\n" + "I" * len(REF_B) + "\n")
+    os.utime(late, (1000, 1000))
+    late.rename(folder / "a.fastq")
+    for _ in range(2):
+        assert stream.started(spark, str(folder), TWO_GENES, str(tmp_path / "counts"), str(tmp_path / "ckpt"), 1).awaitTermination(120)
+        got = stream.result(versions.latest(), TWO_GENES).orderBy("gene_ix", "group_rank").collect()
+        assert [(r.gene_ix, r.read_count) for r in got] == [(0, 6), (0, 3), (1, 4)]
+    assert len(versions.numbers()) == 2
+
+
+def test_streamed_records(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text(FASTQ)
+    with gzip.open(tmp_path / "b.fq.gz", "wt") as f:
+        f.write(FASTQ)
+    (tmp_path / "c.txt").write_text(FASTQ)
+    q = fastq.stream(spark, str(tmp_path)).writeStream.format("memory").queryName("streamed_records").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted((r.file, r.read_index, r.seq) for r in spark.table("streamed_records").collect()) == [(f, i, s) for f in ("a.fastq", "b.fq.gz") for i, s in enumerate(("ACGT", "GGCC"))]
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["rows", "draft", "renamed", "manifests pruned"])
+def test_versions_survive_a_crash(spark, tmp_path, step, monkeypatch):
+    """A batch that fails at any step leaves a readable state, and counts once when it is run again."""
+    more = lambda k: spark.createDataFrame([(0, 0, 0, "A", 0, 0, 10 ** k, k)], "gene_ix int, target_ix int, window int, read_window string, left_x int, right_x int, n long, first long")
+    total = lambda v: v.latest().agg(F.sum("n")).first()[0]
+    v = Versions(spark, str(tmp_path / "t"), "q")
+    assert v.latest() is None
+    for k in range(3):
+        assert v.commit(k, lambda state, k=k: stream.added(state, more(k)))
+    assert total(v) == 111 and v.numbers() == [1, 2]
+
+    def fails(*_):
+        raise Crash
+
+    broken = Versions(spark, str(tmp_path / "t"), "q")
+    if step == "rows":
+        monkeypatch.setattr(broken, "publish", fails)
+    elif step == "draft":
+        files = broken.files
+        broken.files = type("F", (), {"__getattr__": lambda _, n: fails if n == "rename" else getattr(files, n)})()
+    elif step == "renamed":
+        monkeypatch.setattr(broken, "prune", fails)
+    else:
+
+        def prune():
+            broken.files.delete(broken.path(f"{broken.folder}/manifests/{broken.numbers()[0]:012d}.json"), False)
+            fails()
+
+        monkeypatch.setattr(broken, "prune", prune)
+    with pytest.raises(Crash):
+        broken.commit(3, lambda state: stream.added(state, more(3)))
+    assert total(v) == (1111 if step in ("renamed", "manifests pruned") else 111)
+    for _ in range(2):
+        Versions(spark, str(tmp_path / "t"), "q").commit(3, lambda state: stream.added(state, more(3)))
+        assert total(v) == 1111
+    assert v.commit(4, lambda state: stream.added(state, more(4))) and total(v) == 11111
+    with pytest.raises(ValueError, match="written by"):
+        Versions(spark, str(tmp_path / "t"), "other").commit(9, lambda state: state)
+
+
+def texts_for_splits():
+    rng = random.Random(4)
+    odd = ["", "@", "@@", "+", "noise", " @r", "ACGT", "@IIII", "acgt", "II II"]
+    long = "".join(f"@r{i}\n{'ACGT' * rng.randrange(0, 9)}\n+\n{rng.choice('@I+')}{'I' * rng.randrange(0, 30)}\n" for i in range(400))
+    yield long
+    yield long[:-3]
+    yield "\n".join(rng.choice(odd) for _ in range(3000))
+    yield "\r\n".join(rng.choice(odd) for _ in range(500)) + "\r\n"
+    yield "@r\n" + "A" * 5000 + "\n+\n" + "@" * 5000 + "\n@s\nA\n+\nI"
+    yield ""
+    yield "\n\n\n@a\nA\n+\nI\n@b\nA"
+
+
+def test_splits_give_the_rows_of_one_task(spark, tmp_path):
+    texts = list(texts_for_splits())
+    for k, text in enumerate(texts):
+        (tmp_path / f"f {k}.fastq").write_text(text, newline="")
+    sizes = {"spark.sql.files.maxPartitionBytes": "160", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    for keep_empty, token_ids in ((False, False), (True, True)):
+        want = sorted((f"f {k}.fastq", i, *r) for k, text in enumerate(texts) for i, r in enumerate(fastq.records(io.StringIO(text, newline=""), keep_empty, token_ids)))
+        assert len(want) > 500
+        try:
+            for k, v in sizes.items():
+                spark.conf.set(k, v)
+            got = splits.read(spark, [str(tmp_path)], keep_empty, token_ids)
+            assert got.rdd.getNumPartitions() > 100
+            assert sorted(map(tuple, got.collect())) == want
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+
+def test_splits_of_block_gzip(spark, tmp_path):
+    """Members cut anywhere in lines; ranges smaller than members, and much larger."""
+    def member(data):
+        packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packed.compress(data) + packed.flush()
+        return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(body) + 25).to_bytes(2, "little") + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+
+    texts = [t.replace("\r\n", "\n") for t in texts_for_splits()]
+    rng, want, paths = random.Random(5), [], []
+    for k, text in enumerate(texts):
+        data, at, parts = text.encode(), 0, []
+        while at < len(data):
+            size = rng.choice([1, 40, 300, 4000])
+            parts.append(member(data[at : at + size]))
+            at += size
+        (tmp_path / f"{k}.fastq.gz").write_bytes(b"".join(parts) + member(b""))
+        paths.append(str(tmp_path / f"{k}.fastq.gz"))
+        assert gzip.decompress((tmp_path / f"{k}.fastq.gz").read_bytes()) == data
+        want += [(f"{k}.fastq.gz", i, *r) for i, r in enumerate(fastq.records(io.StringIO(text)))]
+    for split in (500, 5000, 1 << 20):
+        assert sorted(map(tuple, splits.read(spark, paths, block_gzip=True, split=split).collect())) == sorted(want)
 
 
 def test_single_and_paired_runs_agree(spark):
@@ -188,22 +313,3 @@ def test_suggestion(spark):
     assert summary.suggestion(assigned(reads, TWO_GENES)).first().window == 1
 
 
-def test_stream_takes_files_by_arrival(tmp_path):
-    """A file that comes later counts as new whatever its name."""
-    from guidelens.sources.fastq import FastqStream
-
-    def put(name, when):
-        (tmp_path / name).write_text("@r\nACGT\n+\nIIII\n")
-        os.utime(tmp_path / name, ns=(when, when))
-
-    stream = FastqStream({"path": str(tmp_path)})
-    empty = stream.latestOffset()
-    assert stream.partitions(stream.initialOffset(), empty) == []
-    put("m.fastq", 1000)
-    one = stream.latestOffset()
-    put("b.fastq", 1000)
-    put("a.fastq", 2000)
-    two = stream.latestOffset()
-    names = lambda a, b: sorted(os.path.basename(p.path) for p in stream.partitions(a, b))
-    assert names(empty, one) == ["m.fastq"] and names(one, two) == ["a.fastq", "b.fastq"] and names(two, two) == []
-    assert names(stream.initialOffset(), two) == ["a.fastq", "b.fastq", "m.fastq"]
