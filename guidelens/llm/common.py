@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SLICE_ROWS = 512  # rows of an Arrow batch that Python objects are made of at once
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -53,7 +56,16 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH)) <= SLICE_ROWS:
         conf.set(BATCH, str(SLICE_ROWS))
-    return df.mapInArrow(run, schema)
+    if not any(set(c) & {".", "`"} for c in df.columns):
+        return df.mapInArrow(run, schema)
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]  # mapInArrow can't name such columns
+    made = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, made.names)
+
+    return df.toDF(*plain).mapInArrow(renamed, made).toDF(*schema.names)
 
 
 def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,3 +112,19 @@ def free_name(name: str, *frames: DataFrame) -> str:
     while name in taken:
         name = "_" + name
     return name
+
+
+def numbered(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """df with number (from 0, within its group) and members (of the group); a written table in that order, and a join of counts."""
+    place, part = F.monotonically_increasing_id(), F.shiftright("_place", 33)
+    laid = written(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_place", place), name)
+    counts = laid.groupBy(*group, part.alias("_part")).agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    before = F.sum("_rows").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_rows")
+    starts = counts.select(F.col("_part"), (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(W.partitionBy(*group)).alias("members"), *(F.col(c).alias(f"of_{c}") for c in group))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group), part == F.col("_part"))
+    return laid.join(starts, same).withColumn("number", F.col("_place") + F.col("_shift")).drop("_part", "_shift", "_place", *(f"of_{c}" for c in group))
+
+
+def every_column(df: DataFrame) -> list[F.Column]:
+    """The columns of df by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

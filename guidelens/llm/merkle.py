@@ -32,10 +32,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_crc, written
+from .common import id_crc, numbered, written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN, SHIFT = 16, 4  # SHIFT: bits of FAN
@@ -63,17 +62,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select("source", "doc_id", digest(*known, field(text)).alias("leaf"), F.when(odd, digest(*known, field(F.translate(text, UPPER, LOWER)))).alias("tampered"))
 
 
-def numbered(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
-    """df with number (from 0, within its group) and members (of the group); a written table in that order, and a join of counts."""
-    place, part = F.monotonically_increasing_id(), F.shiftright("place", 33)
-    laid = written(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("place", place), name)
-    counts = laid.groupBy(*group, part.alias("part")).agg(F.count("*").alias("rows"), F.min("place").alias("first"))
-    before = F.sum("rows").over(W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
-    starts = counts.select(F.col("part"), (before - F.col("first")).alias("shift"), F.sum("rows").over(W.partitionBy(*group)).alias("members"), *(F.col(c).alias(f"of_{c}") for c in group))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group), part == F.col("part"))
-    return laid.join(starts, same).withColumn("number", F.col("place") + F.col("shift")).drop("part", "shift", "place", *(f"of_{c}" for c in group))
-
-
 def at(number: Column, levels) -> Column:
     """The number of the node so many levels above a leaf (or above a node)."""
     return F.call_function("shiftright", number, (F.lit(levels) if isinstance(levels, int) else levels).cast("int") * SHIFT)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, written
+from .common import dropped, every_column, free_name, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SALTS = 64
@@ -171,4 +171,4 @@ def mixture(docs: DataFrame) -> DataFrame:
     taken = mixed(docs).where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).distinct()
     words_of = free_name("words", docs)
     out = docs.withColumn(words_of, words(F.col("text"))).join(taken, same("doc_id", doc_id) & same("source", source) & (F.col(words_of) == F.col(size)))
-    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*every_column(docs))

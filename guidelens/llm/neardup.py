@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, dropped, free_name, map_slices, written
+from .common import checked, dropped, every_column, free_name, map_slices, written
 
 COORDINATES, TREES, DEPTH = 128, 12, 6
 SLICE, LONG, OUTSIDE = 1024, 2048, 2048
@@ -511,8 +511,8 @@ def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     # most documents aren't in this table: they are the only ones of their id, and stay
     special = written(by_id.where(~F.col(stays) | (F.col(rows) > 1)), "not-alone")
     out = docs.join(checked(special, FEW), F.col("doc_id") == F.col(key), "left")
-    single = out.where(F.col(key).isNull()).select(*docs.columns)
+    single = out.where(F.col(key).isNull()).select(*every_column(docs))
     if special.where(F.col(stays)).isEmpty():
         return single
-    least = out.where(F.col(stays)).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(one))
+    least = out.where(F.col(stays)).groupBy(key).agg(F.min_by(F.struct(*every_column(docs)), F.coalesce("text", F.lit(""))).alias(one))
     return single.union(least.select(f"{one}.*"))

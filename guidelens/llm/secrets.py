@@ -1,8 +1,11 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over words.
 
-Words (runs of anything but ASCII white space) are tagged B, I or O: a secret's
+Runs of anything but ASCII white space fall into parts at quotes, commas, colons,
+equals signs, ampersands, semicolons, bars, angles and brackets of all kinds, which go
+with the part before them (at a run's start, with the one after): compact JSON, URLs and
+headers are many parts. These, below called words, are tagged B, I or O: a secret's
 first word, its further words, or outside. A word's scores come from its own shape
-(classes of letters, length, digits, entropy, prefixes), the words before and
+(classes of letters, length, digits, entropy, prefixes), all over the whole word, the words before and
 after it, and the text's kind (key=value lines, code marks). Viterbi decoding is
 exact: a word whose O leads by more than all transitions can turn is O on the best
 path, so the chain falls apart into short stretches that are decoded one by one.
@@ -42,7 +45,9 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _HEX_BYTES = bytes(104 if b in b"0123456789abcdef" else 32 for b in range(256))
 _HINT = re.compile("key|token|secret|pass|bearer|auth|credential|private|begin", re.I | re.A)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKS = r""" "',:=&;|<>(){}\[\]""".strip()
+_WORD_BYTES = re.compile(rb"[%b]*[^%b\x20\x09-\x0D]+[%b]*|[%b]+" % ((_MARKS.encode(),) * 4))
+_WORD = re.compile(_WORD_BYTES.pattern.decode())
 B, I, O = 0, 1, 2  # noqa: E741
 BUCKETS = 1 << 14
 WORDS = 100_000  # word scores that a task remembers before it starts anew
@@ -75,10 +80,16 @@ def _entropy(word: str) -> float:
 def _shape(word: str) -> str:
     if word.isalpha() and (word.islower() or word.isupper()):
         return ("A" if word.isupper() else "a") + "+" * (len(word) > 1)
-    kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
+    kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1+", r"\1+", kinds)
 
 
+def _form(word: str) -> str:
+    """The shape where it is short; of a longer one how long it is and which kinds it has."""
+    shape = _shape(word)
+    return shape if len(shape) <= 12 else f"{len(shape).bit_length()}:{''.join(sorted(set(shape)))[:16]}"
+
+
 def _core(word: str) -> str:
     return word.strip("\"'`,;:.!?()[]{}<>|*#&%$=")
 
@@ -93,11 +104,11 @@ def word_features(word: str) -> tuple[str, ...]:
     core = _core(word)
     letters, digits = sum(map(str.isalpha, core)), sum(map(str.isdigit, core))
     mixed = core.isascii() and letters >= 3 and digits >= 3
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core[:64], core[1:64], strict=False))
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
     return (
-        "bias", f"len{min(len(core).bit_length(), 8)}", f"shape={_shape(core)[:12]}",
+        "bias", f"len{min(len(core).bit_length(), 8)}", f"shape={_form(core)}",
         f"mixed={mixed}:{len(core) >= 16}", f"digits={digits * 4 // max(1, len(core))}",
-        f"entropy={int(_entropy(core[:256]) * 2) if mixed else 0}", f"turns={min(turns, 8)}:{mixed}",
+        f"entropy={int(_entropy(core) * 2) if mixed else 0}", f"turns={min(turns, 8)}:{mixed}",
         f"case={core.isupper()}{core.islower()}", f"at={'@' in core}", f"scheme={'://' in core}",
         f"prefix={core[:4] if mixed and not core[:1].isdigit() else ''}", f"marks={sum(c in '+/_-=' for c in core) > 0}:{mixed}", f"dashes={core.startswith('-----')}",
     )
@@ -105,7 +116,7 @@ def word_features(word: str) -> tuple[str, ...]:
 
 def neighbour_features(word: str) -> tuple[str, ...]:
     """What a word tells about the words beside it."""
-    found = _HINT.search(word) if len(word) < 40 else None
+    found = _HINT.search(word)
     hint = found[0].lower() if found else "none"
     return (f"hint={hint}", f"ends={word[-1:] if word[-1:] in ':=\"' else ''}")
 
@@ -147,7 +158,7 @@ class Field:
         """Row of the word in the tables own, before (as the word before) and after."""
         core, near = _core(word), neighbour_features(word)
         # words of letters alone have the same features when these agree, so they share a row
-        alike = (len(core).bit_length(), core.isupper(), core.islower(), _shape(core), core.isascii(), near) if core.isalpha() else word
+        alike = (len(core).bit_length(), core.isupper(), core.islower(), _form(core), core.isascii(), near) if core.isalpha() else word
         at = self.rows.get(alike)
         if at is None:
             at = self.rows[alike] = len(self.rows)
@@ -238,11 +249,15 @@ def generated(rng: np.random.Generator) -> tuple[list[str], list[int]]:
                 t = [B] + [I] * (len(s) - 1)
             else:
                 t = [O] * (len(s) - 1) + [B]
-            words += s
-            tags += t
+            if t[-1] == B and rng.random() < 0.3:  # as a value of compact JSON, or of a query
+                s, t = [[f'{{"{plain()}":"{plain()}","{["key", "token", "auth"][int(rng.integers(0, 3))]}":"{s[-1].strip(chr(34))}","{plain()}":{rng.integers(99)}}}'], [f"{plain()}={rng.integers(99)}&auth={s[-1].strip(chr(34))}"]][int(rng.integers(0, 2))], [B]
         else:
-            words.append(manner(filler()))
-            tags.append(O)
+            s, t = [manner(filler()) if rng.random() < 0.95 else f'{{"{plain()}":"{filler()}","{plain()}":{rng.integers(9999)}}}'], [O]
+        for word, tag in zip(s, t, strict=True):
+            found = _WORD.findall(word)
+            longest = max(range(len(found)), key=lambda i: len(_core(found[i])))
+            words += found
+            tags += [tag if i == longest or tag == I else O for i in range(len(found))]
     return words, tags
 
 
@@ -294,20 +309,21 @@ def spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], l
         return [], []
     raw = text.encode("utf-8", "surrogatepass")
     base = base_spans(text, raw)
-    words = raw.split()
+    words = _WORD_BYTES.findall(raw)
     tags = field.tags(field.emissions(words, raw)) if words else {}
     if not tags:
         return base, base
     places = [m.span() for m in _WORD.finditer(text)]
     runs: list[tuple[str, int, int]] = []
     for i in sorted(tags):
+        a, b = places[i]
+        core = _core(text[a:b])
+        at = a + text[a:b].find(core) if core else a
+        end = at + len(core) if core else b
         if tags[i] == I and i - 1 in tags and runs:
-            runs[-1] = ("crf", runs[-1][1], places[i][1])
+            runs[-1] = ("crf", runs[-1][1], end)
         else:
-            a, b = places[i]
-            core = _core(text[a:b])
-            at = a + text[a:b].find(core) if core else a
-            runs.append(("crf", at, at + len(core) if core else b))
+            runs.append(("crf", at, end))
     starts = [(s, e) for _, s, e in base]
     extra = [r for r in runs if not any(s < r[2] and r[1] < e for s, e in starts)]
     return base, sorted(base + extra, key=lambda s: (s[1], ORDER[s[0]], s[2]))
