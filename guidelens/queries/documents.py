@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sequence import AMBIGUITY
-from ..operators import export, homoeolog, workspace
+from ..functions.sequence import AMBIGUITY, AMINO_ACIDS
+from ..operators import columns, export, genomes, homoeolog, workspace
 from .fixtures import DNA, GUIDE_A, GUIDE_B, REF_A, REF_B, dna, table
 from .registry import query
 
@@ -46,11 +46,37 @@ def motif_search(spark, sf_dir):
     return workspace.motif_search(dna(spark, sf_dir), _MOTIF)
 
 
-@query()
+_ORFS = DNA + f""", c AS (SELECT doc_id, seq, unnest(range(0, length(seq) - 2)) AS i FROM dna),
+ m AS (SELECT doc_id, i, length(seq) AS n, substring(seq, CAST(i AS INT) + 1, 3) AS codon, seq FROM c),
+ k AS (SELECT doc_id, seq, n, 1 AS strand, i AS pos, codon = 'ATG' AS opens FROM m WHERE codon IN ('ATG', 'TAA', 'TAG', 'TGA') UNION ALL SELECT doc_id, seq, n, -1, n - 3 - i AS pos, codon = 'CAT' FROM m WHERE codon IN ('CAT', 'TTA', 'CTA', 'TCA')),
+ g AS (SELECT *, coalesce(sum(CASE WHEN opens THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, strand, pos % 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM k),
+ o AS (SELECT doc_id, any_value(seq) AS seq, any_value(n) AS n, strand, pos % 3 AS frame, min(pos) FILTER (opens) AS a, max(pos) FILTER (NOT opens) + 3 AS b FROM g GROUP BY doc_id, strand, pos % 3, part),
+ t AS (SELECT *, substring(CASE WHEN strand > 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS dna FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND b - a >= 90)
+ SELECT doc_id, CAST(CASE WHEN strand > 0 THEN a ELSE n - b END AS INT) AS start, CAST(CASE WHEN strand > 0 THEN b ELSE n - a END AS INT) AS "end", CAST(strand * (frame + 1) AS INT) AS frame, CAST(strand AS INT) AS strand,
+   array_to_string(list_transform(range(0, length(dna) // 3), lambda j: substring('{AMINO_ACIDS}', CAST(16 * (strpos('TCAG', dna[3 * j + 1]) - 1) + 4 * (strpos('TCAG', dna[3 * j + 2]) - 1) + strpos('TCAG', dna[3 * j + 3]) AS INT), 1)), '') AS protein FROM t"""
+
+
+@query(_ORFS)
 def find_orfs(spark, sf_dir):
     return workspace.find_orfs(dna(spark, sf_dir))
 
 
+@query(_ORFS)
+def find_orfs_in_chunks(spark, sf_dir):
+    """The same over sequences cut into chunks, frames carried from one to the next."""
+    return genomes.chunked_orfs(dna(spark, sf_dir), size=1000)
+
+
+@query(_sites_sql())
+def restriction_sites_in_chunks(spark, sf_dir):
+    return genomes.chunked_sites(dna(spark, sf_dir), circular=True, size=5000)
+
+
+@query(_motif_sql())
+def motif_search_in_chunks(spark, sf_dir):
+    return genomes.chunked_motifs(dna(spark, sf_dir), _MOTIF, size=5000)
+
+
 @query(f"{DNA} SELECT doc_id, concat('>d', CAST(doc_id AS VARCHAR), chr(10), rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)), chr(10)) AS record FROM dna")
 def fasta_wrap80(spark, sf_dir):
     d = dna(spark, sf_dir)
@@ -90,7 +116,14 @@ def feature_overlap(spark, sf_dir):
     return workspace.features_in_rows(features(spark, sf_dir), 60)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE f AS ({_FEATURES}), g AS (SELECT unnest(range(0, 12)) AS row), c AS (SELECT doc_id, feature_id, row, greatest(start, row * 60) AS clip_start, least("end", (row + 1) * 60) AS clip_end
+    FROM f JOIN g ON f.start < (row + 1) * 60 AND f."end" > row * 60), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, row ORDER BY clip_start, feature_id) AS nth FROM c),
+    r AS (SELECT doc_id, feature_id, row, clip_start, clip_end, nth, 0::BIGINT AS level, [clip_end] AS free FROM o WHERE nth = 1 UNION ALL
+      SELECT doc_id, feature_id, row, clip_start, clip_end, nth, coalesce(line, len(free) + 1) - 1, CASE WHEN line IS NULL THEN list_append(free, clip_end) ELSE list_transform(free, lambda e, i: CASE WHEN i = line THEN clip_end ELSE e END) END
+      FROM (SELECT o.*, r.free, nullif(list_position(list_transform(r.free, lambda e: e <= o.clip_start), true), 0) AS line FROM r JOIN o ON r.doc_id = o.doc_id AND r.row = o.row AND o.nth = r.nth + 1))
+    SELECT doc_id, feature_id, row, clip_start, clip_end, CAST(level AS INT) AS level FROM r"""
+)
 def feature_levels(spark, sf_dir):
     return workspace.stacked(workspace.features_in_rows(features(spark, sf_dir), 60))
 
@@ -183,19 +216,6 @@ def editing_spread(spark, sf_dir):
     return homoeolog.editing_spread(_rates(spark, sf_dir), "grp")
 
 
-@query(
-    f"""WITH r AS (SELECT * FROM ({_RATES}) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY copy) <= 2), p AS (SELECT grp, list(rate / 100 ORDER BY copy) AS e, max(rate) AS hi, min(rate) AS lo FROM r GROUP BY grp HAVING count(*) = 2)
-    SELECT grp, round(e[1] * e[2] * 100, 9) AS p_both, round((1 - e[1]) * (1 - e[2]) * 100, 9) AS p_none, round((1 - (1 - e[1]) * (1 - e[2])) * 100, 9) AS p_at_least_one, round((e[1] * (1 - e[2]) + e[2] * (1 - e[1])) * 100, 9) AS p_single,
-    round(CASE WHEN hi > 0 THEN lo / hi * 100 ELSE 100 END, 9) AS parity, round(CASE WHEN lo > 0 THEN hi / lo WHEN hi > 0 THEN 999 ELSE 1 END, 9) AS bias FROM p"""
-)
-def coedit_independence(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    two = _rates(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("grp").orderBy("copy"))).withColumn("all", F.count(F.lit(1)).over(W.partitionBy("grp"))).where("n <= 2 and all >= 2")
-    out = homoeolog.coedit_independence(two, "grp", "copy")
-    return out.select("grp", *(F.round(c, 9).alias(c) for c in out.columns if c != "grp"))
-
-
 @query(
     f"""WITH r AS ({_RATES}), p AS (SELECT grp, list(rate / 100 ORDER BY copy) AS e, max(rate) AS hi, min(rate) AS lo FROM r GROUP BY grp),
     m AS (SELECT *, list_product(e) AS every, list_product(list_transform(e, lambda x: 1 - x)) AS none FROM p)
@@ -203,7 +223,7 @@ def coedit_independence(spark, sf_dir):
     round(CASE WHEN len(e) = 2 THEN e[1] * (1 - e[2]) + e[2] * (1 - e[1]) ELSE greatest(0, 1 - none - every) END * 100, 9) AS p_single,
     round(CASE WHEN hi > 0 THEN lo / hi * 100 ELSE 100 END, 9) AS parity, round(CASE WHEN lo > 0 THEN hi / lo WHEN hi > 0 THEN 999 ELSE 1 END, 9) AS bias FROM m"""
 )
-def coedit_independence_all_copies(spark, sf_dir):
+def coedit_independence(spark, sf_dir):
     out = homoeolog.coedit_independence(_rates(spark, sf_dir), "grp", "copy")
     return out.select("grp", *(F.round(c, 9).alias(c) for c in out.columns if c != "grp"))
 
@@ -260,3 +280,34 @@ def homoeolog_markers(spark, sf_dir):
     none = F.lit(None).cast("int")
     two = nations.where(n % 4 == 0).select(n.alias("gene_ix"), F.lit("t2").alias("target_id"), F.lit(-1).alias("cut"), *(none.alias(c) for c in ("guide_from", "guide_to", "window_from", "window_to")), F.lit("").alias("window_seq"), F.lit("no guide").alias("error"))
     return homoeolog.markers(refs, one.unionByName(two))
+
+
+def _copies_of_regions(spark, sf_dir):
+    """A copy a nation, of a gene a region: bases missing at one place, others put in at another, one changed."""
+    n, ref = F.col("n_nationkey"), F.lit(REF_A)
+    seq = F.concat(F.substring(ref, F.lit(1), F.lit(30)), F.substring(F.lit("TTTTGGGG"), F.lit(1), (n % 5).cast("int")), F.substring(ref, (31 + n % 3).cast("int"), (30 - n % 3).cast("int")), F.when(n % 2 == 1, "N").otherwise(F.substring(ref, F.lit(61), F.lit(1))), F.substring(ref, F.lit(62), F.lit(39)))
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("G"), F.col("n_regionkey").cast("string")).alias("homoeolog_group"), n.alias("gene_ix"), seq.alias("sequence"))
+
+
+_REGIONS = f"""WITH r AS (SELECT concat('G', CAST(n_regionkey AS VARCHAR)) AS homoeolog_group, n_nationkey AS gene_ix, concat(substring('{REF_A}', 1, 30), substring('TTTTGGGG', 1, CAST(n_nationkey % 5 AS INT)),
+  substring('{REF_A}', CAST(31 + n_nationkey % 3 AS INT), CAST(30 - n_nationkey % 3 AS INT)), CASE WHEN n_nationkey % 2 = 1 THEN 'N' ELSE substring('{REF_A}', 61, 1) END, substring('{REF_A}', 62, 39)) AS seq FROM nation),
+ a AS (SELECT *, first_value(gene_ix) OVER (PARTITION BY homoeolog_group ORDER BY length(seq) DESC, gene_ix) AS anchor_ix FROM r)"""
+
+
+@query(f"{_REGIONS} SELECT homoeolog_group, gene_ix, gene_ix = anchor_ix AS is_anchor, true AS aligned, seq AS rebuilt, seq AS from_tokens, true AS as_wide FROM a")
+def homoeolog_columns(spark, sf_dir):
+    """Copies on shared columns: without its gaps each row is the copy again, and all rows of a group are equally wide."""
+    s = columns.star_alignment(_copies_of_regions(spark, sf_dir))
+    widest = s.groupBy(F.col("homoeolog_group").alias("g")).agg(F.max(F.length("laid")).alias("width"))
+    kept = F.array_join(F.transform(F.filter("tokens", lambda t: t["type"] != "delete"), lambda t: t["val"]), "")
+    return s.join(widest, F.col("homoeolog_group") == F.col("g")).select("homoeolog_group", "gene_ix", "is_anchor", "aligned", F.replace("laid", F.lit("-"), F.lit("")).alias("rebuilt"), kept.alias("from_tokens"), (F.length("laid") == F.col("width")).alias("as_wide"))
+
+
+@query(f"""{_REGIONS}, d AS (SELECT s.homoeolog_group, s.gene_ix, length(t.seq) - length(s.seq) AS more FROM a s JOIN a t ON s.homoeolog_group = t.homoeolog_group AND t.gene_ix = s.anchor_ix WHERE s.gene_ix <> s.anchor_ix)
+ SELECT homoeolog_group, gene_ix, CAST(more AS BIGINT) AS more FROM d""")
+def homoeolog_differences(spark, sf_dir):
+    """Where copies differ from their anchor: the marks add up to the difference in length."""
+    copies = _copies_of_regions(spark, sf_dir)
+    marks = columns.lane_differences(copies).groupBy(F.col("homoeolog_group").alias("g"), F.col("gene_ix").alias("i")).agg(F.sum((F.col("anchor_to") - F.col("anchor_from")) - (F.col("ref_to") - F.col("ref_from"))).alias("more"))
+    lanes = columns.star_alignment(copies).where("not is_anchor").select("homoeolog_group", "gene_ix")
+    return lanes.join(marks, (F.col("homoeolog_group") == F.col("g")) & (F.col("gene_ix") == F.col("i")), "left").select("homoeolog_group", "gene_ix", F.coalesce("more", F.lit(0)).alias("more"))

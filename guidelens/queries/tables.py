@@ -8,6 +8,7 @@ from ..functions import names
 from ..functions import sequence as S
 from ..operators import export, homoeolog, merge, references, summary
 from ..operators.alleles import ranked
+from ..operators.assign import assigned
 from .fixtures import READS, TWO_TARGETS, reads, table
 from .registry import query
 from .results import _EXCLUDED, _MERGED, ALLELES, PCT, _flagged, allele_table, calls
@@ -108,9 +109,12 @@ def aligned_share(spark, sf_dir):
     return summary.first_usable(calls(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 't1'), (0, 1, 't2'), (1, 0, 't1')) t(gene_ix, target_ix, target_id)")
+@query(f"{READS}, t(gene_ix, target_ix, target_id) AS (VALUES (0, 0, 't1'), (0, 1, 't2'), (1, 0, 't1')) SELECT gene_ix, target_ix, target_id, count(*) AS reads FROM t JOIN reads ON (true_gene = 'A') = (gene_ix = 0) WHERE q >= 20 GROUP BY ALL")
 def configured_targets(spark, sf_dir):
-    return summary.target_table(reads(spark, sf_dir), TWO_TARGETS)
+    """Every configured target with the reads of its gene."""
+    r = reads(spark, sf_dir)
+    counted = assigned(r, TWO_TARGETS).where("outcome = 'assigned'").groupBy("gene_ix").agg(F.count(F.lit(1)).alias("reads"))
+    return summary.target_table(r, TWO_TARGETS).join(counted, "gene_ix").select("gene_ix", "target_ix", "target_id", "reads")
 
 
 @query(

@@ -125,7 +125,10 @@ def read_binary(spark: SparkSession, path: str, keep_empty: bool = False, token_
     return parsed(spark.read.format("binaryFile").load(path), keep_empty, token_ids)
 
 
-def arrivals(spark: SparkSession, folder: str, files_a_batch: int) -> DataFrame:
+NAMES = "*.{fastq,fq,fastq.gz,fq.gz}"
+
+
+def arrivals(spark: SparkSession, folder: str, files_a_batch: int, names: str = NAMES) -> DataFrame:
     """The files of a folder as a stream of (path, modificationTime, length, content), each exactly once.
 
     A query's checkpoint holds the log of files seen, which Spark compacts: a file is new
@@ -133,7 +136,7 @@ def arrivals(spark: SparkSession, folder: str, files_a_batch: int) -> DataFrame:
     with an old time is read; a batch that is run again has the same files.
     """
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    return source.option("maxFilesPerTrigger", files_a_batch).option("maxFileAge", "36500d").option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}").load(folder)
+    return source.option("maxFilesPerTrigger", files_a_batch).option("maxFileAge", "36500d").option("pathGlobFilter", names).load(folder)
 
 
 def stream(spark: SparkSession, folder: str, files_a_batch: int = 1000, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:

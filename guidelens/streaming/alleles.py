@@ -27,7 +27,7 @@ def added(state: DataFrame | None, more: DataFrame) -> DataFrame:
     return both.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
-def started(spark: SparkSession, folder: str, config: AnalysisConfig, table: str, checkpoint: str, files_a_batch: int = 1000):
+def started(spark: SparkSession, folder: str, config: AnalysisConfig, table: str, checkpoint: str, files_a_batch: int = 1000, names: str = fastq.NAMES):
     """Count the FASTQ files of a folder until none is left, files_a_batch at a time.
 
     Each batch reads its files in as many tasks as they have blocks, and puts a version
@@ -44,7 +44,7 @@ def started(spark: SparkSession, folder: str, config: AnalysisConfig, table: str
         if not batch.isEmpty():
             versions.commit(number, merged)
 
-    files = fastq.arrivals(spark, folder, files_a_batch).select("path")
+    files = fastq.arrivals(spark, folder, files_a_batch, names).select("path")
     return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -56,12 +56,15 @@ def test_all_reads_against_one_read_at_a_time(spark):
         if outcome == "ambiguous" and ok:
             best = min(ok, key=lambda h: (-h["whole_score"], h["window"]))
             keys[r.file, best["gene_ix"], best["read_window"].upper()] += 1
-    got = QUERIES["read_usability_all_reads"](spark, SF).collect()
+    from guidelens.operators.alleles import target_hits
+    from guidelens.operators.assign import assigned
+
+    got = target_hits(assigned(reads(spark, SF), _ONE)).collect()
     assert {r.read_index: (r.reason, r.read_window) for r in got} == want and len(got) == len(rows)
-    assert {(r.file, r.reason): r.n for r in QUERIES["failure_reasons_all_reads"](spark, SF).collect()} == reasons
-    clusters = {(r.file, r.key, r.cluster, r.rescued) for r in QUERIES["rescue_clusters_all_reads"](spark, SF).collect()}
+    assert {(r.file, r.reason): r.n for r in QUERIES["failure_reasons"](spark, SF).collect()} == reasons
+    clusters = {(r.file, r.key, r.cluster, r.rescued) for r in QUERIES["rescue_clusters"](spark, SF).collect()}
     assert clusters == {(f, k, n, n >= TWINS.rescue_reads) for (f, _, k), n in keys.items()}
-    union = Counter({(r.gene, r.kind): r.n for r in QUERIES["ambiguous_union_all_reads"](spark, SF).collect()})
+    union = Counter({(r.gene, r.kind): r.n for r in QUERIES["ambiguous_union"](spark, SF).collect()})
     saved = Counter()
     for (_, g, _), n in keys.items():
         if n >= TWINS.rescue_reads:
