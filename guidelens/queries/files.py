@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig, Gene, Target
-from ..operators import columns, export
-from ..operators.assign import assigned
 from ..kernels.cutsite import windows_of
-from ..sources import fastq, splits
+from ..operators import columns, export, workbooks
+from ..operators.assign import assigned
+from ..plans.analysis import run_analysis
+from ..sources import fastq, splits, workbook
 from ..sources.shared import new_path
 from ..streaming import alleles as stream
 from ..streaming.versions import Versions
@@ -87,3 +88,41 @@ def viewer_pileup(spark, sf_dir):
     bases = lambda c: F.replace(c, F.lit("-"), F.lit(""))
     cells = F.array_join(F.transform("grid", lambda g: F.concat(F.when(g["type"] == "delete", F.lit("")).otherwise(g["base"]), g["insertion"])), "")
     return laid.join(widest, same).select("read_index", "aligned", "is_rc", F.concat("pre", cells, "post").alias("from_grid"), F.concat(F.trim("lead"), bases("laid"), "post").alias("from_columns"), (F.length("laid") + F.length("lead") == F.col("width")).alias("as_wide"))
+
+
+_WORKBOOK = "WITH r AS (SELECT concat('nation ', CAST(s_nationkey AS VARCHAR)) AS sheet, s_suppkey, s_name, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth FROM supplier)"
+
+
+def _supplier_sheets(spark, sf_dir):
+    """A reference workbook with a sheet a nation and a target a supplier, written and read again."""
+    k = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("ordinal"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("sheet"), F.col("s_suppkey").alias("position"), F.lit("h").alias("homoeolog_group"), F.col("s_name").alias("gene"), F.concat(F.lit("acgt"), k).alias("sequence"), F.concat(F.lit("t"), k).alias("target_id"), F.concat(F.lit("g"), k).alias("guide"))
+    path = new_path(spark, "workbook") + ".xlsx"
+    workbook.write(workbooks.reference_sheets(rows), path)
+    return workbook.read(spark, path)
+
+
+@query(f"{_WORKBOOK} SELECT sheet, nth + 1 AS ordinal, s_name AS gene, 'h' AS homoeolog_group, concat('ACGT', CAST(s_suppkey AS VARCHAR)) AS sequence, concat('t', CAST(s_suppkey AS VARCHAR)) AS target_id, concat('G', CAST(s_suppkey AS VARCHAR)) AS guide FROM r")
+def reference_workbook(spark, sf_dir):
+    return workbooks.reference_sheet_rows(_supplier_sheets(spark, sf_dir)).drop("file")
+
+
+@query(
+    f"""{READS}, f AS (SELECT file AS scope, count(*) AS raw, count(*) FILTER (q >= 20) AS usable, count(*) FILTER (q >= 20 AND true_gene = 'A') AS a, count(*) FILTER (q >= 20 AND true_gene = 'B') AS b FROM reads GROUP BY file)
+    SELECT scope, raw, usable, usable AS assigned, CAST(2 AS BIGINT) AS targets, a + b AS matched, true AS whole FROM f"""
+)
+def report_workbook(spark, sf_dir):
+    """A report of a run as a workbook, read back from its hidden sheet: each scope's read flow and targets."""
+    run = run_analysis(reads(spark, sf_dir), TWO_GENES)
+    flow = run.demux.select(F.col("file").alias("scope"), F.col("total").alias("raw"), F.col("usable").alias("phred_passed"), "usable", "assigned")
+    gene = F.when(F.col("gene_ix") == 0, "A").otherwise("B").alias("gene")
+    pct = [F.round(F.col(c) / F.greatest(F.col("aligned_reads"), F.lit(1)) * 100, 2).alias(f"{name}_pct") for c, name in (("out_of_frame", "out_of_frame"), ("in_frame", "in_frame"), ("unmodified", "no_indel"), ("substitution", "substitution"))]
+    targets = run.summary.select(F.col("file").alias("scope"), gene, F.lit("Normal").alias("source"), F.lit("t1").alias("target_id"), "total_reads", "matched_reads", "aligned_reads", *pct)
+    path = new_path(spark, "report") + ".xlsx"
+    workbook.write(workbooks.report_sheets({"Phred Threshold": 20.0, "Assignment Margin (%)": 2.0}, flow, targets), path)
+    cells = workbook.read(spark, path)
+    shape = "scope string, readFlow struct<raw:bigint,usable:bigint,assigned:bigint>, targets array<struct<gene:string,matched_reads:bigint>>"
+    back = workbooks.report_of(cells).where("scope <> ''").select(F.from_json("json", shape).alias("r"))
+    sheets = cells.where("not hidden").select("sheet").distinct()
+    rows = back.select("r.scope", "r.readFlow.*", F.size("r.targets").cast("long").alias("targets"), F.aggregate("r.targets", F.lit(0).cast("long"), lambda n, t: n + t["matched_reads"]).alias("matched"))
+    return rows.join(sheets, rows["scope"] == sheets["sheet"], "left").select("scope", "raw", "usable", "assigned", "targets", "matched", F.col("sheet").isNotNull().alias("whole"))
