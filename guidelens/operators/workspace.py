@@ -207,37 +207,6 @@ def latest(items: DataFrame, key: str = "id", order: str = "saved_at") -> DataFr
     return items.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-HISTORY = 20  # fixed value: edits of an item that can be undone
-
-
-def after_actions(actions: DataFrame, depth: int = HISTORY) -> DataFrame:
-    """id, version, undo_steps, redo_steps once all actions of each item are done, in the order of column at.
-
-    actions: id bigint, at bigint, action (save, undo, redo, delete), version bigint (of
-    a save). A save makes the version before it the next to undo, keeps `depth` of
-    these and ends what could be redone. Undo and redo without anything to take, or of
-    a deleted item, do nothing. Items that are deleted at the end have no row. An
-    item's actions are one person's editing; equal at: saves before others, by version.
-    """
-
-    def replay(pdf):
-        past, future, now = [], [], None
-        for action, version in pdf.sort_values(["at", "action", "version"], key=lambda c: c != "save" if c.name == "action" else c)[["action", "version"]].itertuples(index=False):
-            if action == "save":
-                past = [*past, now][-depth:] if now is not None else past
-                future, now = [], version
-            elif action == "delete":
-                now = None
-            elif now is not None and action in ("undo", "redo"):
-                source, target = (past, future) if action == "undo" else (future, past)
-                if source:
-                    target.append(now)
-                    now = source.pop()
-        return pdf.head(0 if now is None else 1)[["id"]].assign(version=now, undo_steps=len(past), redo_steps=len(future))
-
-    return actions.select("id", "at", "action", "version").groupBy("id").applyInPandas(replay, "id bigint, version bigint, undo_steps int, redo_steps int")
-
-
 def annotation_cut(ref: Column, guide: Column, start: Column, reverse: Column, saved: Column) -> Column:
     """Where a result's cut marker stands: by the motif beside or at the end of the shown guide, the given strand first; else as saved."""
     r, g = (F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")) for c in (ref, guide))

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import AMBIGUITY, AMINO_ACIDS
 from ..operators import columns, export, genomes, homoeolog, workspace
+from ..sources.shared import new_path
+from ..streaming import history
+from ..streaming.versions import Versions
 from .fixtures import DNA, GUIDE_A, GUIDE_B, REF_A, REF_B, dna, table
 from .registry import query
 
@@ -146,21 +149,46 @@ def latest_version(spark, sf_dir):
     return workspace.latest(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("saved_at")))
 
 
-@query(
-    """WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-    d AS (SELECT *, least(id % 4, n - 1, 20) AS undone, CASE WHEN id % 4 > 1 THEN least(id % 4, n - 1, 20) > 0 ELSE false END AS again FROM o),
-    e AS (SELECT *, undone - CASE WHEN again THEN 1 ELSE 0 END AS back FROM d)
-    SELECT id, version, CAST(least(n - 1, 20) - back AS INT) AS undo_steps, CAST(back AS INT) AS redo_steps FROM e WHERE i = n - back AND id % 7 <> 0"""
-)
-def undo_redo(spark, sf_dir):
-    """Each customer's orders are saved in turn, some undone, one of these done again, and some items deleted."""
+_EDITS = """WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ d AS (SELECT *, least(id % 4, n - 1, 20) AS undone, CASE WHEN id % 4 > 1 THEN least(id % 4, n - 1, 20) > 0 ELSE false END AS again FROM o),
+ e AS (SELECT *, undone - CASE WHEN again THEN 1 ELSE 0 END AS back FROM d)
+ SELECT id, version, CASE WHEN id % 5 = 0 THEN concat('n', CAST(id AS VARCHAR)) END AS name, CAST(least(n - 1, 20) - back AS INT) AS undo_steps, CAST(back AS INT) AS redo_steps FROM e WHERE i = n - back AND id % 7 <> 0"""
+
+
+def edits(spark, sf_dir):
+    """Each customer's orders are saved in turn, some undone, one of these done again, some renamed, and some items deleted."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"))
-    later = lambda k, action, when: orders.select("id").distinct().where(when).select("id", F.lit((1 << 60) + k).alias("at"), F.lit(action).alias("action"), F.lit(None).cast("bigint").alias("version"))
-    parts = [later(k, "undo", F.col("id") % 4 > k) for k in range(3)] + [later(3, "redo", F.col("id") % 4 > 1), later(4, "delete", F.col("id") % 7 == 0)]
-    actions = orders.select("id", F.col("version").alias("at"), F.lit("save").alias("action"), "version")
+    none, items = F.lit(None).cast("bigint"), orders.select("id").distinct()
+
+    def later(k, action, when):
+        name = F.concat(F.lit(" n"), F.col("id").cast("string")) if action == "rename" else F.lit(None).cast("string")
+        return items.where(when).select("id", F.lit((1 << 60) + k).alias("at"), F.lit(action).alias("action"), none.alias("version"), name.alias("name"))
+
+    parts = [later(k, "undo", F.col("id") % 4 > k) for k in range(3)] + [later(3, "redo", F.col("id") % 4 > 1), later(4, "rename", F.col("id") % 5 == 0), later(5, "delete", F.col("id") % 14 == 0), later(6, "clear", F.col("id") % 14 == 7)]
+    actions = orders.select("id", F.col("version").alias("at"), F.lit("save").alias("action"), "version", F.lit(None).cast("string").alias("name"))
     for part in parts:
         actions = actions.unionByName(part)
-    return workspace.after_actions(actions)
+    return actions
+
+
+@query(_EDITS)
+def undo_redo(spark, sf_dir):
+    return history.after_log(edits(spark, sf_dir))
+
+
+@query(_EDITS)
+def undo_redo_stream(spark, sf_dir):
+    """The same actions as they arrive, saves before the rest, with histories as state."""
+    folder, out, old = new_path(spark, "actions"), new_path(spark, "items"), spark.conf.get(history.STORE, None)
+    actions = edits(spark, sf_dir)
+    actions.where("action = 'save'").write.json(folder)
+    actions.where("action <> 'save'").repartition("id").write.mode("append").json(folder)
+    spark.conf.set(history.STORE, history.ROCKS)
+    try:
+        history.started(spark, spark.readStream.schema(history.ACTIONS).json(folder), out, f"{out}-log").awaitTermination()
+    finally:
+        spark.conf.unset(history.STORE) if old is None else spark.conf.set(history.STORE, old)
+    return Versions(spark, out, f"{out}-log").latest().where("version IS NOT NULL")
 
 
 _CUT = f"""WITH r AS (SELECT p_partkey, '{REF_A}' AS ref, substring('{REF_A}', CAST(p_partkey % 75 + 1 AS INT), 20) AS guide, p_partkey % 75 AS start, p_partkey % 2 = 0 AS reverse FROM part),

@@ -28,13 +28,13 @@ def test_override_of_an_id_goes_before_one_of_a_name(spark):
 
 
 def test_undo_depth_and_deleted_items(spark):
-    from guidelens.operators.workspace import after_actions
+    from guidelens.streaming.history import ACTIONS, after_log
 
     rows = [(1, i, "save", i) for i in range(30)] + [(1, 100 + i, "undo", None) for i in range(25)]
     rows += [(2, 0, "undo", None), (2, 1, "save", 7), (2, 2, "redo", None)]
     rows += [(3, 0, "save", 1), (3, 1, "save", 2), (3, 2, "delete", None), (3, 3, "undo", None)]
     rows += [(4, 0, "save", 1), (4, 1, "save", 2), (4, 2, "undo", None), (4, 3, "save", 3), (4, 4, "redo", None)]
-    out = {r.id: (r.version, r.undo_steps, r.redo_steps) for r in after_actions(spark.createDataFrame(rows, "id bigint, at bigint, action string, version bigint")).collect()}
+    out = {r.id: (r.version, r.undo_steps, r.redo_steps) for r in after_log(spark.createDataFrame([(*r, None) for r in rows], ACTIONS)).collect()}
     assert out == {1: (9, 0, 20), 2: (7, 0, 0), 4: (3, 1, 0)}
 
 
