@@ -38,6 +38,20 @@ READS = f"WITH molecules AS (SELECT {_MOLECULE} FROM orders), strands AS (SELECT
 #: Reads that can be used, with their true allele, class and net change.
 TRUTH = READS + """, truth AS (SELECT *, fwd AS allele,
   CASE WHEN true_net = 0 THEN 'no_indel' WHEN true_net % 3 = 0 THEN 'in_frame' ELSE 'out_of_frame' END AS category FROM reads WHERE q >= 20)"""
+#: Reads that fail or differ, a kind an order; what becomes of each is known from its kind.
+KINDS = (
+    "plain", "substituted", "no_left_end", "no_right_end", "short", "strange", "spoiled_end", "low", "mixed_good", "mixed_bad", "substituted_and_deleted", "between",
+)
+#: Half of the places where the references differ from one, half from the other: as near to both.
+BETWEEN = "".join(a if a == b or sum(x != y for x, y in zip(REF_A[:i], REF_B[:i], strict=True)) % 2 == 0 else b for i, (a, b) in enumerate(zip(REF_A, REF_B, strict=True)))
+_HARD = f"""o_orderkey AS read_index, o_custkey % 12 AS kind, concat('f', CAST(o_orderkey % 3 AS VARCHAR(9))) AS file, o_orderkey % 5 = 0 AS is_rc, CASE WHEN o_orderkey % 4 = 0 THEN 'B' ELSE 'A' END AS true_gene, CASE WHEN o_orderkey % 4 = 0 THEN '{REF_B}' ELSE '{REF_A}' END AS ref"""
+_CHANGED = "concat(substring(ref, 1, 41), translate(substring(ref, 42, 1), 'ACGT', 'CGTA'), substring(ref, 43, 100))"
+_HARD_BASES = f"""CASE kind WHEN 1 THEN {_CHANGED} WHEN 2 THEN substring(ref, 11, 100) WHEN 3 THEN substring(ref, 1, 90) WHEN 4 THEN substring(ref, 1, 76) WHEN 5 THEN repeat('AC', 40) WHEN 6 THEN concat(substring(ref, 1, 85), repeat('T', 15))
+  WHEN 10 THEN concat(substring({_CHANGED}, 1, 64), substring({_CHANGED}, 68, 100)) WHEN 11 THEN '{BETWEEN}' ELSE ref END"""
+_HARD_READ = """read_index, kind, file, is_rc, true_gene, ref, fwd, concat('h', CAST(read_index AS VARCHAR(20))) AS read_id, CASE WHEN is_rc THEN reverse(translate(fwd, 'ACGT', 'TGCA')) ELSE fwd END AS seq,
+  CASE kind WHEN 7 THEN repeat(chr(43), 100) WHEN 8 THEN repeat(concat(chr(43), chr(73)), 50) WHEN 9 THEN repeat(concat(chr(43), chr(58)), 50) ELSE repeat(chr(68), CAST(length(fwd) AS INT)) END AS qual"""
+HARD = f"WITH hard_orders AS (SELECT {_HARD} FROM orders), hard_bases AS (SELECT *, {_HARD_BASES} AS fwd FROM hard_orders), hard AS (SELECT {_HARD_READ} FROM hard_bases)"
+
 _DNA_LETTERS = "ACGTACGTACGTACGTACGTACGTAC"
 #: DNA from the whole text of documents.
 DNA = f"WITH dna AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{_DNA_LETTERS}') AS seq FROM documents)"
@@ -64,6 +78,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.selectExpr(*_columns(_MOLECULE)).selectExpr("*", f"{_FORWARD} AS fwd").selectExpr(*_columns(_READ))
 
 
+def hard_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_index, kind, file, is_rc, true_gene, ref, fwd, read_id, seq, qual: one read an order, of one of KINDS."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.selectExpr(*_columns(_HARD)).selectExpr("*", f"{_HARD_BASES} AS fwd").selectExpr(*_columns(_HARD_READ))
+
+
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq: the letters of each document as bases."""
     letters = f"translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', '{_DNA_LETTERS}') AS seq"
