@@ -57,20 +57,29 @@ def called(groups: DataFrame, config: AnalysisConfig, config_key: str | None = N
     return groups.mapInArrow(run, schema)
 
 
-def alleles(hits: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
+def observed(hits: DataFrame, config_key: str | None = None) -> DataFrame:
+    """Reads (n, and the first of them) by scope and what they observe, or why they observe nothing: all that alleles and summaries need of hits."""
+    keys = [*SCOPE, "window", "reason", "is_rc", "read_window", "left_x", "right_x"] + ([config_key] if config_key and config_key not in SCOPE else [])
+    return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("read_index").alias("first"))
+
+
+def alleles_of(observations: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
     """file, gene_ix, kind, target_ix, read_inner, read_count, first_seen, category, has_sub, net_indel, tokens.
 
-    Reads are grouped by what they observe before any alignment, so that the
-    aligner runs once for each distinct observation; then observations whose
+    The aligner runs once for each distinct observation; then observations whose
     alleles agree are one. Class and tokens are those of the first read seen.
     """
-    keys = [*SCOPE, "window", "read_window", "left_x", "right_x"] + ([config_key] if config_key and config_key not in SCOPE else [])
-    groups = hits.where("reason = 'ok'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("read_index").alias("first"))
     first = F.struct("category", "has_sub", "net_indel", "tokens")
-    out = called(groups, config, config_key).groupBy(*SCOPE, F.col("allele").alias("read_inner")).agg(F.sum("n").alias("read_count"), F.min("first").alias("first_seen"), F.min_by(first, "first").alias("f"))
+    groups = called(observations.where("reason = 'ok'"), config, config_key)
+    out = groups.groupBy(*SCOPE, F.col("allele").alias("read_inner")).agg(F.sum("n").alias("read_count"), F.min("first").alias("first_seen"), F.min_by(first, "first").alias("f"))
     return out.select(*SCOPE, "read_inner", "read_count", "first_seen", "f.*")
 
 
+def alleles(hits: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> DataFrame:
+    """alleles_of() reads that are grouped by what they observe before any alignment."""
+    return alleles_of(observed(hits, config_key), config, config_key)
+
+
 def kept_and_ranked(table: DataFrame, scope: tuple[str, ...], percent: float, count: str = "read_count", order: str = "first_seen") -> DataFrame:
     """Alleles by falling count (ties by first seen), with group_rank from 1, while each is at least `percent` of the reads kept so far and itself.
 

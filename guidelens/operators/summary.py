@@ -37,9 +37,11 @@ def demux_counts(calls: DataFrame) -> DataFrame:
 
 def gene_counts(calls: DataFrame, config: AnalysisConfig) -> DataFrame:
     """file, gene, assigned reads; genes without reads stay, with 0."""
-    counts = calls.where("outcome = 'assigned'").groupBy("file", "gene_ix").agg(F.count(F.lit(1)).alias("assigned"))
-    every = calls.select("file").distinct().crossJoin(F.broadcast(gene_table(calls, config).select("gene_ix", "gene")))
-    return every.join(counts, ["file", "gene_ix"], "left").select("file", "gene", F.coalesce("assigned", F.lit(0)).alias("assigned"))
+    counts = calls.groupBy("file", "gene_ix").agg(F.count(F.lit(1)).alias("n"))
+    held = F.map_from_entries(F.filter(F.collect_list(F.struct("gene_ix", "n")), lambda g: g["gene_ix"].isNotNull()))  # reads of no gene only tell that the file is there
+    genes = F.array(*(F.struct(F.lit(i).alias("gene_ix"), F.lit(g.gene).alias("gene")) for i, g in enumerate(config.genes)))
+    every = counts.groupBy("file").agg(held.alias("held")).select("file", "held", F.inline(genes))
+    return every.select("file", "gene", F.coalesce(F.element_at("held", F.col("gene_ix")), F.lit(0)).cast("long").alias("assigned"))
 
 
 def failure_counts(hits: DataFrame) -> DataFrame:
@@ -47,11 +49,12 @@ def failure_counts(hits: DataFrame) -> DataFrame:
     return hits.where("reason <> 'ok'").groupBy(*SCOPE, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def target_summary(hits: DataFrame, kept_alleles: DataFrame) -> DataFrame:
-    """Totals and breakdown of each scope: reads before the threshold from the hits, classes after it from the alleles kept."""
-    fail = [F.sum(F.when(F.col("reason") == r, 1).otherwise(0)).alias(f"fail_{r}") for r in FAILURE_COLUMNS]
+def target_summary(observations: DataFrame, kept_alleles: DataFrame) -> DataFrame:
+    """Totals and breakdown of each scope: reads before the threshold from observed() hits, classes after it from the alleles kept."""
+    count = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name)
+    fail = [count(F.col("reason") == r, f"fail_{r}") for r in FAILURE_COLUMNS]
     ok = F.col("reason") == "ok"
-    reads = hits.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("total_reads"), F.sum(ok.cast("bigint")).alias("matched_reads"), F.sum((ok & ~F.col("is_rc")).cast("bigint")).alias("forward_reads"), F.sum((ok & F.col("is_rc")).cast("bigint")).alias("reverse_reads"), *fail)
+    reads = observations.groupBy(*SCOPE).agg(F.sum("n").alias("total_reads"), count(ok, "matched_reads"), count(ok & ~F.col("is_rc"), "forward_reads"), count(ok & F.col("is_rc"), "reverse_reads"), *fail)
     part = lambda when, name: F.sum(F.when(when, F.col("read_count")).otherwise(0)).alias(name)
     plain = F.col("category") == "no_indel"
     kinds = kept_alleles.groupBy(*SCOPE).agg(F.sum("read_count").alias("aligned_reads"), part(F.col("category") == "out_of_frame", "out_of_frame"), part(F.col("category") == "in_frame", "in_frame"), part(plain & F.col("has_sub"), "substitution"), part(plain & ~F.col("has_sub"), "unmodified"))

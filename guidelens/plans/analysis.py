@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..operators import pairs as mates
-from ..operators.alleles import SCOPE, alleles, kept_and_ranked, target_hits
+from ..operators.alleles import SCOPE, alleles_of, kept_and_ranked, observed, target_hits
 from ..operators.assign import assigned
 from ..operators.summary import among, demux_counts, every_target, gene_counts, missing_guides, rescued, target_summary
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,11 @@ def hits_by_kind(calls: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 
 def run_analysis(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None) -> Result:
-    """reads: file, read_index, seq, qual. The caller may persist Result.calls: all else derives from it.
+    """reads: file, read_index, seq, qual.
+
+    One pass over the reads leaves what they observe, counted, as a table in the shared
+    folder, from which alleles and summary come; counts by gene and of demultiplexing
+    come from Result.calls, which a caller who wants them all may persist.
 
     The summary has a row for every configured target of each file; a target whose
     guide isn't in its reference has an error there, and no alleles. Runs with
@@ -51,9 +56,10 @@ def run_analysis(reads: DataFrame, config: AnalysisConfig, config_key: str | Non
     calls = assigned(reads, config, config_key)
     hits = hits_by_kind(calls, config)
     gone = missing_guides(config) if config_key is None else []
-    every = alleles(hits.where(~among(gone)) if gone else hits, config, config_key)
+    seen = written(observed(hits, config_key), "observations")
+    every = alleles_of(seen.where(~among(gone)) if gone else seen, config, config_key)
     good = kept_and_ranked(every, SCOPE, config.indel_percent)
-    summary = target_summary(hits, good)
+    summary = target_summary(seen, good)
     if config_key is None:
         summary = every_target(summary, reads.select("file").distinct(), config)
     return Result(calls, hits, good, summary, demux_counts(calls), gene_counts(calls, config))
