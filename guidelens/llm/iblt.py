@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, slices_of
 
 CELLS, GROW = 15, 4
 PIECE_WORDS, LONG_WORD = 8, 64
@@ -40,15 +41,19 @@ RANGES_EACH, MAX_RANGES = 4, 8192  # ranges of ids: so many a shuffle partition,
 FIRST_ID = -(1 << 63)
 
 
-def keys(text: str | None) -> np.ndarray:
-    """Distinct digests of a text's pieces, ascending."""
-    out = []
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+def pieces(text: str | None) -> Iterator[tuple[int, bytes]]:
+    """(line, piece) of a text in order."""
+    for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
         words = line.split()
         if len(line) > LONG_WORD and words and max(map(len, words)) > LONG_WORD:
             words = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
-        out += [xxhash.xxh64_intdigest(b" ".join(words[i : i + PIECE_WORDS])) for i in range(0, len(words), PIECE_WORDS)]
-    return np.unique(np.array(out, np.uint64))
+        for i in range(0, len(words), PIECE_WORDS):
+            yield at, b" ".join(words[i : i + PIECE_WORDS])
+
+
+def keys(text: str | None) -> np.ndarray:
+    """Distinct digests of a text's pieces, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(p) for _, p in pieces(text)], np.uint64))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -227,3 +232,32 @@ def versions(docs: DataFrame) -> DataFrame:
 
     out = successors(docs, run)
     return empty if out is None else out
+
+
+CHANGES = "side string, digest string, paragraph int, piece string"
+
+
+def changes(versions_of: DataFrame, id_column: str = "doc_id", old: str = "old_text", new: str = "new_text") -> DataFrame:
+    """id_column, side (removed or added), digest, paragraph (line, from 0) and piece: what differs between two versions of each text, by peeling the difference of their sketches.
+
+    A piece that a version holds several times is shown for each of its places. Null
+    texts are empty; equal versions have no rows; repeated ids are rows of their own.
+    """
+    rows = versions_of.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{old}`").alias("old"), F.col(f"`{new}`").alias("new"))
+    schema = StructType([StructField("id", rows.schema["id"].dataType), *_parse_datatype_string(CHANGES).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices_of(batches):
+            before, after = part.column("old").to_pylist(), part.column("new").to_pylist()
+            found = []
+            for i, only in enumerate(differences([keys(t) for t in before], [keys(t) for t in after])):
+                for side, text, digests in (("removed", before[i], only[0]), ("added", after[i], only[1])):
+                    wanted = set(digests.tolist())
+                    for at, piece in pieces(text) if wanted else ():
+                        if (digest := xxhash.xxh64_intdigest(piece)) in wanted:
+                            found.append((i, side, f"{digest:016x}", at, piece.decode("utf-8", "replace")))
+            where = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id").take(where), *(pa.array([f[1 + k] for f in found], f_.type) for k, f_ in enumerate(list(arrow)[1:]))], schema=arrow)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)

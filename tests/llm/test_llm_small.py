@@ -190,6 +190,19 @@ def test_dotted_column_names(spark):
 # fingerprints
 
 
+def test_changed_paragraphs(spark):
+    """The pieces that peeling recovers are the set differences, with their places and texts."""
+    lines = [text(k, 12) for k in range(300)]
+    pairs = [("a", "\n".join(lines[:200]), "\n".join(lines[:90] + ["new line here"] + lines[91:200])), ("b", "\n".join(lines), None), ("c", None, ""), ("d", "same", "same"), ("d", "x\nx\ny", "y"), ("e", "z" * 300, "z" * 200)]
+    docs = spark.createDataFrame(pairs, "doc_id string, old_text string, new_text string").withColumn("side", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = sorted((r.doc_id, r.side, r.paragraph, r.piece) for r in iblt.changes(docs).collect())
+    want = []
+    for name, old, new in pairs:
+        a, b = list(iblt.pieces(old)), list(iblt.pieces(new))
+        want += [(name, "removed", at, p.decode()) for at, p in a if p not in {q for _, q in b}] + [(name, "added", at, p.decode()) for at, p in b if p not in {q for _, q in a}]
+    assert got == sorted(want) and len(want) > 300 and iblt.changes(docs.limit(0)).count() == 0
+
+
 def test_fingerprints_against_sets(spark, odd):
     docs = spark.createDataFrame([(i * 3, "\n".join(text(k, 20) for k in range(i, i + i % 7)), "en", "a", 0) for i in range(60)], DOCS)
     for d in (docs, docs.where("doc_id = 9"), odd.where("doc_id is not null").dropDuplicates(["doc_id"]), docs.withColumn("doc_id", F.col("doc_id") - 90)):
