@@ -156,61 +156,66 @@ def by_block(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
             pass
 
 
-def opens(line: bytes) -> bool:
-    return line.decode("latin-1").strip().startswith("@")
+class BlockFunction:
+    """What a block does to each of the four cases, told line by line: a few lines are held, however many a block has.
 
-
-def function_of(heads: np.ndarray, keeps: np.ndarray) -> tuple[list[int], list[int]]:
-    """For 0 to 3 lines that the first record has had: those that the last one has had at the block's end, and the kept records that begin and end within.
-
-    heads: lines that can open a record; keeps: whether the record that a line opens is kept.
+    Case c: the block's first record has had c lines. `at` is the line at which a case
+    looks for its next record; cases that look at the same one go on as one.
     """
-    n = len(heads)
-    following = np.full(n + 1, n)
-    following[:n] = np.where(heads, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1].tolist()
-    keeps = keeps.tolist()
-    seen: dict[int, int] = {}  # line at which the first case looks for a record -> kept records before it
-    outs, counts = [], []
-    for case in range(4):
-        at, count = (4 - case) % 4, 0
-        if at > n:
-            outs.append(case + n)
-            counts.append(0)
-            continue
-        while True:
-            if case and at in seen:  # from here on as in the first case
-                count += counts[0] - seen[at]
-                outs.append(outs[0])
-                break
-            if not case:
-                seen[at] = count
-            head = following[at]
-            if head + 4 > n:
-                outs.append(n - head)
+
+    def __init__(self) -> None:
+        self.n = 0  # lines so far
+        self.at = [(4 - c) % 4 for c in range(4)]
+        self.counts = [0] * 4
+        self.flags = [np.empty(0, bool)] * 3  # of the lines held: opens a record, has bases, has qualities
+
+    def add(self, heads: np.ndarray, bases: np.ndarray, quals: np.ndarray, keep_empty: bool) -> None:
+        """The block's next lines. heads: lines that can open a record; bases, quals: those that aren't empty as one or the other."""
+        heads, bases, quals = (np.concatenate(both) for both in zip(self.flags, (heads, bases, quals), strict=True))
+        low = self.n - len(self.flags[0])  # the first line held
+        n = self.n = low + len(heads)
+        whole = max(0, len(heads) - 3)  # lines whose record would end here
+        kept = np.ones(whole, bool) if keep_empty else bases[1 : whole + 1] & quals[3:]
+        going: dict[int, tuple[int, int]] = {}
+        for case, start in enumerate(self.at):
+            if start not in going:
+                going[start] = self._through(start, low, heads, kept)
+            self.at[case], more = going[start]
+            self.counts[case] += more
+        stay = min(3, len(heads))  # a case that waits does so at one of the last three lines, or after them
+        self.flags = [x[len(x) - stay :] for x in (heads, bases, quals)]
+
+    def _through(self, start: int, low: int, heads: np.ndarray, kept: np.ndarray) -> tuple[int, int]:
+        """Where a case that looks from line `start` looks after these lines, and the kept records it passes."""
+        at, count, n = start - low, 0, len(heads)
+        while at < n:
+            if not heads[at]:
+                found = int(heads[at:].argmax())
+                at = at + found if heads[at + found] else n
+                continue
+            if at + 4 > n:
                 break
-            count += keeps[head]
-            at = head + 4
-        counts.append(count)
-    return outs, counts
+            row = heads[at : n - 3 : 4]  # the next records, if each begins where the last one ends
+            run = len(row) if row.all() else int(row.argmin())
+            count += int(kept[at : at + 4 * run : 4].sum())
+            at += 4 * run
+        return low + at, count
+
+    def result(self) -> tuple[list[int], list[int]]:
+        """For 0 to 3 lines that the first record has had: those that the last one has had at the block's end, and the kept records that begin and end within."""
+        return [c + self.n if at > self.n and c else self.n - at for c, at in enumerate(self.at)], list(self.counts)
 
 
 def functions(lines: DataFrame, keep_empty: bool) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (path, start), block in by_block(parts):
-            heads, bases, quals, head, tail = [], [], [], [], []
+            function, head, tail = BlockFunction(), [], []
             for found in block:
-                heads += [opens(x) for x in found]
-                bases += [bool(x.decode("latin-1").strip()) for x in found]
-                quals += [bool(x) for x in found]
+                texts = [x.decode("latin-1").strip() for x in found]
+                function.add(np.array([x.startswith("@") for x in texts], bool), np.array([bool(x) for x in texts], bool), np.array([bool(x) for x in found], bool), keep_empty)
                 head = (head + found[:3])[:3]
                 tail = (tail + found[-3:])[-3:]
-            n = len(heads)
-            kept = np.ones(n, bool)
-            if not keep_empty:
-                kept[:] = False
-                kept[: max(0, n - 3)] = np.array(bases, bool)[1 : n - 2] & np.array(quals, bool)[3:] if n > 3 else False
-            outs, counts = function_of(np.array(heads, bool), kept)
+            n, (outs, counts) = function.n, function.result()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([outs], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64())), pa.array([head], pa.list_(pa.binary())), pa.array([tail], pa.list_(pa.binary()))], ["path", "start", "n", "outs", "counts", "head", "tail"])
 
     return lines.mapInArrow(run, BLOCK)

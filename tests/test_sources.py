@@ -6,6 +6,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,29 @@ def test_splits_give_the_rows_of_one_task(spark, tmp_path):
                 spark.conf.set(k, v)
 
 
+def test_block_functions_hold_few_lines():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 5, 9, 40, 200):
+        heads, bases, quals = ([rng.random() < share for _ in range(n)] for share in (0.4, 0.8, 0.9))
+        want = []
+        for case in range(4):
+            at, count = (4 - case) % 4, 0
+            out = case + n if at > n else None
+            while out is None:
+                at = next((i for i in range(at, n) if heads[i]), n)
+                if at + 4 > n:
+                    out = n - at
+                else:
+                    count, at = count + (bases[at + 1] and quals[at + 3]), at + 4
+            want.append((out, count))
+        for size in (1, 2, 3, 7, 1000):
+            block = splits.BlockFunction()
+            for low in range(0, n, size):
+                block.add(*(np.array(x[low : low + size], bool) for x in (heads, bases, quals)), keep_empty=False)
+                assert max(map(len, block.flags)) <= 3
+            assert list(zip(*block.result(), strict=True)) == want
+
+
 def test_splits_of_block_gzip(spark, tmp_path):
     """Members cut anywhere in lines; ranges smaller than members, and much larger."""
     def member(data):
