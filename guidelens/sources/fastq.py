@@ -2,7 +2,7 @@
 
 The driver lists files and executors open them as local paths, so they must be on
 storage that all of them mount. splits.read() gives the same rows from any file system
-that Spark reads, and large files in many tasks; read_binary() takes whole files, and
+that Spark reads, and large files in many tasks; read_binary() takes small files whole, and
 stream() those that arrive in a folder.
 """
 
@@ -12,14 +12,17 @@ import glob
 import gzip
 import io
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, read_index bigint, read_id string, seq string, qual string"
 BATCH = 10_000
+WHOLE = 8 << 20  # bytes of a file that is read as one row
 
 
 def records(lines: Iterable[str], keep_empty: bool = False, token_ids: bool = False) -> Iterator[tuple[str, str, str]]:
@@ -114,15 +117,29 @@ def parsed(files: DataFrame, keep_empty: bool = False, token_ids: bool = False)
         for part in parts:
             for p, content in zip(part.column("path"), part.column("content"), strict=True):
                 path, content = p.as_py(), content.as_py()
-                raw = gzip.decompress(content) if path.endswith(".gz") else content
-                yield from batches(path.rsplit("/", 1)[-1], records(io.StringIO(raw.decode("latin-1")), keep_empty, token_ids))
+                raw = io.BytesIO(content)
+                text = io.TextIOWrapper(gzip.open(raw) if path.endswith(".gz") else raw, encoding="latin-1", newline="")
+                yield from batches(path.rsplit("/", 1)[-1], records(text, keep_empty, token_ids))
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_binary(spark: SparkSession, path: str, keep_empty: bool = False, token_ids: bool = False) -> DataFrame:
-    """The same rows through Spark's binaryFile reader: any file system that Spark reads, one file a row in memory."""
-    return parsed(spark.read.format("binaryFile").load(path), keep_empty, token_ids)
+def read_binary(spark: SparkSession, path: str, keep_empty: bool = False, token_ids: bool = False, whole: int = WHOLE) -> DataFrame:
+    """The same rows through Spark's binaryFile reader: any file system that Spark reads, a file of at most `whole` bytes a row in memory.
+
+    Larger files are never held: splits.read() takes them, line by line.
+    """
+    from . import splits
+
+    files = spark.read.format("binaryFile").load(path)
+    out = parsed(files.where(F.col("length") <= whole), keep_empty, token_ids)
+    large = [_literal(r.path) for r in files.where(F.col("length") > whole).select("path").collect()]
+    return out.unionByName(splits.read(spark, large, keep_empty, token_ids)) if large else out
+
+
+def _literal(path: str) -> str:
+    """A path as Spark's readers take it, which otherwise read *, [a] and {a,b} in it as patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 NAMES = "*.{fastq,fq,fastq.gz,fq.gz}"

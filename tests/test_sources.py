@@ -222,6 +222,22 @@ def test_block_functions_hold_few_lines():
             assert list(zip(*block.result(), strict=True)) == want
 
 
+def test_large_files_are_not_rows(spark, tmp_path, monkeypatch):
+    """A file over the limit never reaches parsed(), whatever its name and compression; the rows are the same."""
+    for name in ("a [1]*{x}.fastq", "b.fq", "c.fq"):
+        (tmp_path / name).write_text(FASTQ * 50)
+    with gzip.open(tmp_path / "d.fq.gz", "wt", compresslevel=0) as f:
+        f.write(FASTQ * 50)
+    (tmp_path / "e.fq").write_bytes(FASTQ.replace("\n", "\r").encode())
+    fastq.register(spark)
+    want = sorted(map(tuple, spark.read.format("fastq").load(str(tmp_path)).collect()))
+    held, parsed = [], fastq.parsed
+    monkeypatch.setattr(fastq, "parsed", lambda files, *rest: held.append(files) or parsed(files, *rest))
+    assert sorted(map(tuple, fastq.read_binary(spark, str(tmp_path), whole=1000).collect())) == want
+    assert [r.path.rsplit("/", 1)[-1] for r in held[0].collect()] == ["e.fq"]
+    assert sorted(map(tuple, fastq.read_binary(spark, str(tmp_path)).collect())) == want
+
+
 def test_splits_of_block_gzip(spark, tmp_path):
     """Members cut anywhere in lines; ranges smaller than members, and much larger."""
     def member(data):
