@@ -10,6 +10,7 @@ each row is laid by itself after it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,11 @@ from ..kernels.locate import Evidence, best_evidence, candidates, segments
 from ..kernels.matching import opcodes, reverse_complement
 from ..kernels.mutate import call, window_grid
 from ..kernels.pairwise import homoeolog_similarity
+from ..sources.shared import written
 from .homoeolog import LANE_IDENTITY, with_anchor
 
+CACHE = 4096
+
 TOKENS = "array<struct<type:string,val:string>>"
 GRID = "array<struct<base:string,type:string,insertion:string>>"
 VIEW = f"aligned boolean, reason string, category string, has_sub boolean, net_indel int, is_rc boolean, pre string, post string, tokens {TOKENS}, grid {GRID}"
@@ -43,15 +47,18 @@ def tokens_of(read: str, ref: str) -> list[tuple[str, str]]:
 
 
 def _with(df: DataFrame, extra: str, used: tuple[str, ...], one) -> DataFrame:
-    """df and what one() makes of the used columns of each row."""
+    """df and what one() makes of the used columns of each row; equal values in a batch are one call, and CACHE of them are remembered a task."""
     more = _parse_datatype_string(extra)
     schema = StructType([*df.schema.fields, *more.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = lru_cache(CACHE)(one)
         for batch in batches:
-            rows = [one(*values) for values in zip(*(batch.column(c).to_pylist() for c in used), strict=True)]
-            cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type) for i, f in enumerate(more.fields)]
+            number: dict[tuple, int] = {}
+            at = pa.array([number.setdefault(v, len(number)) for v in zip(*(batch.column(c).to_pylist() for c in used), strict=True)], pa.int32())
+            rows = [remembered(*values) for values in number]
+            cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type).take(at) for i, f in enumerate(more.fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -74,22 +81,25 @@ def _spread(tokens: Column) -> tuple[Column, Column]:
 def on_shared_columns(rows: DataFrame, group: list[str], tokens: str = "tokens") -> DataFrame:
     """rows with `laid`: each row's bases on the columns of its group, - where it has none.
 
-    Rows without tokens have a null. A group is the copies of one gene, or a page.
+    Rows without tokens have a null. A group is the copies of one gene, or a page. Rows
+    are read twice, so those that are dear to make should be written first.
     """
     bases, inserts = _spread(F.col(tokens))
     spread = rows.withColumn("_bases", bases).withColumn("_inserts", inserts)
     at = spread.select(*(F.col(g).alias(f"_of_{i}") for i, g in enumerate(group)), F.explode("_inserts").alias("i"))
     names = [f"_of_{i}" for i in range(len(group))]
     widest = at.groupBy(*names, F.col("i.border").alias("border")).agg(F.max(F.length("i.bases")).alias("width"))
-    opened = widest.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("border", "width"))).alias("_widths"))
+    opened = widest.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("border", "width"))).alias("_opened"))
     same = F.lit(True)
     for g, n in zip(group, names, strict=True):
         same = same & F.col(g).eqNullSafe(F.col(n))
-    met = spread.join(opened, same, "left")
-    held = F.map_from_entries("_inserts")
-    width = lambda j: F.coalesce(F.element_at(F.coalesce("_widths", F.create_map().cast("map<int,int>")), j), F.lit(0))
-    one = lambda j: F.concat(F.rpad(F.coalesce(F.element_at(held, j), F.lit("")), width(j), F.lit("-")), F.substring(F.col("_bases"), j + 1, F.lit(1)))
-    laid = F.array_join(F.transform(F.sequence(F.lit(0), F.length("_bases")), one), "")
+    met = spread.withColumn("_held", F.map_from_entries("_inserts")).drop("_inserts").join(opened, same, "left")
+    size, all_opened = F.length("_bases"), F.coalesce("_opened", F.array().cast("array<struct<border:int,width:int>>"))
+    until = lambda k: F.least(F.coalesce(F.get(F.col("_opened"), k)["border"], size), size)
+    # from one border with columns to the next: what is inserted there, and the bases after it
+    one = lambda o, k: F.concat(F.rpad(F.coalesce(F.element_at("_held", o["border"]), F.lit("")), o["width"], F.lit("-")), F.substring(F.col("_bases"), o["border"] + 1, until(k + 1) - o["border"]))
+    pieces = F.transform(F.filter(all_opened, lambda o: o["border"] <= size), one)
+    laid = F.concat(F.substring(F.col("_bases"), F.lit(1), until(F.lit(0))), F.array_join(pieces, ""))
     return met.select(*rows.columns, F.when(F.col("_bases").isNotNull(), laid).alias("laid"))
 
 
@@ -107,7 +117,7 @@ def star_alignment(refs: DataFrame, group: str = "homoeolog_group") -> DataFrame
         return alike, aligned, [{"type": k, "val": v} for k, v in tokens_of(ref, anchor)] if aligned else None
 
     rows = _with(lanes, f"similarity double, aligned boolean, tokens {TOKENS}", ("sequence", "anchor_seq", "gene_ix", "anchor_ix"), one)
-    laid = on_shared_columns(rows, [group])
+    laid = on_shared_columns(written(rows, "lanes"), [group])
     return laid.select(group, "gene_ix", (F.col("gene_ix") == F.col("anchor_ix")).alias("is_anchor"), "similarity", "aligned", "tokens", "laid")
 
 
@@ -164,10 +174,11 @@ def viewer_alignment(reads: DataFrame, window: Window) -> DataFrame:
 
 
 def pileup(views: DataFrame, page: list[str]) -> DataFrame:
-    """views with laid, and lead: what precedes the window, padded to the longest of the page; unaligned reads have nulls."""
+    """views with laid, and lead: what precedes the window, padded to the longest of the page; unaligned reads have nulls. The views are written once and read again."""
+    views = written(views, "views")
     laid = on_shared_columns(views, page)
     names = [f"_of_{i}" for i in range(len(page))]
-    longest = laid.where("aligned").groupBy(*(F.col(g).alias(n) for g, n in zip(page, names, strict=True))).agg(F.max(F.length("pre")).alias("_most"))
+    longest = views.where("aligned").groupBy(*(F.col(g).alias(n) for g, n in zip(page, names, strict=True))).agg(F.max(F.length("pre")).alias("_most"))
     same = F.lit(True)
     for g, n in zip(page, names, strict=True):
         same = same & F.col(g).eqNullSafe(F.col(n))

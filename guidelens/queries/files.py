@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig, Gene, Target
@@ -81,13 +82,13 @@ def viewer_pileup(spark, sf_dir):
     by_gene = []
     for name, gene in (("A", GENE_A90), ("B", Gene("B", GENE_B.sequence, (Target("t1", GENE_B.targets[0].guide),)))):
         mine = reads(spark, sf_dir).where(F.col("true_gene") == name).select("read_index", "seq", "file", F.floor(F.col("read_index") / PAGE).alias("page"), F.lit(name).alias("of"))
-        by_gene.append(columns.viewer_alignment(mine, windows_of((gene,))[0]))
-    laid = columns.pileup(by_gene[0].unionByName(by_gene[1]), ["of", "file", "page"])
-    widest = laid.groupBy(*(F.col(c).alias(f"_{c}") for c in ("of", "file", "page"))).agg(F.max(F.length("laid") + F.length("lead")).alias("width"))
-    same = (F.col("of") == F.col("_of")) & (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page"))
-    bases = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+        by_gene.append(columns.viewer_alignment(mine.repartition("file", "page"), windows_of((gene,))[0]))  # a small file of many reads is one task otherwise
     cells = F.array_join(F.transform("grid", lambda g: F.concat(F.when(g["type"] == "delete", F.lit("")).otherwise(g["base"]), g["insertion"])), "")
-    return laid.join(widest, same).select("read_index", "aligned", "is_rc", F.concat("pre", cells, "post").alias("from_grid"), F.concat(F.trim("lead"), bases("laid"), "post").alias("from_columns"), (F.length("laid") + F.length("lead") == F.col("width")).alias("as_wide"))
+    views = by_gene[0].unionByName(by_gene[1]).withColumn("from_grid", F.concat("pre", cells, "post")).drop("seq", "grid")  # cells are dealt with where they are made: they are large
+    laid = columns.pileup(views, ["of", "file", "page"]).withColumn("width", F.length("laid") + F.length("lead"))
+    widest = F.max("width").over(W.partitionBy("of", "file", "page"))
+    bases = F.replace("laid", F.lit("-"), F.lit(""))
+    return laid.select("read_index", "aligned", "is_rc", "from_grid", F.concat(F.trim("lead"), bases, "post").alias("from_columns"), (F.col("width") == widest).alias("as_wide"))
 
 
 _WORKBOOK = "WITH r AS (SELECT concat('nation ', CAST(s_nationkey AS VARCHAR)) AS sheet, s_suppkey, s_name, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth FROM supplier)"

@@ -225,3 +225,18 @@ def test_overlaps_of_a_batch(least, identity):
     merged = merged_pairs([(a, np.array(x, np.int64), b, np.array(y, np.int64)) for (a, b), (x, y) in zip(pairs, quals, strict=True)], 7, least, identity)
     for (a, b), (x, y), (seq, qual, *rest) in zip(pairs, quals, merged, strict=True):
         assert (seq, qual.tolist(), *rest) == plain_merge(a, x, b, y, 7, least, identity)
+
+
+def test_reads_are_viewed_once(spark):
+    """Equal reads of a batch are one call, and what is laid on shared columns isn't aligned again for each aggregate."""
+    from guidelens.operators import columns
+
+    same = spark.createDataFrame([("a",)] * 9 + [("b",)] * 9, "seq string").coalesce(1)
+    drawn = columns._with(same, "drawn string", ("seq",), lambda seq: (str(random.random()),))
+    assert drawn.distinct().count() == 2
+    tokens = [[("insert", "T"), ("equal", "ACGT")], [("equal", "AC"), ("insert", "GG"), ("delete", "--")], [("equal", "ACGT"), ("insert", "C")], None]
+    rows = [("p", i, t is not None, "x" * i, None if t is None else [{"type": k, "val": v} for k, v in t]) for i, t in enumerate(tokens)]
+    views = spark.createDataFrame(rows, f"page string, i int, aligned boolean, pre string, tokens {columns.TOKENS}")
+    out = columns.pileup(views.mapInArrow(lambda batches: batches, views.schema), ["page"])
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert {r.i: (r.lead, r.laid) for r in out.collect()} == {0: ("  ", "TAC--GT-"), 1: (" x", "-ACGG---"), 2: ("xx", "-AC--GTC"), 3: (None, None)}
