@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..kernels.cutsite import find_homoeolog_site
 from ..kernels.pairwise import compare_references, difference_bp, homoeolog_similarity, project_position
 
 LANE_IDENTITY = 45.0  # per cent at which windows share a lane of the overview
+CACHE = 4096  # guides and sequences that a task remembers
 MAX_WINDOWS = 1000  # that are compared side by side
 RATES = {"all": "modified_pct", "oof": "out_of_frame_pct", "inframe": "in_frame_pct", "sub": "substitution_pct"}
 
@@ -137,9 +139,12 @@ def guide_sites(rows: DataFrame, allowed: float = 0.25) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = lru_cache(CACHE)(lambda sequence, query: find_homoeolog_site(sequence, query, allowed))
         for batch in batches:
-            found = [find_homoeolog_site(s, g, allowed) for s, g in zip(batch.column("sequence").to_pylist(), batch.column("query").to_pylist(), strict=True)]
-            cols = [pa.array([getattr(m, f.name) for m in found], arrow.field(f.name).type) for f in extra.fields]
+            number: dict[tuple, int] = {}  # equal rows of a batch are one
+            at = pa.array([number.setdefault(v, len(number)) for v in zip(batch.column("sequence").to_pylist(), batch.column("query").to_pylist(), strict=True)], pa.int32())
+            found = [remembered(*v) for v in number]
+            cols = [pa.array([getattr(m, f.name) for m in found], arrow.field(f.name).type).take(at) for f in extra.fields]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
 
     return rows.mapInArrow(run, schema)

@@ -240,3 +240,18 @@ def test_reads_are_viewed_once(spark):
     out = columns.pileup(views.mapInArrow(lambda batches: batches, views.schema), ["page"])
     assert "MapInArrow" not in out._jdf.queryExecution().toString()
     assert {r.i: (r.lead, r.laid) for r in out.collect()} == {0: ("  ", "TAC--GT-"), 1: (" x", "-ACGG---"), 2: ("xx", "-AC--GTC"), 3: (None, None)}
+
+
+def test_guide_with_fewest_mismatches_by_trying_every_place():
+    from guidelens.kernels.cutsite import _fewest
+
+    rng = random.Random(3)
+    for _ in range(300):
+        ref, query = bases(rng, rng.choice([3, 5, 9, 40]), "CG" if rng.random() < 0.5 else "ACGTN"), bases(rng, rng.choice([1, 2, 3]), "CGT")
+        n, tried = len(query), []
+        for at in range(len(ref) - n + 1):
+            after, before = ref[at + n : at + n + 3], ref[at - 3 : at] if at >= 3 else ""
+            for back, text, has in ((False, query, after[1:] == "GG"), (True, reverse_complement(query), before[:2] == "CC")):
+                tried.append((sum(a != b for a, b in zip(ref[at : at + n], text, strict=True)), not has, at, back))
+        m, _, at, back = min(tried)
+        assert _fewest(ref, query) == (m, at, back)
