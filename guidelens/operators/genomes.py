@@ -11,18 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.sequence import motif_positions
-from ..kernels.codons import Frame, frames_of, normalized, protein, reverse_strand
+from ..kernels.codons import frames_of, normalized, protein, reverse_strand
+from ..sources.shared import written
 from .workspace import ENZYMES, ORF, SITE, Enzyme, _reverse, restriction_sites
 
 CHUNK = 1 << 20
+TOGETHER = 1 << 20  # bases of chunks that leave in one batch
 PIECE = "_total long, _at long, _own int, seq string"
 
 
@@ -34,15 +36,27 @@ def pieces(docs: DataFrame, keys: tuple[str, ...], size: int, halo: int, circula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cut, held = [], 0  # (row, _total, _at, _own, text) of some chunks, and their bases
+
+            def flushed() -> pa.RecordBatch:
+                where = pa.array([c[0] for c in cut], pa.int64())
+                cols = [pa.array([c[1 + j] for c in cut], f.type) for j, f in enumerate(list(arrow)[len(keys) :])]
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(len(keys))), *cols], schema=arrow)
+
             for i in range(batch.num_rows):
                 seq = batch.column(len(keys))[i].as_py()
-                own = [batch.column(k).slice(i, 1) for k in range(len(keys))]
                 turn = seq[:halo] if circular else ""
                 for at in range(0, len(seq), size):
+                    own = min(size, len(seq) - at)
                     text = seq[at : at + size + halo]
-                    text += turn[: max(0, at + min(size, len(seq) - at) + halo - len(seq))]
-                    cols = [pa.array([x], f.type) for x, f in zip((len(seq), at, min(size, len(seq) - at), text), list(arrow)[len(keys) :], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*own, *cols], schema=arrow)
+                    text += turn[: max(0, at + own + halo - len(seq))]
+                    cut.append((i, len(seq), at, own, text))
+                    held += len(text)
+                    if held >= TOGETHER:
+                        yield flushed()
+                        cut, held = [], 0
+            if cut:
+                yield flushed()
 
     return rows.mapInArrow(run, schema).repartition(*keys, "_at")
 
@@ -80,71 +94,48 @@ def chunked_motifs(docs: DataFrame, query: str, both_strands: bool = True, keys:
 
 
 def chunked_orfs(docs: DataFrame, least: int = 30, keys: tuple[str, ...] = ("doc_id",), size: int = CHUNK) -> DataFrame:
-    """find_orfs() of sequences of any length; keys tell sequences apart."""
-    cut = pieces(docs, keys, size, 2)
+    """find_orfs() of sequences of any length; keys tell sequences apart. Chunks are cut and searched at once, and written; only the bases of frames over several of them are read again."""
+    cut = written(pieces(docs, keys, size, 2), "chunks")
     orf = _parse_datatype_string(ORF).fields
+    effect = _parse_datatype_string("_total long, _at long, first_begin long, first_stop long, left_open long").fields
     own = cut.schema.fields[: len(keys)]
-    # within chunks
-    inner = StructType([*own, *orf])
-    arrow_inner = to_arrow_schema(inner)
+    inner, both = StructType([*own, *orf]), StructType([*own, *orf, *effect])
+    arrow_inner, arrow = to_arrow_schema(inner), to_arrow_schema(both)
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frames within a chunk; and, without a protein, what each frame of a chunk among several does to those over chunks."""
         for batch in batches:
             rows = []
             for i, (total, at, mine, seq) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_total", "_at", "_own", "seq")), strict=True)):
                 text = normalized(seq)
                 for strand, frame, f in frames_of(text, mine, at, total):
-                    first = at == 0 if strand > 0 else at + mine == total
+                    first, first_begin = at == 0 if strand > 0 else at + mine == total, None
                     for begin, stop in f.spans:
                         if stop == f.first_stop and not first:
-                            continue  # an earlier chunk may have opened it
+                            first_begin = begin  # an earlier chunk may have opened it
+                            continue
                         if stop + 3 - begin >= 3 * least:
                             a, b = (begin, stop + 3) if strand > 0 else (total - stop - 3, total - begin)
                             dna = text[a - at : b - at]
-                            rows.append((i, a, b, strand * (frame + 1), strand, protein(dna if strand > 0 else reverse_strand(dna))))
-            where = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in keys), *(pa.array([r[1 + j] for r in rows], arrow_inner.field(f.name).type) for j, f in enumerate(orf))], schema=arrow_inner)
-
-    # over chunks: what each frame of a chunk does
-    effect = StructType([*own, *_parse_datatype_string("_total long, _at long, strand int, frame int, first_begin long, first_stop long, left_open long").fields])
-    arrow_effect = to_arrow_schema(effect)
-
-    def began(f: Frame, strand: int, at: int, mine: int, total: int) -> tuple[int | None, int | None]:
-        """What the first stop ends if nothing is open before (within() has it in the first chunk), and that stop."""
-        first = at == 0 if strand > 0 else at + mine == total
-        own = f.spans[0][0] if f.spans and f.spans[0][1] == f.first_stop and not first else None
-        return own, f.first_stop
-
-    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, (total, at, mine, seq) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_total", "_at", "_own", "seq")), strict=True)):
-                rows += [(i, total, at, strand, frame, *began(f, strand, at, mine, total), f.left_open) for strand, frame, f in frames_of(normalized(seq), mine, at, total)]
+                            rows.append((i, a, b, strand * (frame + 1), strand, protein(dna if strand > 0 else reverse_strand(dna)), *[None] * 5))
+                    if total > size and (f.first_stop is not None or f.left_open is not None):
+                        rows.append((i, None, None, strand * (frame + 1), strand, None, total, at, first_begin, f.first_stop, f.left_open))
             where = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in keys), *(pa.array([r[1 + j] for r in rows], arrow_effect.field(f.name).type) for j, f in enumerate(list(effect)[len(keys) :]))], schema=arrow_effect)
-
-    spanning = StructType([*own, *_parse_datatype_string("start long, end long, frame int, strand int").fields])
-
-    def run_through(group: pd.DataFrame) -> pd.DataFrame:
-        rows, total = [], int(group["_total"].iloc[0])
-        for (strand, frame), part in group.groupby(["strand", "frame"]):
-            begin, part = None, part.sort_values("_at", ascending=strand > 0)
-            for own, stop, opened in zip(part["first_begin"], part["first_stop"], part["left_open"], strict=True):
-                if not pd.isna(stop):
-                    begin = own if begin is None and not pd.isna(own) else begin
-                    if begin is not None and stop + 3 - begin >= 3 * least:
-                        a, b = (begin, stop + 3) if strand > 0 else (total - stop - 3, total - begin)
-                        rows.append((*(group[k].iloc[0] for k in keys), int(a), int(b), strand * (frame + 1), strand))
-                    begin = None if pd.isna(opened) else opened
-                elif begin is None:
-                    begin = None if pd.isna(opened) else opened
-        return pd.DataFrame(rows, columns=[f.name for f in spanning])
-
-    several = cut.where(F.col("_total") > size)
-    over = several.mapInArrow(effects, effect).groupBy(*keys).applyInPandas(run_through, spanning)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in keys), *(pa.array([r[1 + j] for r in rows], arrow.field(f.name).type) for j, f in enumerate((*orf, *effect)))], schema=arrow)
+
+    found = written(cut.mapInArrow(searched, both), "frames")
+    # a stop ends what is open before it and begins a part, which the first start codon after it leaves open; places rise in reading direction
+    of, stop = (*keys, "frame", "strand"), F.col("first_stop")
+    reading = W.partitionBy(*of).orderBy(F.col("_at") * F.col("strand")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = found.where("protein IS NULL").withColumn("_part", F.count(stop).over(reading))
+    parts = parts.groupBy(*of, "_part").agg(F.max("_total").alias("_total"), F.min(stop).alias("stop"), F.min("first_begin").alias("own"), F.min("left_open").alias("open"))
+    begin = F.coalesce(F.lag("open").over(W.partitionBy(*of).orderBy("_part")), "own")
+    ended = parts.withColumn("begin", begin).where(F.col("stop") + 3 - F.col("begin") >= 3 * least)
+    forward, end = F.col("strand") > 0, F.col("stop") + 3
+    over = ended.select(*keys, F.when(forward, F.col("begin")).otherwise(F.col("_total") - end).alias("start"), F.when(forward, end).otherwise(F.col("_total") - F.col("begin")).alias("end"), "frame", "strand")
     # their bases, chunk by chunk
     wanted = over.withColumn("_at", F.explode(F.sequence(F.col("start") - F.col("start") % size, F.col("end") - 1, F.lit(size).cast("long"))))
-    parts = several.select(*keys, "_at", "_own", "seq").join(wanted, [*keys, "_at"])
+    parts = cut.where(F.col("_total") > size).select(*keys, "_at", "_own", "seq").join(wanted, [*keys, "_at"])
     low = F.greatest(F.col("start") - F.col("_at"), F.lit(0))
     text = F.substring(F.substring("seq", F.lit(1), F.col("_own")), low.cast("int") + 1, (F.col("end") - F.col("_at") - low).cast("int"))
     joined = parts.groupBy(*keys, "start", "end", "frame", "strand").agg(F.sort_array(F.collect_list(F.struct("_at", text.alias("text")))).alias("texts"))
@@ -156,4 +147,4 @@ def chunked_orfs(docs: DataFrame, least: int = 30, keys: tuple[str, ...] = ("doc
             found = pa.array([protein(t if s > 0 else reverse_strand(t)) for s, t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in list(arrow_inner)[:-1]), found], schema=arrow_inner)
 
-    return cut.mapInArrow(within, inner).unionByName(whole.mapInArrow(read_out, inner))
+    return found.where("protein IS NOT NULL").select(*inner.names).unionByName(whole.mapInArrow(read_out, inner))

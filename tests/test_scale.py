@@ -242,6 +242,17 @@ def test_reads_are_viewed_once(spark):
     assert {r.i: (r.lead, r.laid) for r in out.collect()} == {0: ("  ", "TAC--GT-"), 1: (" x", "-ACGG---"), 2: ("xx", "-AC--GTC"), 3: (None, None)}
 
 
+def test_chunked_frames_are_searched_once(spark):
+    """One pass cuts, one searches; what runs over chunks is relational, and the rows are those of whole sequences."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(k, bases(rng, n)) for k, n in enumerate((0, 2, 99, 100, 101, 700, 5000))] + [(90, None), (91, "ATG" * 300), (92, "ATG" + "GCA" * 300 + "TAA"), (93, "CATTTA" * 100)], "doc_id long, seq string")
+    for size in (90, 100):
+        out = genomes.chunked_orfs(docs, 5, size=size)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, workspace.find_orfs(docs, 5).collect()))
+
+
 def test_guide_with_fewest_mismatches_by_trying_every_place():
     from guidelens.kernels.cutsite import _fewest
 
