@@ -29,6 +29,13 @@ def scores(qual: str | None) -> np.ndarray:
     return np.frombuffer((qual or "").encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33
 
 
+def distinct(batch: pa.RecordBatch, columns: tuple[str, ...]) -> tuple[dict[tuple, int], pa.Array]:
+    """The different rows of some columns with their numbers, in order, and the number of each row of the batch."""
+    number: dict[tuple, int] = {}
+    at = [number.setdefault(row, len(number)) for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+    return number, pa.array(at, pa.int32())
+
+
 def file_pairs(files: DataFrame) -> DataFrame:
     """files (ordinal, name) -> pair, r1, r2, pair_name: mates with one sample key, in order; a second file for a slot starts another pair."""
     f = files.withColumn("mate", names.mate(F.col("name"))).withColumn("key", names.sample_key(F.col("name")))
@@ -73,14 +80,18 @@ def merged(pairs: DataFrame, config: AnalysisConfig) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}  # what pairs give, by their bases and qualities
         for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                mates = [(s1 or "", scores(q1), reverse_complement(s2 or ""), scores(q2)[::-1]) for s1, q1, s2, q2 in zip(*(part.column(c).to_pylist() for c in ("r1_seq", "r1_qual", "r2_seq", "r2_qual")), strict=True)]
-                for seq, qual, *rest in merged_pairs(mates, config.paired_window, config.overlap_bases, config.overlap_identity):
-                    rows.append((seq, (np.clip(qual, 0, 93) + 33).astype(np.uint8).tobytes().decode("latin-1"), *rest))
-            cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type) for i, f in enumerate(extra.fields)]
+            if len(held) > CACHE:
+                held.clear()
+            number, at = distinct(batch, ("r1_seq", "r1_qual", "r2_seq", "r2_qual"))
+            new = [pair for pair in number if pair not in held]
+            for low in range(0, len(new), SLICE_ROWS):
+                part = new[low : low + SLICE_ROWS]
+                mates = [(s1 or "", scores(q1), reverse_complement(s2 or ""), scores(q2)[::-1]) for s1, q1, s2, q2 in part]
+                for pair, (seq, qual, *rest) in zip(part, merged_pairs(mates, config.paired_window, config.overlap_bases, config.overlap_identity), strict=True):
+                    held[pair] = (seq, (np.clip(qual, 0, 93) + 33).astype(np.uint8).tobytes().decode("latin-1"), *rest)
+            cols = [pa.array([held[pair][i] for pair in number], arrow.field(f.name).type).take(at) for i, f in enumerate(extra.fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
 
     return pairs.mapInArrow(run, schema)
@@ -112,12 +123,12 @@ def judged(molecules: DataFrame, config: AnalysisConfig) -> DataFrame:
             return passes, next((r for r in FAILURES if r in reasons), "no_target_window")
 
         for batch in batches:
-            rows = []
-            for seq, qual, s1, q1, s2, q2 in zip(*(batch.column(c).to_pylist() for c in ("seq", "qual", "r1_seq", "r1_qual", "r2_seq", "r2_qual")), strict=True):
+            rows, (number, at) = [], distinct(batch, ("seq", "qual", "r1_seq", "r1_qual", "r2_seq", "r2_qual"))
+            for seq, qual, s1, q1, s2, q2 in number:
                 passes, reason = judge(seq, qual)
                 mates = (None, None) if passes else (judge(s1 or "", q1 or "")[1], judge(reverse_complement(s2 or ""), (q2 or "")[::-1])[1])
                 rows.append((passes, None if passes else reason, *mates))
-            cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type) for i, f in enumerate(extra.fields)]
+            cols = [pa.array([r[i] for r in rows], arrow.field(f.name).type).take(at) for i, f in enumerate(extra.fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=arrow)
 
     return molecules.mapInArrow(run, schema)
