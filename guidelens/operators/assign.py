@@ -39,7 +39,8 @@ class Assigner:
     of all genes for other reads, with the reason where it isn't usable.
     """
 
-    def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig, by_target: bool = False):
+    def __init__(self, genes: tuple[Gene, ...], config: AnalysisConfig, by_target: bool = False, with_hits: bool = True):
+        self.with_hits = with_hits
         self.windows, self.genes, self.config = windows_of(genes), len(genes), config
         self.panel, self.seeds = Panel(self.windows, config.distance_weight, config.exclusion_flank), SeedIndex(self.windows)
         # what competes for a read: genes by their best window, or single windows
@@ -73,7 +74,7 @@ class Assigner:
         winner = ranked[0] if outcome == "assigned" else None
         gene = next((w.gene_ix for w in self.windows if self.rival[w.number] == winner), None)
         hits = []
-        for w in self.windows if winner is None else self.of_rival[winner]:
+        for w in () if not self.with_hits else self.windows if winner is None else self.of_rival[winner]:
             # outside the gene that a read was assigned to, only its own observations count
             e = usable.get(w.number) if gene is not None else None
             e = plain.get(w.number, "no_alignment") if e is None else e
@@ -98,35 +99,39 @@ class Assigner:
         return self.called(seq, tuple(tuple(bool(good(x)) for x in cands) for cands, _ in found.values()))
 
 
-def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None, by_target: bool = False) -> DataFrame:
+def assigned(reads: DataFrame, config: AnalysisConfig, config_key: str | None = None, by_target: bool = False, with_hits: bool = True) -> DataFrame:
     """reads (seq, qual and any other columns) with the columns of CALL.
 
     by_target: single targets compete, not genes; hits then hold the one that won.
+    with_hits: without them a large panel's windows don't travel with every read of no gene.
 
     config_key: a column that names the input, for reference sets of its own
     (config.by_input; others use config.genes). Null sequences are filtered reads,
     null qualities pass.
     """
     call = _parse_datatype_string(CALL)
+    own = [n for n in reads.columns if n not in call.names]
+    call = call if with_hits else StructType([f for f in call.fields if f.name != "hits"])
     names = call.names
-    own = [n for n in reads.columns if n not in names]
     schema = StructType([*(reads.schema[n] for n in own), *call.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_key: dict[str | None, Assigner] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, SLICE_ROWS if with_hits else max(1, batch.num_rows)):
+                part = batch.slice(at, SLICE_ROWS) if with_hits else batch
                 seqs, quals = part.column("seq").to_pylist(), part.column("qual").to_pylist()
                 keys = part.column(config_key).to_pylist() if config_key else [None] * len(seqs)
+                number: dict[tuple, int] = {}  # equal reads are one
+                where = pa.array([number.setdefault(read, len(number)) for read in zip(seqs, quals, keys, strict=True)], pa.int32())
                 rows = []
-                for seq, qual, key in zip(seqs, quals, keys, strict=True):
+                for seq, qual, key in number:
                     key = key if key in config.by_input else None
                     if key not in by_key:
-                        by_key[key] = Assigner(config.by_input.get(key, config.genes), config, by_target)
+                        by_key[key] = Assigner(config.by_input.get(key, config.genes), config, by_target, with_hits)
                     rows.append(by_key[key](seq, qual))
-                cols = {n: pa.array([r[i] for r in rows], arrow.field(n).type) for i, n in enumerate(names)}
+                cols = {n: pa.array([r[i] for r in rows], arrow.field(n).type).take(where) for i, n in enumerate(names)}
                 yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else part.column(f.name) for f in arrow], schema=arrow)
 
     return reads.select(*own).mapInArrow(run, schema)

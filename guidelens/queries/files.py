@@ -69,7 +69,7 @@ def panel(spark, sf_dir) -> AnalysisConfig:
 @query(f"{READS} SELECT read_index, CASE WHEN q >= 20 THEN 'assigned' ELSE 'filtered' END AS outcome, CASE WHEN q >= 20 THEN true_gene END AS gene FROM reads")
 def panel_assignment(spark, sf_dir):
     """Reads against a panel of hundreds of windows."""
-    c = assigned(reads(spark, sf_dir), panel(spark, sf_dir))
+    c = assigned(reads(spark, sf_dir), panel(spark, sf_dir), with_hits=False)
     return c.select("read_index", "outcome", F.when(F.col("gene_ix") == 0, "A").when(F.col("gene_ix") == 1, "B").when(F.col("gene_ix").isNotNull(), "decoy").alias("gene"))
 
 

@@ -266,3 +266,34 @@ def test_guide_with_fewest_mismatches_by_trying_every_place():
                 tried.append((sum(a != b for a, b in zip(ref[at : at + n], text, strict=True)), not has, at, back))
         m, _, at, back = min(tried)
         assert _fewest(ref, query) == (m, at, back)
+
+
+def test_equal_mates_and_reads_are_one_call(spark, monkeypatch):
+    """However often a pair or a read repeats in a batch, it is merged, judged and called once."""
+    from guidelens.operators import assign, pairs
+    from guidelens.queries.fixtures import TWO_GENES
+
+    def passes(frame, make):
+        """The rows and batches of an operator's own function, run here over a batch of rows."""
+        taken = {}
+        monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: taken.update(run=run))
+        make(frame)
+        monkeypatch.undo()
+        return lambda table: next(iter(taken["run"](iter(table.combine_chunks().to_batches()))))
+
+    r2 = reverse_complement(REF_A[30:])
+    mates = spark.createDataFrame([(k, REF_A[:70], "I" * 70, r2, "I" * 70) for k in range(50)] + [(50, REF_A[:70], "+" * 70, r2, "+" * 70)], "k long, r1_seq string, r1_qual string, r2_seq string, r2_qual string")
+    merge, table, calls = passes(mates, lambda f: pairs.merged(f, TWO_GENES)), mates.toArrow(), []
+    whole = pairs.merged_pairs
+    monkeypatch.setattr(pairs, "merged_pairs", lambda part, *rest: calls.append(len(part)) or whole(part, *rest))
+    out = merge(table)
+    assert sum(calls) == 2 and out.column("seq").to_pylist() == [REF_A] * 51 and out.column("k").to_pylist() == list(range(51))
+    monkeypatch.undo()
+    table = mates.select("k", F.col("r1_seq").alias("seq"), F.col("r1_qual").alias("qual"))
+    call, calls = passes(table, lambda f: assign.assigned(f, TWO_GENES)), []
+    one = assign.Assigner.__call__
+    monkeypatch.setattr(assign.Assigner, "__call__", lambda self, *read: calls.append(read) or one(self, *read))
+    assert call(table.toArrow()).num_rows == 51 and len(calls) == 2
+    monkeypatch.undo()
+    slim = assign.assigned(table, TWO_GENES, with_hits=False)
+    assert "hits" not in slim.columns and slim.orderBy("k").collect() == assign.assigned(table, TWO_GENES).drop("hits").orderBy("k").collect()
