@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import normalized_barcode
+from ..sources.shared import written
 from ..sources.workbook import cell, number
 
 #: Header names (without anything but letters and digits) by column, and the column where none has one of them.
@@ -73,7 +74,9 @@ def report_sheets(params: dict[str, str | float], flow: DataFrame, targets: Data
     shares in per cent: out_of_frame_pct, in_frame_pct, no_indel_pct, substitution_pct.
     A scope's sheet has the parameters, the read flow, and the classes of each target;
     sheets are in the order of their names, and a last, hidden one has the whole report.
+    flow and targets, which several parts of the sheets read, are written first.
     """
+    flow, targets = written(flow, "flow"), written(targets, "targets")
     place = F.dense_rank().over(W.orderBy("scope")).alias("ordinal")  # scopes of one report: its input files and their total
     scopes = flow.select("scope", F.regexp_replace("scope", r"[\\/*?\[\]:]", "_").substr(1, 31).alias("sheet"), place)
     numbered_targets = targets.withColumn("nth", F.row_number().over(W.partitionBy("scope").orderBy("gene", "source", "target_id"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("scope")))

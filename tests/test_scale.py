@@ -297,3 +297,14 @@ def test_equal_mates_and_reads_are_one_call(spark, monkeypatch):
     monkeypatch.undo()
     slim = assign.assigned(table, TWO_GENES, with_hits=False)
     assert "hits" not in slim.columns and slim.orderBy("k").collect() == assign.assigned(table, TWO_GENES).drop("hits").orderBy("k").collect()
+
+
+def test_a_report_makes_its_rows_once(spark):
+    """The reads behind a report's counts aren't gone through again for each part of its sheets."""
+    from guidelens.operators import workbooks
+
+    flow = spark.createDataFrame([("f", 3, 2, 2, 1)], "scope string, raw long, phred_passed long, usable long, assigned long")
+    flow = flow.mapInArrow(lambda batches: batches, flow.schema)
+    targets = spark.createDataFrame([("f", "A", "Normal", "t1", 2, 1, 0.0, 0.0, 100.0, 0.0)], "scope string, gene string, source string, target_id string, total_reads long, aligned_reads long, out_of_frame_pct double, in_frame_pct double, no_indel_pct double, substitution_pct double")
+    out = workbooks.report_sheets({"Phred Threshold": 20.0}, flow, targets)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.where("not hidden").count() > 8
